@@ -619,10 +619,10 @@ def _(fx):
 
 @query("two_step_chain")
 def _(fx):
-    cases = fx["fx_llm_outputs"].select("case_id", "response")
+    cases = fx["fx_llm_outputs"].select("case_id", c("response").alias("triage_text"))
     answers = scoring.chain(
         cases,
-        "response",
+        "triage_text",
         T.ANALYSIS,
         T.FORMATS,
         T.load_analysis_stub,

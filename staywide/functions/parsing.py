@@ -50,22 +50,33 @@ def parse_true(answer: Column) -> Column:
     return F.coalesce(answer == "True", F.lit(False))
 
 
+def _json_value(answer: Column) -> Column:
+    """The answer as a variant, NULL unless the whole of it is one JSON value.
+
+    The parser ignores what follows a value. Inside an array and inside an object
+    nothing but a single value is valid in both.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), answer, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), answer, F.lit("}")))
+    return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+
+
+def is_json(answer: Column) -> Column:
+    return _json_value(answer).isNotNull()
+
+
 def parse_json_result(answer: Column) -> Column:
     """`{"result": true}` -> true. NULL when the text or the key is missing or broken.
 
     A result that is present but is not the boolean true counts as false.
     """
-    result = F.try_variant_get(F.try_parse_json(answer), "$.result", "variant")
+    result = F.try_variant_get(_json_value(answer), "$.result", "variant")
     is_true = (F.schema_of_variant(result) == "BOOLEAN") & F.coalesce(
         F.try_variant_get(result, "$", "boolean"), F.lit(False)
     )
     return F.when(result.isNotNull(), is_true)
 
 
-def is_json(answer: Column) -> Column:
-    return F.try_parse_json(answer).isNotNull()
-
-
 def parse_json_number(answer: Column) -> Column:
     """A JSON number, or true/false as 1/0; NULL for anything else."""
     bare = F.trim(answer)

@@ -94,6 +94,9 @@ def apply_model(
     """
     if on_failure not in ("sentinel", "null"):
         raise ValueError(on_failure)
+    taken = {"response", "attempts", "error", "final_pred"} & set(df.columns)
+    if taken:
+        raise ValueError(f"the input already has the columns {sorted(taken)}")
     schema = T.StructType(
         [
             *df.schema.fields,

@@ -100,7 +100,7 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     `name` is the partition directory if there is one, else the file name without its
     extension.
     """
-    found = spark.read.option("wholetext", True).text(path)
+    found = spark.read.text(path, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return found.select(
         F.col("name") if "name" in found.columns else stem.alias("name"),
