@@ -170,12 +170,12 @@ def _(fx):
 
 @query("pred_time_range")
 def _(fx):
-    return fx["edstays"].select(
+    return fx["edstays"].selectExpr(
         "stay_id",
-        S.FIRST_HOUR.holds(c("outtime")).alias("out_first_hour"),
-        S.PAST_HOUR.holds(c("outtime")).alias("out_later"),
-        S.WEEK.end_col.alias("week_end"),
-        S.FIRST_TWO_HOURS.end_col.alias("two_hours"),
+        f"{S.FIRST_HOUR.holds('outtime')} AS out_first_hour",
+        f"{S.PAST_HOUR.holds('outtime')} AS out_later",
+        f"{S.WEEK.end} AS week_end",
+        f"{S.FIRST_TWO_HOURS.end} AS two_hours",
     )
 
 
@@ -208,11 +208,11 @@ def _(fx):
         "stay_id",
         "charttime",
         name,
-        P.is_tier1(name).alias("tier1"),
-        P.is_tier2(name).alias("tier2"),
-        P.is_tier3(name).alias("tier3"),
-        P.is_tier4(name).alias("tier4"),
-        P.is_psychotropic(name).alias("psychotropic"),
+        F.expr(P.is_tier1()).alias("tier1"),
+        F.expr(P.is_tier2()).alias("tier2"),
+        F.expr(P.is_tier3()).alias("tier3"),
+        F.expr(P.is_tier4()).alias("tier4"),
+        F.expr(P.is_psychotropic()).alias("psychotropic"),
         name.ilike("%dextrose 50%%").alias("dextrose"),
         name.ilike("Labetalol").alias("labetalol"),
     )

@@ -1,7 +1,8 @@
-"""Column expressions shared by the features, counts and scores.
+"""Conditions and column expressions shared by the features, counts and scores.
 
-All of them are built-in Spark expressions: they stay inside code generation and
-never cross into Python.
+Conditions on the raw tables are SQL text over a column name, the rest are columns. All
+of them are built-in Spark expressions: they stay inside code generation and never
+cross into Python.
 """
 
 from __future__ import annotations
@@ -19,41 +20,49 @@ def any_of(conditions) -> Column:
     return reduce(or_, conditions)
 
 
-def contains_any(name: Column, words) -> Column:
-    """Case-blind "contains one of"; `words` are lower case."""
-    lowered = F.lower(name)
-    return any_of([lowered.contains(word.lower()) for word in words])
+def text_list(values) -> str:
+    """SQL string literals, separated by commas."""
+    return ", ".join("'" + value.replace("'", "''") + "'" for value in values)
 
 
-def equals_any(name: Column, values) -> Column:
-    """Case-blind "is one of"."""
-    return F.lower(name).isin([value.lower() for value in values])
+def one_of(column: str, values) -> str:
+    return f"{column} IN ({text_list(values)})"
 
 
-def is_tier1(name: Column) -> Column:
+def contains_any(column: str, words) -> str:
+    """SQL condition: case-blind "contains one of"."""
+    tests = [f"contains(lower({column}), {text_list([w.lower()])})" for w in words]
+    return "(" + " OR ".join(tests) + ")"
+
+
+def equals_any(column: str, values) -> str:
+    """SQL condition: case-blind "is one of"."""
+    return one_of(f"lower({column})", [value.lower() for value in values])
+
+
+def is_tier1(name: str = "name") -> str:
     return contains_any(name, V.TIER1_CONTAINS)
 
 
-def is_tier2(name: Column) -> Column:
-    return contains_any(name, V.TIER2_CONTAINS) | equals_any(name, V.TIER2_EQUALS)
+def is_tier2(name: str = "name") -> str:
+    contains, equals = contains_any(name, V.TIER2_CONTAINS), equals_any(name, V.TIER2_EQUALS)
+    return f"({contains} OR {equals})"
 
 
-def is_tier3(name: Column) -> Column:
+def is_tier3(name: str = "name") -> str:
     return contains_any(name, V.TIER3_CONTAINS)
 
 
-def is_tier4(name: Column) -> Column:
+def is_tier4(name: str = "name") -> str:
     return contains_any(name, V.TIER4_CONTAINS)
 
 
-def is_psychotropic(name: Column) -> Column:
-    lowered = F.lower(name)
-    return any_of(
-        [
-            lowered.contains(drug.lower()) & lowered.contains(form.lower())
-            for drug, form in V.PSYCHOTROPIC_PAIRS
-        ]
-    )
+def is_psychotropic(name: str = "name") -> str:
+    pairs = [
+        f"({contains_any(name, [drug])} AND {contains_any(name, [form])})"
+        for drug, form in V.PSYCHOTROPIC_PAIRS
+    ]
+    return "(" + " OR ".join(pairs) + ")"
 
 
 def age_at(when: Column, anchor_age: Column, anchor_year: Column) -> Column:

@@ -9,19 +9,19 @@ becoming one task or a quadratic join:
   stay is ever produced. Work and memory grow with events plus stays.
 
 Only `interval_join`, whose result is the set of pairs, produces pairs.
+
+Conditions and times are SQL text over the columns of a table, so that a plan with
+dozens of features is put together in a few calls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import any_of
-
 HOUR_LATER = "intime + INTERVAL '1' HOUR"
 
 
@@ -49,17 +49,10 @@ class Span:
     open_start: bool = False
     bucket_days: int = 1
 
-    @property
-    def start_col(self) -> Column:
-        return F.expr(self.start)
-
-    @property
-    def end_col(self) -> Column:
-        return F.expr(self.end)
-
-    def holds(self, when: Column) -> Column:
-        after = when > self.start_col if self.open_start else when >= self.start_col
-        return after if self.end is None else after & (when <= self.end_col)
+    def holds(self, when: str) -> str:
+        """SQL condition that a time lies in the span."""
+        after = f"{when} {'>' if self.open_start else '>='} {self.start}"
+        return f"({after})" if self.end is None else f"({after} AND {when} <= {self.end})"
 
 
 IN_STAY = Span("in_stay", "intime", "outtime")
@@ -67,9 +60,7 @@ FIRST_HOUR = Span("first_hour", "intime", HOUR_LATER)
 AFTER_HOUR_IN_STAY = Span("after_hour_in_stay", HOUR_LATER, "outtime")
 PAST_HOUR_IN_STAY = Span("past_hour_in_stay", HOUR_LATER, "outtime", open_start=True)
 PAST_HOUR = Span("past_hour", HOUR_LATER, None, open_start=True)
-FIRST_TWO_HOURS = Span(
-    "first_two_hours", "intime", "intime + INTERVAL '120' MINUTE"
-)
+FIRST_TWO_HOURS = Span("first_two_hours", "intime", "intime + INTERVAL '120' MINUTE")
 WEEK_AFTER_HOUR = Span(
     "week_after_hour", HOUR_LATER, "intime + INTERVAL '7' DAY", bucket_days=7
 )
@@ -91,22 +82,17 @@ STAY_DAYS_PLUS_ONE = Span(
 )
 
 
-def bucket_of(when: Column, days: int) -> Column:
-    day = F.unix_date(F.to_date(when))
-    return day if days == 1 else F.floor(day / days).cast("int")
-
-
-def _bucket_end(bucket: Column, days: int) -> Column:
-    return F.date_from_unix_date(((bucket + 1) * days).cast("int")).cast("timestamp_ntz")
+def bucket_of(when: str, days: int) -> str:
+    day = f"unix_date(CAST({when} AS DATE))"
+    return day if days == 1 else f"CAST(floor({day} / {days}) AS INT)"
 
 
 def with_buckets(
-    df: DataFrame, start: Column, end: Column, days: int, name: str = "bucket"
+    df: DataFrame, start: str, end: str, days: int, name: str = "bucket"
 ) -> DataFrame:
     """One row per time bucket that the closed range touches; none if it is empty."""
-    return df.where(start <= end).withColumn(
-        name, F.explode(F.sequence(bucket_of(start, days), bucket_of(end, days)))
-    )
+    buckets = f"explode(sequence({bucket_of(start, days)}, {bucket_of(end, days)}))"
+    return df.where(f"{start} <= {end}").selectExpr("*", f"{buckets} AS {name}")
 
 
 def interval_join(
@@ -117,20 +103,14 @@ def interval_join(
     An event lies in exactly one bucket, so each pair is found once. Apart from the keys
     the two sides must not share column names.
     """
-    start, end = span.start_col, span.end_col
-    cut = with_buckets(
-        stays.withColumns({"_start": start, "_end": end}),
-        F.col("_start"),
-        F.col("_end"),
-        span.bucket_days,
-        "_bucket",
-    )
-    placed = events.withColumn("_bucket", bucket_of(F.col(time), span.bucket_days))
-    when = F.col(time)
-    after = when > F.col("_start") if span.open_start else when >= F.col("_start")
+    days = span.bucket_days
+    placed_stays = stays.selectExpr("*", f"{span.start} AS _start", f"{span.end} AS _end")
+    cut = with_buckets(placed_stays, "_start", "_end", days, "_bucket")
+    placed = events.selectExpr("*", f"{bucket_of(time, days)} AS _bucket")
+    inside = Span("", "_start", "_end", span.open_start).holds(time)
     return (
         cut.join(placed, [*keys, "_bucket"])
-        .where(after & (when <= F.col("_end")))
+        .where(inside)
         .drop("_start", "_end", "_bucket")
     )
 
@@ -139,14 +119,13 @@ def interval_join(
 class Measure:
     """What to count: rows of a source that satisfy a condition, or an amount per row.
 
-    `amount` is optional and built from the source's columns; rows that fail `where`
-    add nothing.
+    Both are SQL over the source's columns. Rows that fail `where` add nothing.
     """
 
     name: str
     source: str
-    where: Callable[[], Column]
-    amount: Callable[[], Column] | None = None
+    where: str
+    amount: str = "1"
 
 
 @dataclass(frozen=True)
@@ -168,7 +147,7 @@ class EventSource:
     """A table of events and the expression of the time at which they happen."""
 
     df: DataFrame
-    time: Column | None
+    time: str | None
 
 
 def _group(items, key):
@@ -178,85 +157,67 @@ def _group(items, key):
     return grouped
 
 
-def _measured(source: EventSource, keys, numbered, when: Column | None) -> DataFrame:
+def _known(columns) -> str:
+    return " AND ".join(f"{column} IS NOT NULL" for column in columns)
+
+
+def _any_measure(measures) -> str:
+    return "(" + " OR ".join(dict.fromkeys(f"({m.where})" for m in measures)) + ")"
+
+
+def _measured(source: EventSource, keys, numbered) -> DataFrame:
     """(keys, t, measure, n): one row per event and measure that it counts for."""
-    df = source.df
-    for key in keys:
-        df = df.where(F.col(key).isNotNull())
-    if when is not None:
-        df = df.where(when.isNotNull())
-    df = df.where(any_of([m.where() for _, m in numbered]))
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    m.where(),
-                    F.struct(
-                        F.lit(number).alias("measure"),
-                        (m.amount() if m.amount else F.lit(1)).cast("long").alias("n"),
-                    ),
-                )
-                for number, m in numbered
-            ]
-        )
+    rows = source.df.where(
+        f"{_known([*keys, f'({source.time})'])} AND {_any_measure(m for _, m in numbered)}"
     )
-    columns = [F.col(k) for k in keys]
-    if when is not None:
-        columns.append(when.alias("t"))
     if len(numbered) == 1:
         number, m = numbered[0]
-        amount = (m.amount() if m.amount else F.lit(1)).cast("long")
-        return df.select(*columns, F.lit(number).alias("measure"), amount.alias("n"))
-    return df.select(*columns, F.explode(hits).alias("hit")).select(
-        *[c for c in df.select(*columns).columns], "hit.measure", "hit.n"
+        hit = [f"{number} AS measure", f"CAST({m.amount} AS BIGINT) AS n"]
+        return rows.selectExpr(*keys, f"{source.time} AS t", *hit)
+    hits = ", ".join(
+        f"CASE WHEN {m.where} THEN"
+        f" named_struct('measure', {number}, 'n', CAST({m.amount} AS BIGINT)) END"
+        for number, m in numbered
+    )
+    return rows.selectExpr(
+        *keys, f"{source.time} AS t", f"inline(array_compact(array({hits})))"
     )
 
 
-def _probes(stays: DataFrame, keys, spans, days: int) -> DataFrame:
-    """Points at which a running total is read, with the sign it enters the sum with.
+def _probe_list(number: int, span: Span, days: int) -> str:
+    """The points of one span as an SQL array; NULL if the span is empty.
 
     A span contributes minus one point at its start, plus one point at the end of every
     bucket it runs through, and plus one point at its own end. `side` places a point
     before (-1) or after (1) the events of the same instant.
     """
-    fields = "struct<span:int,sign:int,bucket:int,t:timestamp_ntz,side:int>"
-
-    def point(number, sign, bucket, t, side):
-        return F.struct(
-            F.lit(number).alias("span"),
-            F.lit(sign).alias("sign"),
-            bucket.alias("bucket"),
-            t.alias("t"),
-            side.alias("side"),
-        )
 
-    def points_of(number, span):
-        start, end = span.start_col, span.end_col
-        first, last = bucket_of(start, days), bucket_of(end, days)
-        opening = point(number, -1, first, start, F.lit(1 if span.open_start else -1))
-        closings = F.transform(
-            F.sequence(first, last),
-            lambda bucket: point(
-                number,
-                1,
-                bucket,
-                F.when(bucket == last, end).otherwise(_bucket_end(bucket, days)),
-                F.when(bucket == last, 1).otherwise(-1),
-            ),
-        )
-        return F.coalesce(
-            F.when(start <= end, F.concat(F.array(opening), closings)),
-            F.array().cast(f"array<{fields}>"),
+    def point(sign, bucket, t, side):
+        return (
+            f"named_struct('span', {number}, 'sign', {sign}, 'bucket', {bucket},"
+            f" 't', {t}, 'side', {side})"
         )
 
-    lists = [points_of(number, span) for number, span in spans]
-    rows = stays
-    for key in keys:
-        rows = rows.where(F.col(key).isNotNull())
-    points = lists[0] if len(lists) == 1 else F.concat(*lists)
-    kept = list(dict.fromkeys(["stay_id", *keys]))
-    return rows.select(*kept, F.explode(points).alias("p")).select(
-        *[F.col(k).alias(f"_{k}") if k == "stay_id" else F.col(k) for k in kept], "p.*"
+    first, last = bucket_of(span.start, days), bucket_of(span.end, days)
+    bucket_end = f"CAST(date_from_unix_date((b + 1) * {days}) AS TIMESTAMP_NTZ)"
+    opening = point(-1, first, span.start, 1 if span.open_start else -1)
+    closing = point(
+        1,
+        "b",
+        f"CASE WHEN b = {last} THEN {span.end} ELSE {bucket_end} END",
+        f"CASE WHEN b = {last} THEN 1 ELSE -1 END",
+    )
+    return (
+        f"CASE WHEN {span.start} <= {span.end} THEN concat(array({opening}),"
+        f" transform(sequence({first}, {last}), b -> {closing})) END"
+    )
+
+
+def _probes(stays: DataFrame, keys, spans, days: int) -> DataFrame:
+    """Points at which a running total is read, with the sign it enters the sum with."""
+    lists = ", ".join(_probe_list(i, span, days) for i, span in enumerate(spans))
+    return stays.where(_known(keys)).selectExpr(
+        "stay_id AS _stay", *keys, f"inline(flatten(array_compact(array({lists}))))"
     )
 
 
@@ -264,136 +225,121 @@ def _running_counts(stays, sources, keys, days, counts) -> DataFrame:
     """Counts of events that share `keys` with a stay, by running totals."""
     measures = list(dict.fromkeys(c.measure for c in counts))
     spans = list(dict.fromkeys(c.span for c in counts))
-    frames = []
-    for source, of_source in _group(enumerate(measures), lambda x: x[1].source).items():
-        frames.append(_measured(sources[source], keys, of_source, sources[source].time))
+    by_source = _group(enumerate(measures), lambda numbered: numbered[1].source)
+    frames = [_measured(sources[name], keys, group) for name, group in by_source.items()]
     # Events of one instant are folded into one row before the first shuffle.
     instants = (
         reduce(DataFrame.unionByName, frames)
         .groupBy(*keys, "t", "measure")
         .agg(F.sum("n").alias("n"))
-        .withColumn("bucket", bucket_of(F.col("t"), days))
-        .withColumn("side", F.lit(0))
+        .selectExpr("*", f"{bucket_of('t', days)} AS bucket", "0 AS side")
     )
-    probes = _probes(stays, keys, list(enumerate(spans)), days)
-    running = Window.partitionBy(*keys, "bucket").orderBy("t", "side").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    probes = _probes(stays, keys, spans, days)
+    running = (
+        f"OVER (PARTITION BY {', '.join(keys)}, bucket ORDER BY t, side"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
-    totals = instants.unionByName(probes, allowMissingColumns=True).select(
-        F.col("_stay_id").alias("stay_id"),
+    totals = instants.unionByName(probes, allowMissingColumns=True).selectExpr(
+        "_stay",
         "span",
         "sign",
         *[
-            F.sum(F.when(F.col("measure") == i, F.col("n")).otherwise(0))
-            .over(running)
-            .alias(f"_m{i}")
+            f"sum(CASE WHEN measure = {i} THEN n ELSE 0 END) {running} AS _m{i}"
             for i in range(len(measures))
         ],
     )
-    return totals.where(F.col("stay_id").isNotNull()).select(
-        "stay_id",
+    return totals.where("_stay IS NOT NULL").selectExpr(
+        "_stay AS stay_id",
         *[
-            F.when(
-                F.col("span") == spans.index(c.span),
-                F.col("sign") * F.col(f"_m{measures.index(c.measure)}"),
-            )
-            .otherwise(0)
-            .cast("long")
-            .alias(c.name)
+            f"CASE WHEN span = {spans.index(c.span)}"
+            f" THEN sign * _m{measures.index(c.measure)} ELSE 0 END AS `{c.name}`"
             for c in counts
         ],
     )
 
 
-def _stay_counts(stays, source: EventSource, keys, counts) -> DataFrame:
+def _stay_counts(stays, source: EventSource, counts) -> DataFrame:
     """Counts of events that carry the id of their own stay.
 
-    Such an event meets one stay, so a join is linear. Measures without a span keep the
+    Such an event meets one stay, so a join is linear. Counts without a span keep the
     events that lie outside every bucket of the stay, hence the left join.
     """
-    days = 1
     bounded = [c for c in counts if c.span is not None]
-    when = source.time
-    df = source.df.where(F.col("stay_id").isNotNull())
-    df = df.where(any_of([c.measure.where() for c in counts]))
-    amounts = {
-        c.name: F.when(
-            c.measure.where(), c.measure.amount() if c.measure.amount else F.lit(1)
-        )
-        .otherwise(0)
-        .cast("long")
-        for c in counts
-    }
-    events = df.select(
-        F.col("stay_id"),
-        F.col("subject_id").alias("_subject"),
-        when.alias("_t"),
-        bucket_of(when, days).alias("_bucket"),
-        *[amount.alias(name) for name, amount in amounts.items()],
+    events = source.df.where(
+        f"{_known(['stay_id'])} AND {_any_measure(c.measure for c in counts)}"
+    ).selectExpr(
+        "stay_id",
+        "subject_id AS _subject",
+        f"{source.time} AS _t",
+        f"{bucket_of(source.time, 1)} AS _bucket",
+        *[
+            f"CAST(CASE WHEN {c.measure.where} THEN {c.measure.amount} ELSE 0 END"
+            f" AS BIGINT) AS `{c.name}`"
+            for c in counts
+        ],
     )
     if not bounded:
-        return events.select("stay_id", *amounts)
-    starts = [c.span.start_col for c in bounded]
-    ends = [c.span.end_col for c in bounded]
-    start = F.least(*starts) if len(starts) > 1 else starts[0]
-    end = F.greatest(*ends) if len(ends) > 1 else ends[0]
-    cut = with_buckets(
-        stays.select("stay_id", "subject_id", "intime", "outtime"), start, end, days, "_bucket"
-    )
-    joined = events.join(
-        cut, ["stay_id", "_bucket"], "inner" if len(bounded) == len(counts) else "left"
+        return events.selectExpr("stay_id", *[f"`{c.name}`" for c in counts])
+    starts = ", ".join(dict.fromkeys(c.span.start for c in bounded))
+    ends = ", ".join(dict.fromkeys(c.span.end for c in bounded))
+    placed = stays.selectExpr(
+        "stay_id",
+        "subject_id",
+        "intime",
+        "outtime",
+        f"array_min(array({starts})) AS _from",
+        f"array_max(array({ends})) AS _to",
     )
+    cut = with_buckets(placed, "_from", "_to", 1, "_bucket")
+    how = "inner" if len(bounded) == len(counts) else "left"
 
-    def counted(c: SpanCount) -> Column:
+    def counted(c: SpanCount) -> str:
         if c.span is None:
-            return F.col(c.name)
-        inside = c.span.holds(F.col("_t"))
+            return f"`{c.name}`"
+        inside = c.span.holds("_t")
         if "subject_id" in c.keys:
-            inside = inside & (F.col("_subject") == F.col("subject_id"))
-        return F.when(inside, F.col(c.name)).otherwise(0).alias(c.name)
+            inside += " AND _subject = subject_id"
+        return f"CASE WHEN {inside} THEN `{c.name}` ELSE 0 END AS `{c.name}`"
 
-    return joined.select("stay_id", *[counted(c) for c in counts])
+    joined = events.join(cut, ["stay_id", "_bucket"], how)
+    return joined.selectExpr("stay_id", *[counted(c) for c in counts])
 
 
-def _key_totals(stays, sources, keys, counts) -> list[DataFrame]:
+def _key_totals(stays, source: EventSource, keys, counts) -> DataFrame:
     """Counts without an upper time bound: one row per key, then one join to the stays.
 
     A span that only has a start needs no count: the latest event decides, and the
     result is 1 or 0.
     """
-    frames = []
-    for source, of_source in _group(counts, lambda c: c.measure.source).items():
-        src = sources[source]
-        df = src.df
-        for key in keys:
-            df = df.where(F.col(key).isNotNull())
-        df = df.where(any_of([c.measure.where() for c in of_source]))
-        totals = df.groupBy(*keys).agg(
+    totals = (
+        source.df.where(f"{_known(keys)} AND {_any_measure(c.measure for c in counts)}")
+        .groupBy(*keys)
+        .agg(
             *[
-                F.count_if(c.measure.where()).alias(c.name)
-                if c.span is None
-                else F.max(F.when(c.measure.where(), src.time)).alias(c.name)
-                for c in of_source
+                F.expr(
+                    f"count_if({c.measure.where}) AS `{c.name}`"
+                    if c.span is None
+                    else f"max(CASE WHEN {c.measure.where} THEN {source.time} END) AS `{c.name}`"
+                )
+                for c in counts
             ]
         )
-        joined = stays.select(
-            *dict.fromkeys(["stay_id", *keys, "intime", "outtime"])
-        ).join(totals, list(keys))
-        frames.append(
-            joined.select(
-                "stay_id",
-                *[
-                    F.col(c.name)
-                    if c.span is None
-                    else F.when(c.span.holds(F.col(c.name)), 1)
-                    .otherwise(0)
-                    .cast("long")
-                    .alias(c.name)
-                    for c in of_source
-                ],
-            )
+    )
+    columns = list(dict.fromkeys(["stay_id", *keys, "intime", "outtime"]))
+    return (
+        stays.select(*columns)
+        .join(totals, list(keys))
+        .selectExpr(
+            "stay_id",
+            *[
+                f"`{c.name}`"
+                if c.span is None
+                else f"CAST(CASE WHEN {c.span.holds(f'`{c.name}`')} THEN 1 ELSE 0 END"
+                f" AS BIGINT) AS `{c.name}`"
+                for c in counts
+            ],
         )
-    return frames
+    )
 
 
 def count_in_spans(
@@ -412,24 +358,21 @@ def count_in_spans(
     for (keys, days), group in _group(
         bounded, lambda c: (c.keys, c.span.bucket_days)
     ).items():
-        parts.append(_running_counts(stays, sources, keys, days, group))
-    for source, group in _group(by_stay, lambda c: c.measure.source).items():
-        parts.append(_stay_counts(stays, sources[source], ("stay_id",), group))
-    for keys, group in _group(unbounded, lambda c: c.keys).items():
-        parts.extend(_key_totals(stays, sources, keys, group))
+        parts.append((_running_counts(stays, sources, keys, days, group), group))
+    for name, group in _group(by_stay, lambda c: c.measure.source).items():
+        parts.append((_stay_counts(stays, sources[name], group), group))
+    for (keys, name), group in _group(
+        unbounded, lambda c: (c.keys, c.measure.source)
+    ).items():
+        parts.append((_key_totals(stays, sources[name], keys, group), group))
     names = [c.name for c in counts]
-    aligned = [
-        part.select(
+
+    def aligned(part, group):
+        own = {c.name for c in group}
+        return part.selectExpr(
             "stay_id",
-            *[
-                F.col(name) if name in part.columns else F.lit(0).cast("long").alias(name)
-                for name in names
-            ],
+            *[f"`{n}`" if n in own else f"CAST(0 AS BIGINT) AS `{n}`" for n in names],
         )
-        for part in parts
-    ]
-    return (
-        reduce(DataFrame.unionByName, aligned)
-        .groupBy("stay_id")
-        .agg(*[F.sum(name).alias(name) for name in names])
-    )
+
+    union = reduce(DataFrame.unionByName, [aligned(*part) for part in parts])
+    return union.groupBy("stay_id").agg(*[F.expr(f"sum(`{n}`) AS `{n}`") for n in names])

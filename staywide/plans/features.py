@@ -8,21 +8,12 @@ evaluates all of them in one fused plan.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions import vocabulary as V
-from ..functions.predicates import (
-    flag,
-    is_psychotropic,
-    is_tier1,
-    is_tier2,
-    is_tier3,
-    is_tier4,
-)
 from ..operators import spans as S
 from ..operators.spans import EventSource, Measure, SpanCount, count_in_spans
 
@@ -43,55 +34,47 @@ class Feature:
     needs: tuple[tuple[SpanCount, int], ...] = ()
     on_stay: str | None = None
 
-    def value(self) -> Column:
-        """The flag over a stay row that carries its counts."""
-        if self.on_stay:
-            return flag(F.expr(self.on_stay)).alias(self.column)
-        met = [F.coalesce(F.col(c.name), F.lit(0)) > bound for c, bound in self.needs]
-        return flag(reduce(and_, met)).alias(self.column)
-
-
-def _subtype_in(*values: str):
-    if len(values) == 1:
-        return lambda: F.col("order_subtype") == values[0]
-    return lambda: F.col("order_subtype").isin(*values)
+    def value(self) -> str:
+        """The flag as SQL over a stay row that carries its counts."""
+        met = self.on_stay or " AND ".join(
+            f"coalesce(`{count.name}`, 0) > {bound}" for count, bound in self.needs
+        )
+        return f"CASE WHEN {met} THEN 1 ELSE 0 END AS {self.column}"
 
 
-VENTILATOR = Measure("ventilator", "poe", _subtype_in(V.VENTILATOR_ORDER))
-NON_INVASIVE = Measure("non_invasive", "poe", _subtype_in(*V.NON_INVASIVE_ORDERS))
+VENTILATOR = Measure(
+    "ventilator", "poe", P.one_of("order_subtype", [V.VENTILATOR_ORDER])
+)
+NON_INVASIVE = Measure(
+    "non_invasive", "poe", P.one_of("order_subtype", V.NON_INVASIVE_ORDERS)
+)
 EARLY_TRANSFUSION = Measure(
-    "early_transfusion", "poe", _subtype_in(*V.EARLY_TRANSFUSION_ORDERS)
+    "early_transfusion", "poe", P.one_of("order_subtype", V.EARLY_TRANSFUSION_ORDERS)
 )
 LATE_TRANSFUSION = Measure(
-    "late_transfusion", "poe", _subtype_in(*V.LATE_TRANSFUSION_ORDERS)
+    "late_transfusion", "poe", P.one_of("order_subtype", V.LATE_TRANSFUSION_ORDERS)
 )
 # The rule counts order ids, so an order without an id does not count.
 RED_CELLS = Measure(
     "red_cells",
     "poe",
-    lambda: (F.col("order_subtype") == V.RED_CELL_ORDER) & F.col("poe_id").isNotNull(),
-)
-SURGERY_MOVE = Measure(
-    "surgery_move", "transfers", lambda: F.col("careunit").isin(*V.SURGERY_UNITS)
+    P.one_of("order_subtype", [V.RED_CELL_ORDER]) + " AND poe_id IS NOT NULL",
 )
-ICU_MOVE = Measure("icu_move", "transfers", lambda: F.col("careunit").isin(*V.ICU_UNITS))
-ANY_PROCEDURE = Measure("any_procedure", "procedures_icd", lambda: F.lit(True))
+SURGERY_MOVE = Measure("surgery_move", "transfers", P.one_of("careunit", V.SURGERY_UNITS))
+ICU_MOVE = Measure("icu_move", "transfers", P.one_of("careunit", V.ICU_UNITS))
+ANY_PROCEDURE = Measure("any_procedure", "procedures_icd", "TRUE")
 INTRAOSSEOUS = Measure(
-    "intraosseous",
-    "procedures_icd",
-    lambda: F.col("icd_code").isin(*V.INTRAOSSEOUS_CODES),
+    "intraosseous", "procedures_icd", P.one_of("icd_code", V.INTRAOSSEOUS_CODES)
 )
 CRITICAL = Measure(
-    "critical",
-    "procedures_icd",
-    lambda: F.col("icd_code").isin(*V.CRITICAL_PROCEDURE_CODES),
+    "critical", "procedures_icd", P.one_of("icd_code", V.CRITICAL_PROCEDURE_CODES)
 )
-TIER1 = Measure("tier1", "pyxis", lambda: is_tier1(F.col("name")))
-TIER2 = Measure("tier2", "pyxis", lambda: is_tier2(F.col("name")))
-TIER3 = Measure("tier3", "pyxis", lambda: is_tier3(F.col("name")))
-TIER4 = Measure("tier4", "pyxis", lambda: is_tier4(F.col("name")))
-PSYCHOTROPIC = Measure("psychotropic", "pyxis", lambda: is_psychotropic(F.col("name")))
-KNOWN_PATIENT = Measure("known_patient", "patients", lambda: F.lit(True))
+TIER1 = Measure("tier1", "pyxis", P.is_tier1())
+TIER2 = Measure("tier2", "pyxis", P.is_tier2())
+TIER3 = Measure("tier3", "pyxis", P.is_tier3())
+TIER4 = Measure("tier4", "pyxis", P.is_tier4())
+PSYCHOTROPIC = Measure("psychotropic", "pyxis", P.is_psychotropic())
+KNOWN_PATIENT = Measure("known_patient", "patients", "TRUE")
 
 
 def _count(measure: Measure, keys, span) -> SpanCount:
@@ -191,10 +174,7 @@ def event_sources(clinical, counts) -> dict[str, EventSource]:
     """The event tables a list of counts reads."""
     names = {c.measure.source for c in counts}
     return {
-        name: EventSource(
-            clinical[name], F.expr(EVENT_TIME[name]) if EVENT_TIME[name] else None
-        )
-        for name in names
+        name: EventSource(clinical[name], EVENT_TIME[name]) for name in names
     }
 
 
@@ -214,7 +194,7 @@ def feature_flags(clinical, features) -> DataFrame:
     """stay_id and one 0/1 column per feature, for every stay."""
     stays = clinical["edstays"]
     counted = with_counts(stays, clinical, counts_of(features))
-    return counted.select("stay_id", *[f.value() for f in features])
+    return counted.selectExpr("stay_id", *[f.value() for f in features])
 
 
 def feature(clinical, definition: Feature) -> DataFrame:
@@ -229,14 +209,15 @@ def critical_procedure_codes(clinical) -> DataFrame:
     """
     per_day = (
         clinical["procedures_icd"]
-        .where(CRITICAL.where())
-        .groupBy("subject_id", F.unix_date(F.to_date("chartdate")).alias("day"))
+        .where(CRITICAL.where)
+        .selectExpr("subject_id", f"{S.bucket_of('chartdate', 1)} AS day", "icd_code")
+        .groupBy("subject_id", "day")
         .agg(F.min("icd_code").alias("icd_code"))
     )
     span = S.STAY_DAYS_PLUS_ONE
-    days = S.with_buckets(
-        clinical["edstays"], span.start_col, span.end_col, 1, "day"
-    ).select("stay_id", "subject_id", "day")
+    days = S.with_buckets(clinical["edstays"], span.start, span.end, 1, "day").select(
+        "stay_id", "subject_id", "day"
+    )
     return (
         days.join(per_day, ["subject_id", "day"])
         .groupBy("stay_id")

@@ -12,22 +12,20 @@ from ..operators.spans import Measure, SpanCount
 from ..sources.workspace import broadcast_if_small
 from .features import ANY_PROCEDURE, STAY, SUBJECT, with_counts
 
-LABS = Measure("labs", "labevents", lambda: F.col("labevent_id").isNotNull())
+LABS = Measure("labs", "labevents", "labevent_id IS NOT NULL")
 MICROBIOLOGY = Measure(
-    "microbiology", "microbiologyevents", lambda: F.col("microevent_id").isNotNull()
+    "microbiology", "microbiologyevents", "microevent_id IS NOT NULL"
 )
-EXAMS = Measure("exams", "radiology", lambda: F.col("note_id").isNotNull())
+EXAMS = Measure("exams", "radiology", "note_id IS NOT NULL")
 CONSULTS = Measure(
     "consults",
     "poe",
-    lambda: (F.col("order_type") == V.CONSULT_ORDER_TYPE) & F.col("poe_id").isNotNull(),
+    f"order_type = '{V.CONSULT_ORDER_TYPE}' AND poe_id IS NOT NULL",
 )
 
 
 def _route(column: str) -> Measure:
-    return Measure(
-        column, "pyxis", lambda: F.col(column) > 0, amount=lambda: F.col(column)
-    )
+    return Measure(column, "pyxis", f"{column} > 0", amount=column)
 
 
 ROUTE_COLUMNS = tuple(column for _, column in V.ROUTES)
@@ -51,7 +49,7 @@ RESOURCES = {
 
 # A listed drug counts even if its route has no column of its own.
 LISTED_DRUG = SpanCount(
-    "n_listed_drug", Measure("listed_drug", "pyxis", lambda: F.col("listed")), STAY, S.IN_STAY
+    "n_listed_drug", Measure("listed_drug", "pyxis", "listed"), STAY, S.IN_STAY
 )
 
 
@@ -92,14 +90,16 @@ class WithRoutes(dict):
         return table
 
 
+def count_columns(columns) -> list[str]:
+    """The counts as SQL over stay rows that carry them; 0 when nothing was found."""
+    return [f"coalesce(`{RESOURCES[c].name}`, 0) AS {c}" for c in columns]
+
+
 def resource_counts(clinical, columns) -> DataFrame:
     """stay_id and the named counts, for every stay; 0 when nothing was found."""
     counts = [RESOURCES[column] for column in columns]
     counted = with_counts(clinical["edstays"], WithRoutes(clinical), counts)
-    return counted.select(
-        "stay_id",
-        *[zero_if_null(F.col(RESOURCES[c].name)).alias(c) for c in columns],
-    )
+    return counted.selectExpr("stay_id", *count_columns(columns))
 
 
 def stays_with(clinical, column: str) -> DataFrame:
@@ -113,7 +113,7 @@ def exam_counts(clinical) -> DataFrame:
     A note without an id makes the stay appear but does not count.
     """
     noted = SpanCount(
-        "n_notes", Measure("notes", "radiology", lambda: F.lit(True)), SUBJECT, S.IN_STAY
+        "n_notes", Measure("notes", "radiology", "TRUE"), SUBJECT, S.IN_STAY
     )
     counted = with_counts(
         clinical["edstays"], clinical, [noted, RESOURCES["exam_count"]]
@@ -170,14 +170,14 @@ def stay_procedures(clinical) -> DataFrame:
     span = S.STAY_DAYS_PLUS_ONE
     days = S.with_buckets(
         clinical["edstays"].select("stay_id", "subject_id", "intime", "outtime"),
-        span.start_col,
-        span.end_col,
+        span.start,
+        span.end,
         1,
         "_day",
     )
     procedures = clinical["procedures_icd"].select(
         "subject_id",
-        F.unix_date(F.to_date("chartdate")).alias("_day"),
+        F.expr(S.bucket_of("chartdate", 1)).alias("_day"),
         F.col("icd_code").alias("procedures_icd"),
         "icd_version",
     )

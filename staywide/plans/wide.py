@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import any_positive, zero_if_null
 from .features import FEATURES, ICU_WITHIN_HOUR, counts_of, with_counts
-from .resources import RESOURCES, ROUTE_COLUMNS, WithRoutes
+from .resources import RESOURCES, ROUTE_COLUMNS, WithRoutes, count_columns
 
 STAY_COLUMNS = (
     "subject_id",
@@ -53,20 +53,17 @@ def wide_table(clinical, with_icu_within_hour: bool = False) -> DataFrame:
     features = [*FEATURES, ICU_WITHIN_HOUR] if with_icu_within_hour else list(FEATURES)
     counts = [*counts_of(features), *RESOURCES.values()]
     counted = with_counts(base_stays(clinical), WithRoutes(clinical), counts)
-    return counted.select(
+    return counted.selectExpr(
         *STAY_COLUMNS,
         *TRIAGE_COLUMNS,
         *[f.value() for f in features],
-        *[
-            zero_if_null(F.col(count.name)).alias(column)
-            for column, count in RESOURCES.items()
-        ],
+        *count_columns(RESOURCES),
     )
 
 
 def feature_totals(wide: DataFrame) -> DataFrame:
     """feature, total: number of flagged stays, all columns in one pass."""
-    totals = wide.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in FLAG_COLUMNS])
+    totals = wide.agg(*[F.expr(f"sum({c}) AS {c}") for c in FLAG_COLUMNS])
     return totals.unpivot([], list(FLAG_COLUMNS), "feature", "total").select(
         "feature", zero_if_null(F.col("total")).alias("total")
     )
