@@ -39,14 +39,16 @@ class Span:
     """A time range relative to a stay, as SQL expressions over the stay's columns.
 
     Both ends belong to the span unless `open_start` is set. `end=None` leaves the
-    span without an upper bound. `bucket_days` is the width of the time buckets:
-    about the length of the span, so that a span meets few of them.
+    span without an upper bound. `whole_days` marks a span from the start of a day to
+    the last instant of a day. `bucket_days` is the width of the time buckets: about the
+    length of the span, so that a span meets few of them.
     """
 
     name: str
     start: str
     end: str | None
     open_start: bool = False
+    whole_days: bool = False
     bucket_days: int = 1
 
     def holds(self, when: str) -> str:
@@ -74,11 +76,14 @@ FIRST_HOUR_SAME_DAYS = Span(
 PAST_HOUR_SAME_DAYS = Span(
     "past_hour_same_days", HOUR_LATER, _day_end("outtime"), open_start=True
 )
-STAY_DAYS = Span("stay_days", _day_start("intime"), _day_end("outtime"))
+STAY_DAYS = Span(
+    "stay_days", _day_start("intime"), _day_end("outtime"), whole_days=True
+)
 STAY_DAYS_PLUS_ONE = Span(
     "stay_days_plus_one",
     _day_start("intime"),
     _day_end("(outtime + INTERVAL '1' DAY)"),
+    whole_days=True,
 )
 
 
@@ -165,95 +170,183 @@ def _any_measure(measures) -> str:
     return "(" + " OR ".join(dict.fromkeys(f"({m.where})" for m in measures)) + ")"
 
 
-def _measured(source: EventSource, keys, numbered) -> DataFrame:
-    """(keys, t, measure, n): one row per event and measure that it counts for."""
-    rows = source.df.where(
-        f"{_known([*keys, f'({source.time})'])} AND {_any_measure(m for _, m in numbered)}"
-    )
-    if len(numbered) == 1:
-        number, m = numbered[0]
-        hit = [f"{number} AS measure", f"CAST({m.amount} AS BIGINT) AS n"]
-        return rows.selectExpr(*keys, f"{source.time} AS t", *hit)
-    hits = ", ".join(
-        f"CASE WHEN {m.where} THEN"
-        f" named_struct('measure', {number}, 'n', CAST({m.amount} AS BIGINT)) END"
-        for number, m in numbered
-    )
-    return rows.selectExpr(
-        *keys, f"{source.time} AS t", f"inline(array_compact(array({hits})))"
+@dataclass(frozen=True)
+class _Pass:
+    """Counts with the same keys and bucket width: they share points and totals.
+
+    Measures and spans are numbered within the pass, so that all passes can use the same
+    few columns for their running totals and weights.
+    """
+
+    number: int
+    keys: tuple[str, ...]
+    days: int
+    counts: tuple[SpanCount, ...]
+
+    @property
+    def measures(self) -> list[Measure]:
+        return list(dict.fromkeys(c.measure for c in self.counts))
+
+    @property
+    def spans(self) -> list[Span]:
+        return list(dict.fromkeys(c.span for c in self.counts))
+
+    def key_fields(self, width: int) -> str:
+        """Struct fields k0, k1, ... that hold the keys, padded to the common width."""
+        padded = [*self.keys, *["CAST(NULL AS BIGINT)"] * (width - len(self.keys))]
+        return ", ".join(f"'k{i}', {key}" for i, key in enumerate(padded))
+
+
+def _passes(counts) -> list[_Pass]:
+    groups = _group(counts, lambda c: (c.keys, c.span.bucket_days))
+    return [
+        _Pass(number, keys, days, tuple(group))
+        for number, ((keys, days), group) in enumerate(groups.items())
+    ]
+
+
+def _measured(source: EventSource, name: str, passes, width: int) -> DataFrame:
+    """(pass, keys, bucket, t, measure, n): one row per event and measure it counts for."""
+    hits, tests = [], []
+    for p in passes:
+        for number, m in enumerate(p.measures):
+            if m.source != name:
+                continue
+            test = f"({m.where}) AND {_known(p.keys)}"
+            tests.append(f"({test})")
+            hits.append(
+                f"CASE WHEN {test} THEN named_struct('pass', {p.number},"
+                f" {p.key_fields(width)}, 'bucket', {bucket_of(source.time, p.days)},"
+                f" 'measure', {number}, 'n', CAST({m.amount} AS BIGINT)) END"
+            )
+    return source.df.where(
+        f"({source.time}) IS NOT NULL AND ({' OR '.join(tests)})"
+    ).selectExpr(
+        f"{source.time} AS t", f"inline(array_compact(array({', '.join(hits)})))"
     )
 
 
-def _probe_list(number: int, span: Span, days: int) -> str:
-    """The points of one span as an SQL array; NULL if the span is empty.
+def _point_list(p: _Pass, width: int, weights: int, prefix: str) -> tuple[dict, str]:
+    """The points of one pass: helper columns over the stay, and an SQL array of points.
 
-    A span contributes minus one point at its start, plus one point at the end of every
-    bucket it runs through, and plus one point at its own end. `side` places a point
-    before (-1) or after (1) the events of the same instant.
+    A span subtracts the total at its start, and adds the total at the end of every
+    bucket it runs through and at its own end. Spans share the points they have in
+    common. `side` places a point before (-1) or after (1) the events of its instant.
     """
+    spans, days = p.spans, p.days
+    points: dict[tuple[str, int], dict[int, int]] = {}
+    for i, span in enumerate(spans):
+        if not span.whole_days:
+            opening = (span.start, 1 if span.open_start else -1)
+            points.setdefault(opening, {})[i] = -1
+            points.setdefault((span.end, 1), {})[i] = 1
+    ok, first, last = f"{prefix}ok", f"{prefix}first", f"{prefix}last"
+    usable = _known(p.keys)
+    helpers = {}
+    for i, span in enumerate(spans):
+        helpers[f"{ok}{i}"] = f"{usable} AND coalesce({span.start} <= {span.end}, FALSE)"
+        helpers[f"{first}{i}"] = bucket_of(span.start, days)
+        helpers[f"{last}{i}"] = (
+            f"{bucket_of(span.end, days)} - {0 if span.whole_days else 1}"
+        )
 
-    def point(sign, bucket, t, side):
+    def struct(bucket, t, side, values):
+        values = [*values, *["0"] * (weights - len(values))]
+        listed = ", ".join(f"'w{i}', {w}" for i, w in enumerate(values))
         return (
-            f"named_struct('span', {number}, 'sign', {sign}, 'bucket', {bucket},"
-            f" 't', {t}, 'side', {side})"
+            f"named_struct('pass', {p.number}, {p.key_fields(width)},"
+            f" 'bucket', {bucket}, 't', {t}, 'side', {side}, {listed})"
         )
 
-    first, last = bucket_of(span.start, days), bucket_of(span.end, days)
-    bucket_end = f"CAST(date_from_unix_date((b + 1) * {days}) AS TIMESTAMP_NTZ)"
-    opening = point(-1, first, span.start, 1 if span.open_start else -1)
-    closing = point(
-        1,
+    marks = [
+        struct(
+            bucket_of(t, days),
+            t,
+            side,
+            [f"if({ok}{i}, {of[i]}, 0)" if i in of else "0" for i in range(len(spans))],
+        )
+        for (t, side), of in points.items()
+    ]
+    through = struct(
         "b",
-        f"CASE WHEN b = {last} THEN {span.end} ELSE {bucket_end} END",
-        f"CASE WHEN b = {last} THEN 1 ELSE -1 END",
+        f"CAST(date_from_unix_date((b + 1) * {days}) AS TIMESTAMP_NTZ)",
+        "-1",
+        [
+            f"if({ok}{i} AND b BETWEEN {first}{i} AND {last}{i}, 1, 0)"
+            for i in range(len(spans))
+        ],
     )
-    return (
-        f"CASE WHEN {span.start} <= {span.end} THEN concat(array({opening}),"
-        f" transform(sequence({first}, {last}), b -> {closing})) END"
+    numbers = range(len(spans))
+    lowest = ", ".join(f"if({ok}{i}, {first}{i}, NULL)" for i in numbers)
+    highest = ", ".join(f"if({ok}{i}, {last}{i}, NULL)" for i in numbers)
+    low, high = f"array_min(array({lowest}))", f"array_max(array({highest}))"
+    ends = (
+        f"if({low} <= {high}, transform(sequence({low}, {high}), b -> {through}), array())"
     )
+    return helpers, f"concat(array({', '.join(marks)}), {ends})" if marks else ends
 
 
-def _probes(stays: DataFrame, keys, spans, days: int) -> DataFrame:
-    """Points at which a running total is read, with the sign it enters the sum with."""
-    lists = ", ".join(_probe_list(i, span, days) for i, span in enumerate(spans))
-    return stays.where(_known(keys)).selectExpr(
-        "stay_id AS _stay", *keys, f"inline(flatten(array_compact(array({lists}))))"
+def _points(stays: DataFrame, passes, width: int, weights: int) -> DataFrame:
+    """(stay, pass, keys, bucket, t, side, weights): where running totals are read."""
+    helpers, lists = {}, []
+    for p in passes:
+        own, points = _point_list(p, width, weights, f"_p{p.number}_")
+        helpers.update(own)
+        lists.append(points)
+    listed = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+    return (
+        stays.selectExpr("*", *[f"{sql} AS {name}" for name, sql in helpers.items()])
+        .selectExpr("stay_id AS _stay", f"inline({listed})")
+        .where(" OR ".join(f"w{i} <> 0" for i in range(weights)))
     )
 
 
-def _running_counts(stays, sources, keys, days, counts) -> DataFrame:
-    """Counts of events that share `keys` with a stay, by running totals."""
-    measures = list(dict.fromkeys(c.measure for c in counts))
-    spans = list(dict.fromkeys(c.span for c in counts))
-    by_source = _group(enumerate(measures), lambda numbered: numbered[1].source)
-    frames = [_measured(sources[name], keys, group) for name, group in by_source.items()]
-    # Events of one instant are folded into one row before the first shuffle.
+def _running_counts(stays, sources, counts) -> DataFrame:
+    """Counts of events that share keys with a stay, by running totals.
+
+    One aggregation folds the events of an instant into one row. One window then runs
+    through the instants and points of each key and bucket, for all passes at once.
+    """
+    passes = _passes(counts)
+    width = max(len(p.keys) for p in passes)
+    weights = max(len(p.spans) for p in passes)
+    totals = max(len(p.measures) for p in passes)
+    key = ["pass", *[f"k{i}" for i in range(width)], "bucket"]
+    names = dict.fromkeys(m.source for p in passes for m in p.measures)
+    frames = [_measured(sources[name], name, passes, width) for name in names]
     instants = (
         reduce(DataFrame.unionByName, frames)
-        .groupBy(*keys, "t", "measure")
+        .groupBy(*key, "t", "measure")
         .agg(F.sum("n").alias("n"))
-        .selectExpr("*", f"{bucket_of('t', days)} AS bucket", "0 AS side")
+        .selectExpr("*", "0 AS side")
     )
-    probes = _probes(stays, keys, spans, days)
     running = (
-        f"OVER (PARTITION BY {', '.join(keys)}, bucket ORDER BY t, side"
+        f"OVER (PARTITION BY {', '.join(key)} ORDER BY t, side"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
-    totals = instants.unionByName(probes, allowMissingColumns=True).selectExpr(
-        "_stay",
-        "span",
-        "sign",
-        *[
-            f"sum(CASE WHEN measure = {i} THEN n ELSE 0 END) {running} AS _m{i}"
-            for i in range(len(measures))
-        ],
+    read = (
+        instants.unionByName(
+            _points(stays, passes, width, weights), allowMissingColumns=True
+        )
+        .selectExpr(
+            "_stay",
+            "pass",
+            *[f"w{i}" for i in range(weights)],
+            *[
+                f"sum(CASE WHEN measure = {i} THEN n ELSE 0 END) {running} AS _m{i}"
+                for i in range(totals)
+            ],
+        )
+        .where("_stay IS NOT NULL")
     )
-    return totals.where("_stay IS NOT NULL").selectExpr(
+    # Most points of most stays read a total of zero; they need not travel on.
+    return read.where(" OR ".join(f"_m{i} <> 0" for i in range(totals))).selectExpr(
         "_stay AS stay_id",
         *[
-            f"CASE WHEN span = {spans.index(c.span)}"
-            f" THEN sign * _m{measures.index(c.measure)} ELSE 0 END AS `{c.name}`"
-            for c in counts
+            f"CASE WHEN pass = {p.number} THEN w{p.spans.index(c.span)} *"
+            f" _m{p.measures.index(c.measure)} ELSE 0 END AS `{c.name}`"
+            for p in passes
+            for c in p.counts
         ],
     )
 
@@ -347,18 +440,16 @@ def count_in_spans(
 ) -> DataFrame:
     """One row per stay that any event was found for, one BIGINT column per count.
 
-    Counts that share keys and bucket width share one pass over their sources. All
-    passes meet in a single aggregation by stay.
+    Each source is read once for all counts by running totals. All counts meet in a
+    single aggregation by stay.
     """
     by_stay = [c for c in counts if "stay_id" in c.keys]
     others = [c for c in counts if "stay_id" not in c.keys]
     bounded = [c for c in others if c.span is not None and c.span.end is not None]
     unbounded = [c for c in others if c.span is None or c.span.end is None]
     parts = []
-    for (keys, days), group in _group(
-        bounded, lambda c: (c.keys, c.span.bucket_days)
-    ).items():
-        parts.append((_running_counts(stays, sources, keys, days, group), group))
+    if bounded:
+        parts.append((_running_counts(stays, sources, bounded), bounded))
     for name, group in _group(by_stay, lambda c: c.measure.source).items():
         parts.append((_stay_counts(stays, sources[name], group), group))
     for (keys, name), group in _group(
