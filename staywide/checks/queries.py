@@ -130,7 +130,14 @@ def _(fx):
     cases = _stub_cases(fx)
 
     def answer(rows, load, number):
-        done = apply_model(rows, "prompt", load, wait=no_wait, on_failure="null")
+        done = apply_model(
+            rows,
+            "prompt",
+            load,
+            wait=no_wait,
+            on_failure="null",
+            partitions=_model_tasks(fx),
+        )
         return done.select("case_id", "response", F.lit(number).alias("pass"))
 
     files.write_checkpoint(answer(cases, T.load_stub, 1), path)
@@ -531,18 +538,31 @@ def _stub_cases(fx: Fixtures) -> DataFrame:
     return rendered.select("case_id", "prompt")
 
 
+def _model_tasks(fx: Fixtures) -> int:
+    """Model calls are the costly part, so their rows are spread over all cores."""
+    return fx.spark.sparkContext.defaultParallelism
+
+
+def _apply_stub(fx: Fixtures, on_failure: str) -> DataFrame:
+    done = apply_model(
+        _stub_cases(fx),
+        "prompt",
+        T.load_stub,
+        wait=no_wait,
+        on_failure=on_failure,
+        partitions=_model_tasks(fx),
+    )
+    return done.drop("prompt")
+
+
 @query("apply_model_stub")
 def _(fx):
-    done = apply_model(_stub_cases(fx), "prompt", T.load_stub, wait=no_wait)
-    return done.drop("prompt")
+    return _apply_stub(fx, "sentinel")
 
 
 @query("apply_model_null")
 def _(fx):
-    done = apply_model(
-        _stub_cases(fx), "prompt", T.load_stub, wait=no_wait, on_failure="null"
-    )
-    return done.drop("prompt")
+    return _apply_stub(fx, "null")
 
 
 @query("parse_level")
@@ -628,6 +648,7 @@ def _(fx):
         T.load_analysis_stub,
         T.load_format_stub,
         wait=no_wait,
+        partitions=_model_tasks(fx),
     )
     rows = scoring.levels(scoring.to_cases(answers, ["case_id"]))
     final = F.when(c("lost_answers") > 0, V.FAILED_LEVEL).otherwise(c("final_pred"))

@@ -109,15 +109,23 @@ def apply_model(
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                rows = batch.iloc[start : start + batch_size]
-                prompts = [None if pd.isna(p) else p for p in rows[prompt_col]]
-                response, attempts, error = _answer(model, prompts, max_attempts, wait)
-                yield rows.assign(
-                    response=pd.Series(response, index=rows.index, dtype=object),
-                    attempts=pd.Series(attempts, index=rows.index, dtype="int32"),
-                    error=pd.Series(error, index=rows.index, dtype=object),
-                )
+            prompts = batch[prompt_col].astype(object).where(batch[prompt_col].notna(), None)
+            prompts = prompts.tolist()
+            answers = [
+                _answer(model, prompts[start : start + batch_size], max_attempts, wait)
+                for start in range(0, len(prompts), batch_size)
+            ]
+            columns = zip(("response", "attempts", "error"), (object, "int32", object))
+            yield batch.assign(
+                **{
+                    name: pd.Series(
+                        [value for part in answers for value in part[place]],
+                        index=batch.index,
+                        dtype=kind,
+                    )
+                    for place, (name, kind) in enumerate(columns)
+                }
+            )
 
     source = df if partitions is None else df.repartition(partitions)
     answered = source.mapInPandas(answer, schema)

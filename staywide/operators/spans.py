@@ -219,10 +219,12 @@ def _measured(source: EventSource, name: str, passes, width: int) -> DataFrame:
                 f" {p.key_fields(width)}, 'bucket', {bucket_of(source.time, p.days)},"
                 f" 'measure', {number}, 'n', CAST({m.amount} AS BIGINT)) END"
             )
-    return source.df.where(
-        f"({source.time}) IS NOT NULL AND ({' OR '.join(tests)})"
-    ).selectExpr(
-        f"{source.time} AS t", f"inline(array_compact(array({', '.join(hits)})))"
+    hit = hits[0] if len(hits) == 1 else f"explode(array({', '.join(hits)}))"
+    return (
+        source.df.where(f"({source.time}) IS NOT NULL AND ({' OR '.join(tests)})")
+        .selectExpr(f"{source.time} AS t", f"{hit} AS hit")
+        .where("hit IS NOT NULL")
+        .selectExpr("t", "hit.*")
     )
 
 
@@ -296,7 +298,8 @@ def _points(stays: DataFrame, passes, width: int, weights: int) -> DataFrame:
     listed = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
     return (
         stays.selectExpr("*", *[f"{sql} AS {name}" for name, sql in helpers.items()])
-        .selectExpr("stay_id AS _stay", f"inline({listed})")
+        .selectExpr("stay_id AS _stay", f"explode({listed}) AS point")
+        .selectExpr("_stay", "point.*")
         .where(" OR ".join(f"w{i} <> 0" for i in range(weights)))
     )
 

@@ -43,6 +43,8 @@ def chain(
     second_prompt = render_prompt(first, format_of[F.col("view")], "analysis").withColumn(
         "prompt", F.when(F.col("analysis").isNotNull(), F.col("prompt"))
     )
+    # The rows are spread already; the second step stays in the tasks of the first.
+    options.pop("partitions", None)
     second = apply_model(
         second_prompt, "prompt", load_format, on_failure="null", **options
     )
