@@ -322,8 +322,8 @@ def _(fx):
 
 @query("scalar_count")
 def _(fx):
-    found = R.stay_procedures(fx).groupBy("stay_id").agg(F.count("*").alias("procedure_count"))
-    return set_count(fx["edstays"].select("stay_id"), found, "stay_id", "procedure_count")
+    stays = fx["edstays"].select("stay_id")
+    return set_count(stays, R.procedures_by_day(fx), "stay_id", "procedure_count")
 
 
 @query("existence_filter")

@@ -186,6 +186,29 @@ def stay_procedures(clinical) -> DataFrame:
     )
 
 
+def procedures_by_day(clinical) -> DataFrame:
+    """stay_id and procedure_count of every stay with a procedure, from daily counts.
+
+    Procedures are counted per subject and day before they meet the stays, so a stay
+    reads one row per day it covers instead of one row per procedure.
+    """
+    span = S.STAY_DAYS_PLUS_ONE
+    per_day = (
+        clinical["procedures_icd"]
+        .selectExpr("subject_id", f"{S.bucket_of('chartdate', 1)} AS day")
+        .groupBy("subject_id", "day")
+        .agg(F.count("*").alias("n"))
+    )
+    days = S.with_buckets(
+        clinical["edstays"], span.start, span.end, span.bucket_days, "day"
+    ).select("stay_id", "subject_id", "day")
+    return (
+        days.join(per_day, ["subject_id", "day"])
+        .groupBy("stay_id")
+        .agg(F.sum("n").alias("procedure_count"))
+    )
+
+
 def resource_type_count(wide: DataFrame) -> DataFrame:
     """stay_id and the number of resource types a stay used, not of single events.
 
