@@ -327,10 +327,14 @@ def _running_counts(stays, sources, counts) -> DataFrame:
         f"OVER (PARTITION BY {', '.join(key)} ORDER BY t, side"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
+    # Partitioned and sorted before the measures are spread over columns: the shuffle and
+    # the sort handle one narrow row per instant or point.
     read = (
         instants.unionByName(
             _points(stays, passes, width, weights), allowMissingColumns=True
         )
+        .repartition(*key)
+        .sortWithinPartitions(*key, "t", "side")
         .selectExpr(
             "_stay",
             "pass",
