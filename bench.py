@@ -59,6 +59,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # The wide plan has more generated classes than the default cache holds.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
