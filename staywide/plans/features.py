@@ -148,7 +148,7 @@ FEATURES = (
 # Staged on its own; the wide table carries it only on request.
 ICU_WITHIN_HOUR = _events("icu_within_1h", ICU_MOVE, ADMISSION, S.FIRST_HOUR_SAME_DAYS)
 
-# Second definitions of five features, from the single-feature scripts.
+# Second definitions of five features, with other spans.
 VARIANTS = (
     _events("non_invasive_ventilation", NON_INVASIVE, SUBJECT, None),
     _surgery("transfer_to_surgery_beyond_1h", S.PAST_HOUR_SAME_DAYS, S.STAY_DAYS),
