@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash
+from . import bpe, lm, mixing, quality, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,21 @@ def _op4(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_token_counts")
+def _op5(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op6_byte_bpe")
+def _op6(spark, sf_dir):
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op8_mix_sources")
 def _op8(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def _op10(spark, sf_dir):
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
