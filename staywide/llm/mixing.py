@@ -11,7 +11,7 @@ from .common import WORD, saved
 #: Weights by the position of a source in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Each source is cut into so many ranges of its seeded order.
-BUCKET_BITS = 16
+BUCKET_BITS = 10
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +67,7 @@ def mix(
     target is met; the last of these is cut (its first words count). So every source
     takes exactly the whole part of its target.
 
-    No task sees a source as a whole. The seeded order is cut into 2^16 ranges; the sums
+    No task sees a source as a whole. The seeded order is cut into 2^10 ranges; the sums
     of the ranges say which are taken whole and which one the target falls into, and only
     that range is ordered document by document.
 
