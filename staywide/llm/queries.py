@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, mixing, quality, secrets, simhash, tokens
+from . import bpe, knn, lm, mixing, quality, secrets, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def _op1(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), quality.labels_of(spark, sf_dir))
 
 
+@query("op2_nearest_neighbours")
+def _op2(spark, sf_dir):
+    return knn.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_secret_scans")
 def _op3(spark, sf_dir):
     return secrets.secret_scans(table(spark, sf_dir, "documents"))
