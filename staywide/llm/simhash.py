@@ -69,7 +69,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     signed = prints.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("k"))
     signed = signed.select("fp", "rep", F.expr(SIGNATURE).alias("sig"))
     shared = saved(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-counts")
-    members = saved(signed.join(shared, "sig").select("sig", "fp", "rep", "n"), "simhash-shared")
+    # Most signatures have one owner; the rest are broadcast while they are small, else both sides move.
+    members = saved(signed.join(broadcast_if_small(shared), "sig").select("sig", "fp", "rep", "n"), "simhash-shared")
 
     few = members.filter(F.col("n") <= crowd).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("rep", "fp"))).alias("m"))
     near = few.select(F.explode("m").alias("a"), "m").select(
