@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, saved
@@ -21,9 +21,9 @@ MAX_NODES = 1 << 24
 EDGE = 0xFF
 HELD_OUT = 10
 SMOOTH = 0.1
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: A block of documents: so many tokens, and no more documents than 16 bits can number.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 BLOCK_DOCS = 1 << 16
 
 
@@ -133,6 +133,7 @@ class Trie:
         top = self.n[order] + self.q[order]
         #: Cost of the nodes at full length, where most symbols are found.
         self.top = np.log10(self.count[order] / top[self.own[order]]) if len(codes) else np.zeros(0)
+        self.count[order] = None
         del self.own
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
@@ -155,6 +156,7 @@ class Trie:
                 q -= np.where(longer >= 0, self.q[j + 1][longer], 0.0)
             hit = node >= 0
             if hit.any():
+                # At full length all that are found were taken from `top`.
                 out[left[hit]] += np.log10(self.count[j][node[hit]] / (n + q)[hit])
             escapes = ~hit & (q > 0)
             out[left[escapes]] += np.log10(q[escapes] / (n + q)[escapes])
@@ -179,7 +181,7 @@ def pretrain(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) ->
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        codes, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merged():
             all_codes = np.concatenate([codes, *(w[0] for w in waiting)])
@@ -193,9 +195,10 @@ def pretrain(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) ->
             texts = [raw(t) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) if not held_out(i)]
             for _, _, _, found in grams(texts, order):
                 waiting.append(np.unique(found, return_counts=True))
-                if len(waiting) >= 16:
+                held += len(waiting[-1][0])
+                if held > SLICE * 4 + len(codes) // 2:
                     codes, counts = merged()
-                    waiting = []
+                    waiting, held = [], 0
         codes, counts = merged()
         for k in range(0, len(codes), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + (1 << 16)]), pa.array(counts[k : k + (1 << 16)])], ["code", "n"])
@@ -209,7 +212,9 @@ def pretrain(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) ->
     return Trie(*(np.asarray(got[c].to_numpy(), np.int64) for c in ("code", "n")), order)
 
 
-BLOCKS = "block long, held boolean, doc_id long, place int, n_tokens long, score double, word binary, train long, postings binary"
+#: Rows of a block, in the order in which they are read: documents, words, places of words.
+DOC, WORD_ROW, PLACES = 0, 1, 2
+BLOCKS = "block long, kind int, held boolean, doc_id long, place int, n_tokens long, score double, word binary, train long, sizes binary, entries binary"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -222,11 +227,12 @@ def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
 
 
 def _index(docs: DataFrame, trie: Trie) -> DataFrame:
-    """Per block of documents a row per document, and one per word with its places.
+    """Per block of documents a row per document, one per word, and the places of the words.
 
-    A place is a document's number in its block in the high, and how often it holds the
-    word in the low 16 bits. So the documents' words meet the corpus counts in one row
-    per block and word, not in one per occurrence.
+    `place` numbers the documents, and the words, of a block. An entry of a word is a
+    document's number in the high, and how often it holds the word in the low 16 bits.
+    So the documents' words meet the corpus counts in one narrow row per block and word,
+    however often a word occurs.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(trie)
     schema = _arrow(BLOCKS)
@@ -237,7 +243,7 @@ def _index(docs: DataFrame, trie: Trie) -> DataFrame:
         words, ids, lengths, held, block = {}, [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            word = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            word = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
             place = np.repeat(np.arange(len(lengths)), lengths)
             keys = np.sort(word << 16 | place)
             start = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -255,12 +261,12 @@ def _index(docs: DataFrame, trie: Trie) -> DataFrame:
             ends = np.append(begin, len(postings))
             for k in range(0, len(names), 1 << 15):
                 upto = min(len(names), k + (1 << 15))
-                offsets = ((ends[k : upto + 1] - ends[k]) * 4).astype(np.int32)
-                data = pa.py_buffer(postings[ends[k] : ends[upto]].tobytes())
-                binary = pa.Array.from_buffers(pa.binary(), upto - k, [None, pa.py_buffer(offsets.tobytes()), data])
-                columns = [pa.array(np.full(upto - k, first + block)), pa.array(names[k:upto], pa.binary()), pa.array(trained[k:upto]), binary]
-                by_name = dict(zip(("block", "word", "train", "postings"), columns))
-                yield pa.RecordBatch.from_arrays([by_name.get(f.name, pa.nulls(upto - k, f.type)) for f in schema], schema=schema)
+                n = upto - k
+                yield _rows(
+                    schema, n, block=np.full(n, first + block), kind=np.full(n, WORD_ROW), place=np.arange(k, upto), word=names[k:upto], train=trained[k:upto]
+                )
+                sizes = np.diff(ends[k : upto + 1]).astype("<u4").tobytes()
+                yield _rows(schema, 1, block=[first + block], kind=[PLACES], place=[k], sizes=[sizes], entries=[postings[ends[k] : ends[upto]].tobytes()])
 
         for batch in batches:
             doc_ids, texts = batch["doc_id"].to_pylist(), [raw(t) for t in batch["text"].to_pylist()]
@@ -272,7 +278,7 @@ def _index(docs: DataFrame, trie: Trie) -> DataFrame:
                 found = []
                 while upto < len(texts) and len(lengths) + len(found) < BLOCK_DOCS and (size < BLOCK_TOKENS or not lengths + found):
                     got = texts[upto].split()
-                    ids.append(np.fromiter((words.setdefault(w, len(words)) for w in got), np.int64, len(got)))
+                    ids.append(np.fromiter((words.setdefault(w, len(words)) for w in got), np.int32, len(got)))
                     size += len(got)
                     found.append(len(got))
                     upto += 1
@@ -281,6 +287,7 @@ def _index(docs: DataFrame, trie: Trie) -> DataFrame:
                     schema,
                     upto - done,
                     block=np.full(upto - done, first + block),
+                    kind=np.full(upto - done, DOC),
                     held=here,
                     doc_id=doc_ids[done:upto],
                     place=np.arange(len(lengths), len(lengths) + len(found)),
@@ -311,23 +318,26 @@ def lm_scores(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -
     stand there. Without training documents every byte costs 1 / 256 and no word is known.
     """
     index = saved(_index(docs, pretrain(docs, order, max_nodes)), "lm-index")
-    words = index.filter("word is not null").select("block", "word", "train", "postings")
-    people = index.filter("word is null").select("block", "held", "doc_id", "place", "n_tokens", "score")
-    counts = saved(words.groupBy("word").agg(F.sum("train").alias("c")).filter("c > 0"), "lm-words").withColumnRenamed("word", "word_")
+    people = index.filter(F.col("kind") == DOC).select("block", "kind", "held", "doc_id", "place", "n_tokens", "score")
+    places = index.filter(F.col("kind") == PLACES).select("block", "kind", "place", "sizes", "entries")
+    words = index.filter(F.col("kind") == WORD_ROW).select("block", "kind", "place", "word", "train")
+    # A word has one row per block, however often it occurs, so no word has many of the rows.
+    same = Window.partitionBy("word")
+    counted = words.withColumn("c", F.sum("train").over(same)).withColumn("nth", F.row_number().over(same.orderBy("block")))
+    counted = saved(counted.select("block", "kind", "place", "c", (F.col("nth") == 1).alias("first"), "train"), "lm-counts")
     ends = people.filter("not held").count()
-    known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    known = counted.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count(F.when(F.expr("first and c > 0"), 1)).alias("v")).first()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
     below = float(np.log10(n + SMOOTH * (v + 1)))
     end_cost = float(np.log10(ends + SMOOTH)) - below
-    # A word stands in one row per block; the join is between plain tables and can be split.
-    valued = words.join(counts, F.col("word") == F.col("word_"), "left").select("block", F.coalesce("c", F.lit(0)).alias("c"), "postings")
-    both = people.unionByName(valued, allowMissingColumns=True)
+    both = people.unionByName(counted.select("block", "kind", "place", "c"), allowMissingColumns=True).unionByName(places, allowMissingColumns=True)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         rows: list[pa.RecordBatch] = []
         base = hits = None
-        current = None
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        current = by_word = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(rows)
@@ -345,30 +355,33 @@ def lm_scores(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -
             )
 
         for batch in batches:
-            block = batch["block"].to_numpy()
-            edges = np.flatnonzero(np.diff(block)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(block)]):
-                part = batch.slice(lo, hi - lo)
-                if block[lo] != current:
+            key = batch["block"].to_numpy() * 4 + batch["kind"].to_numpy()
+            edges = np.flatnonzero(np.diff(key)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(key)]):
+                part, kind = batch.slice(lo, hi - lo), key[lo] % 4
+                if key[lo] // 4 != current:
                     if rows:
                         yield from flush()
-                    rows, current = [], block[lo]
+                    rows, counts, by_word, current = [], [], None, key[lo] // 4
                     base, hits = np.zeros(BLOCK_DOCS), np.zeros(BLOCK_DOCS)
-                is_doc = part["postings"].is_null()
-                if (docs_ := part.filter(is_doc)).num_rows:
-                    rows.append(docs_)
-                part = part.filter(pa.compute.invert(is_doc))
-                if part.num_rows:
-                    c = part["c"].to_numpy()
-                    size = pa.compute.binary_length(part["postings"]).to_numpy() // 4
-                    entries = np.frombuffer(b"".join(part["postings"].to_pylist()), "<u4")
-                    place, times = entries >> 16, entries & 0xFFFF
-                    cost = np.log10(c + SMOOTH) - below
-                    base += np.bincount(place, times * np.repeat(cost, size), BLOCK_DOCS)
-                    hits += np.bincount(place, times * np.repeat(c > 0, size), BLOCK_DOCS)
+                if kind == DOC:
+                    rows.append(part)
+                elif kind == WORD_ROW:
+                    counts.append((part["place"].to_numpy(), part["c"].to_numpy()))
+                else:
+                    if by_word is None:
+                        by_word = np.zeros(sum(len(w) for w, _ in counts), np.int64)
+                        for w, c in counts:
+                            by_word[w] = c
+                    for start, sizes, entries in zip(*(part[c].to_pylist() for c in ("place", "sizes", "entries"))):
+                        sizes, entries = np.frombuffer(sizes, "<u4"), np.frombuffer(entries, "<u4")
+                        c = np.repeat(by_word[start : start + len(sizes)], sizes)
+                        place, times = entries >> 16, entries & 0xFFFF
+                        base += np.bincount(place, times * (np.log10(c + SMOOTH) - below), BLOCK_DOCS)
+                        hits += np.bincount(place, times * (c > 0), BLOCK_DOCS)
         if rows:
             yield from flush()
 
-    by_block = both.repartition("block").sortWithinPartitions("block")
+    by_block = both.repartition("block").sortWithinPartitions("block", "kind")
     out = by_block.mapInArrow(total, RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
