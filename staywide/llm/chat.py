@@ -13,7 +13,7 @@ SCHEMAS = {
     "find_phrase": (("phrase", "string", True), ("ignore_case", "boolean", False)),
     "summarise": (("max_words", "integer", True), ("style", "string", True)),
 }
-_PATTERNS = {"integer": r"^-?(0|[1-9][0-9]*)$", "boolean": "^(true|false)$", "string": None}
+KINDS = {"integer": "BIGINT", "boolean": "BOOLEAN", "string": "STRING"}
 
 
 def calls_of(conversations: DataFrame) -> DataFrame:
@@ -28,7 +28,6 @@ def calls_of(conversations: DataFrame) -> DataFrame:
     n = F.length(text)
     first = F.coalesce(F.regexp_extract(text, f"({WORD})", 1), F.lit(""))
     number = n.cast("string")
-    some = F.struct(F.lit("text_length"), number, F.lit("integer"))
 
     def arguments(*pairs) -> Column:
         return F.concat(F.lit("{ "), F.concat_ws(" , ", *(F.concat(F.lit(f'"{k}" : '), v) for k, v in pairs)), F.lit(" }"))
@@ -41,7 +40,6 @@ def calls_of(conversations: DataFrame) -> DataFrame:
         .when(n % 3 == 1, arguments(("phrase", F.when(short, number).otherwise(quoted)), ("ignore_case", flag)))
         .otherwise(F.when(short, arguments(("max_words", number))).otherwise(arguments(("style", F.lit('"plain"')), ("max_words", number))))
     )
-    del some
     own = F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     parent = F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 2).cast("string"))
     return conversations.filter("role = 'assistant' and conv_id is not null and turn is not null").select(
@@ -88,54 +86,26 @@ def depths(calls: DataFrame, max_rounds: int = 64) -> DataFrame:
     return step.select(F.col("call_id").alias("deep_"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(-1).alias("depth"))
 
 
-def _fields(arguments: Column) -> Column:
-    """Top-level arguments as (key, raw JSON value), by key; null if the text is no JSON object."""
-    keys = F.json_object_keys(arguments)
-    raw = F.from_json(arguments, "map<string,string>")
-    return F.when(
-        keys.isNotNull() & raw.isNotNull(),
-        F.transform(F.array_sort(F.array_distinct(keys)), lambda k: F.struct(k.alias("key"), F.element_at(raw, k).alias("value"))),
-    )
-
-
-def check(name: Column, fields: Column, arguments: Column, schemas=SCHEMAS) -> Column:
-    """The first fault of the arguments, null if there is none."""
-
-    def value(key: str) -> Column:
-        return F.element_at(F.map_from_entries(fields), key)
-
-    def is_text(key: str) -> Column:
-        return F.regexp_like(arguments, F.lit(f'"{key}"\\s*:\\s*"'))
-
-    rules = [F.when(fields.isNull(), "arguments are no JSON object"), F.when(~name.isin(*schemas), "unknown tool")]
+def check(name: Column, parsed: Column, schemas=SCHEMAS) -> Column:
+    """The first fault of the arguments, a variant, null if there is none."""
+    keys = F.json_object_keys(F.to_json(parsed))
+    rules = [F.when(keys.isNull(), "arguments are no JSON object"), F.when(~F.coalesce(name.isin(*schemas), F.lit(False)), "unknown tool")]
     for tool, wanted in sorted(schemas.items()):
-        names = [k for k, _, _ in wanted]
         here = name == tool
-        rules.append(F.when(here & F.exists(fields, lambda f: ~f["key"].isin(*names)), "unknown argument"))
+        more = F.array_except(keys, F.array(*(F.lit(key) for key, _, _ in wanted)))
+        rules.append(F.when(here & (F.size(more) > 0), "unknown argument"))
         for key, kind, required in wanted:
-            there = F.exists(fields, lambda f, key=key: f["key"] == key)
+            found = F.schema_of_variant(F.variant_get(parsed, f"$.{key}", "variant"))
             if required:
-                rules.append(F.when(here & ~there, f"{key} is missing"))
-            right = is_text(key) if kind == "string" else ~is_text(key) & F.coalesce(value(key).rlike(_PATTERNS[kind]), F.lit(False))
-            rules.append(F.when(here & there & ~right, f"{key} is no {kind}"))
+                rules.append(F.when(here & found.isNull(), f"{key} is missing"))
+            rules.append(F.when(here & (found != KINDS[kind]), f"{key} is no {kind}"))
     return F.coalesce(*rules)
 
 
-def canonical(fields: Column, arguments: Column) -> Column:
-    """The object with keys in order and no space; values that were texts are quoted again."""
-
-    def one(f: Column) -> Column:
-        text = F.regexp_like(arguments, F.concat(F.lit('"'), f["key"], F.lit('"\\s*:\\s*"')))
-        return F.concat(json_text(f["key"]), F.lit(":"), F.when(text, json_text(f["value"])).otherwise(F.coalesce(f["value"], F.lit("null"))))
-
-    return F.concat(F.lit("{"), F.array_join(F.transform(fields, one), ","), F.lit("}"))
-
-
 def json_text(value: Column) -> Column:
-    """A JSON string: backslash, quote, line break, carriage return and tab escaped."""
-    for char, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        value = F.replace(value, F.lit(char), F.lit(mark))
-    return F.concat(F.lit('"'), value, F.lit('"'))
+    """A JSON string, null for null."""
+    written = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNotNull(), F.substring(written, 6, F.length(written) - 6))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
@@ -149,7 +119,7 @@ def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     Of calls, and of results, with one identifier the first counts (smallest turn, then
     name and arguments; smallest content). Calls without a result have `linked` false and
     a null result; a parent that is not there counts as none. Null identifiers take no part.
-    Values are flat: texts, numbers, booleans and null.
+    An object that names a key twice is no JSON object.
     """
     calls = calls.filter("call_id is not null").groupBy("call_id").agg(
         F.min(F.struct("turn", "name", "arguments", "conv_id", "parent_id")).alias("c")
@@ -157,9 +127,11 @@ def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     calls = saved(calls, "chat-calls")
     results = results.filter("call_id is not null").groupBy(F.col("call_id").alias("result_")).agg(F.min("content").alias("content"))
     both = calls.join(results, F.col("call_id") == F.col("result_"), "left").join(depths(calls), F.col("call_id") == F.col("deep_"))
-    both = both.withColumn("fields_", _fields(F.col("arguments")))
-    both = both.withColumn("fault", check(F.col("name"), F.col("fields_"), F.col("arguments"), schemas))
-    arguments = F.when(F.col("fault").isNull(), canonical(F.col("fields_"), F.col("arguments"))).otherwise(json_text(F.coalesce("arguments", F.lit(""))))
+    # A variant keeps the keys of an object in order, at every level.
+    both = both.withColumn("parsed_", F.try_parse_json("arguments"))
+    both = both.withColumn("fault", check(F.col("name"), F.col("parsed_"), schemas))
+    text = json_text(F.coalesce("arguments", F.lit("")))
+    arguments = F.when(F.col("fault").isNull(), F.to_json("parsed_")).otherwise(text)
     json = F.concat(
         F.lit('{"arguments":'),
         arguments,

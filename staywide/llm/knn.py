@@ -92,9 +92,16 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, one component after the other: equal rows give equal sums wherever they stand."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row in double precision; equal rows give equal results wherever they stand."""
-    return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    return _dots(a, b) / np.sqrt(_dots(a, a) * _dots(b, b))
 
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:

@@ -23,7 +23,7 @@ HELD_OUT = 10
 SMOOTH = 0.1
 SLICE = 1 << 18
 #: A block of documents: so many tokens, and no more documents than 16 bits can number.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
 BLOCK_DOCS = 1 << 16
 
 
@@ -37,6 +37,13 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT == 0
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones: what is made of their texts is as large again."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def grams(texts: list[bytes], order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of texts: first text, their number, and for every symbol its text and its code.
 
@@ -191,7 +198,7 @@ def pretrain(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) ->
             first = np.flatnonzero(np.diff(all_codes, prepend=-1))
             return all_codes[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
 
-        for batch in batches:
+        for batch in small(batches):
             texts = [raw(t) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) if not held_out(i)]
             for _, _, _, found in grams(texts, order):
                 waiting.append(np.unique(found, return_counts=True))
@@ -243,20 +250,22 @@ def _index(docs: DataFrame, trie: Trie) -> DataFrame:
         words, ids, lengths, held, block = {}, [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            word = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-            place = np.repeat(np.arange(len(lengths)), lengths)
-            keys = np.sort(word << 16 | place)
+            keys = np.concatenate(ids).astype(np.int64)
+            keys <<= 16
+            keys |= np.repeat(np.arange(len(lengths)), lengths)
+            keys.sort()
             start = np.flatnonzero(np.diff(keys, prepend=-1))
             times = np.diff(np.append(start, len(keys)))
             keys = keys[start]
             # Counts beyond 16 bits take several entries.
             more = np.maximum(1, -(-times // 0xFFFF))
-            owner, keys_, full = np.repeat(times, more), np.repeat(keys, more), np.repeat(more, more)
-            nth = np.arange(len(full)) - np.repeat(np.cumsum(more) - more, more)
-            entry = np.where(nth < full - 1, 0xFFFF, owner - 0xFFFF * (full - 1))
-            postings = ((keys_ & 0xFFFF) << 16 | entry).astype("<u4")
-            begin = np.flatnonzero(np.diff(keys_ >> 16, prepend=-1))
-            trained = np.add.reduceat(np.where(np.array(held)[keys_ & 0xFFFF], 0, entry), begin) if len(begin) else begin
+            if (more > 1).any():
+                full, keys, total = np.repeat(more, more), np.repeat(keys, more), np.repeat(times, more)
+                nth = np.arange(len(full)) - np.repeat(np.cumsum(more) - more, more)
+                times = np.where(nth < full - 1, 0xFFFF, total - 0xFFFF * (full - 1))
+            postings = ((keys & 0xFFFF) << 16 | times).astype("<u4")
+            begin = np.flatnonzero(np.diff(keys >> 16, prepend=-1))
+            trained = np.add.reduceat(np.where(np.array(held)[keys & 0xFFFF], 0, times), begin) if len(begin) else begin
             names = list(words)
             ends = np.append(begin, len(postings))
             for k in range(0, len(names), 1 << 15):
@@ -268,7 +277,7 @@ def _index(docs: DataFrame, trie: Trie) -> DataFrame:
                 sizes = np.diff(ends[k : upto + 1]).astype("<u4").tobytes()
                 yield _rows(schema, 1, block=[first + block], kind=[PLACES], place=[k], sizes=[sizes], entries=[postings[ends[k] : ends[upto]].tobytes()])
 
-        for batch in batches:
+        for batch in small(batches):
             doc_ids, texts = batch["doc_id"].to_pylist(), [raw(t) for t in batch["text"].to_pylist()]
             scores = model.score(texts)
             done = 0

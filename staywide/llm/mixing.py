@@ -10,8 +10,8 @@ from .common import WORD, saved
 
 #: Weights by the position of a source in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Each source is cut into so many ranges of its seeded order.
-BUCKET_BITS = 10
+#: Each source is cut into 16 to this power ranges of its seeded order.
+BUCKET_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +67,7 @@ def mix(
     target is met; the last of these is cut (its first words count). So every source
     takes exactly the whole part of its target.
 
-    No task sees a source as a whole. The seeded order is cut into 2^10 ranges; the sums
+    No task sees a source as a whole. The seeded order is cut into 4096 ranges; the sums
     of the ranges say which are taken whole and which one the target falls into, and only
     that range is ordered document by document.
 
@@ -76,7 +76,7 @@ def mix(
     table gives an empty result; sources of size 0 have target 0.
     """
     sized = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size")).withColumn(
-        "at", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+        "at", F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col("size")), "UTF-8"))
     )
     # Texts that are kept are read again, not copied to the shared folder.
     narrow = saved(sized.select("source", "size", "at", *([] if keep else ["doc_id"])), "mix-sizes")
@@ -87,7 +87,7 @@ def mix(
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", (F.floor("target") - F.col("whole") * F.col("source_size")).cast("long"))
     )
-    bucket = F.shiftrightunsigned("at", 64 - BUCKET_BITS)
+    bucket = F.substring("at", 1, BUCKET_DIGITS)
     ranges = narrow.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = saved(
@@ -113,7 +113,7 @@ def mix(
     inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size", *(c for c in keep if c == "text")).rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.filter("at_edge").withColumn("reached", F.col("edge_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cut = cut.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("reached")))).drop("reached")
-    even = rows.filter("not at_edge").withColumn("more", F.when(F.col("bucket") <= F.coalesce("last", F.lit(-1)), F.col("size")).otherwise(0))
+    even = rows.filter("not at_edge").withColumn("more", F.when(F.col("bucket") <= F.col("last"), F.col("size")).otherwise(0))
     return even.unionByName(cut).select(
         "doc_id",
         "source",
@@ -133,7 +133,8 @@ def repeat(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int =
     """
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     columns = docs.columns
-    mixed = mix(docs, share, epochs, seed, keep=tuple(c for c in columns if c not in ("doc_id", "source")))
+    packed = docs.select("doc_id", "source", "text", F.struct(*columns).alias("row_"))
+    mixed = mix(packed, share, epochs, seed, keep=("text", "row_"))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     copies = F.concat(
@@ -141,8 +142,10 @@ def repeat(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int =
         F.when(part > 0, F.array(part.cast("int"))).otherwise(F.array().cast("array<int>")),
     )
     out = mixed.withColumn("copy_", F.explode(copies))
-    text = F.when(F.col("copy_") > 0, F.array_join(F.slice(words, 1, F.greatest(F.col("copy_"), F.lit(1))), " ")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    cut = F.array_join(F.slice(words, 1, F.greatest(F.col("copy_"), F.lit(1))), " ")
+    out = out.withColumn("text", F.when(F.col("copy_") > 0, cut).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("copy_") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        kept = F.col("row_.n_chars")
+        changed["n_chars"] = F.when(F.col("copy_") > 0, F.length("text")).otherwise(kept).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, F.col(f"row_.{c}")).alias(c) for c in columns))

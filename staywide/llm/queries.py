@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, knn, lm, mixing, quality, secrets, simhash, tokens
+from . import bpe, chat, knn, lm, mixing, quality, secrets, simhash, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +52,157 @@ def _op6(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op7_warc_derivatives")
+def _op7(spark, sf_dir):
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 @query("op8_mix_sources")
 def _op8(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op9_chat_tools")
+def _op9(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.link(chat.calls_of(conversations), chat.results_of(conversations))
+
+
 @query("op10_lm_scoring")
 def _op10(spark, sf_dir):
     return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+# One component after the other, as the operator sums.
+_DOT = "list_reduce(list_prepend(0.0::DOUBLE, [a.v[i] * b.v[i] for i in range(1, len(a.v) + 1)]), lambda x, y: x + y)"
+
+
+def _norm(side: str) -> str:
+    return _DOT.replace("a.v", f"{side}.v").replace("b.v", f"{side}.v")
+
+
+ORACLES["op2_nearest_neighbours"] = f"""
+WITH e AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([1 for x in embedding if x <> 0]) > 0
+),
+n AS (SELECT a.vec_id, a.v, {_norm("a")} AS vv FROM e a),
+pairs AS (
+    SELECT a.vec_id AS query_id, b.vec_id, {_DOT} / sqrt(a.vv * b.vv) AS score
+    FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {knn.EVERY} = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= {knn.NEAREST}"""
+
+ORACLES["op8_mix_sources"] = r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+    FROM documents
+),
+s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM d GROUP BY source
+),
+-- Of all sources that could be full, as many are as keep the level above what they can take.
+levels AS (
+    SELECT s.*, 2.0::DOUBLE * source_size AS cap,
+           (1.5::DOUBLE * (SELECT sum(source_size) FROM s)
+            - coalesce((SELECT sum(2.0::DOUBLE * o.source_size) FROM s o WHERE o.source_size / o.weight < s.source_size / s.weight), 0))
+           / (SELECT sum(o.weight) FROM s o WHERE o.source_size / o.weight >= s.source_size / s.weight) AS level
+    FROM s
+),
+t AS (
+    SELECT source, source_size,
+           least(cap, (SELECT max(level) FROM levels WHERE level <= cap / weight) * weight) AS target
+    FROM levels
+),
+h AS (
+    SELECT d.*, source_size, target,
+           CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+           coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))),
+               doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target,
+       CAST(whole * size + greatest(0, least(size, floor(target) - whole * source_size - before)) AS BIGINT) AS taken
+FROM h"""
+
+
+def _uuid(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(10), {', '.join(parts)}))"
+    return f"'<urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12)) || '>'"
+
+
+def _text(html: str) -> str:
+    for pattern, by in ((warc.DROPPED, "' '"), (warc.BREAKS, "chr(10)"), (warc.TAGS, "''")):
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    for entity, char in warc.ENTITIES:
+        html = "replace({}, '{}', '{}')".format(html, entity, char.replace("'", "''"))
+    for pattern, by in ((warc.BLANKS, "' '"), (warc.LINES, "chr(10)"), (warc.ENDS, "''")):
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    return html
+
+
+_LINE = "chr(13) || chr(10)"
+ORACLES["op7_warc_derivatives"] = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+r AS (
+    SELECT *, 'sha256:' || sha256(payload) AS payload_digest,
+           {_uuid("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "target_uri", "'sha256:' || sha256(payload)")} AS refers_to,
+           {_text("payload")} AS text
+    FROM p
+),
+c AS (SELECT *, 'sha256:' || sha256(text) AS text_digest FROM r),
+i AS (SELECT *, {_uuid("'conversion'", "refers_to", "text_digest")} AS conversion_id FROM c),
+m AS (
+    SELECT *, 'source-content-type: text/html' || {_LINE} || 'source-payload-digest: ' || payload_digest || {_LINE}
+        || 'source-length: ' || strlen(payload) || {_LINE} || 'conversion: ' || conversion_id || {_LINE}
+        || 'conversion-digest: ' || text_digest || {_LINE} || 'conversion-length: ' || strlen(text) || {_LINE} AS fields
+    FROM i
+),
+derived AS (
+    SELECT page_id, 'metadata' AS warc_type, {_uuid("'metadata'", "refers_to", "text_digest")} AS record_id, refers_to, target_uri,
+           'application/warc-fields' AS content_type, fields AS block FROM m
+    UNION ALL
+    SELECT page_id, 'conversion', conversion_id, refers_to, target_uri, '{warc.PROFILE}', text FROM m
+)
+SELECT page_id, warc_type, record_id, refers_to, target_uri, '{warc.WARC_DATE}' AS warc_date, content_type,
+       'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
+FROM derived"""
+
+ORACLES["op9_chat_tools"] = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations
+    WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+),
+-- Calls two turns apart build on each other: a chain is a run of them.
+runs AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM c),
+deep AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS depth FROM runs),
+u AS (
+    SELECT conv_id, turn, min(coalesce(text, '')) AS content FROM conversations
+    WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+),
+a AS (
+    SELECT d.*, u.content, u.conv_id IS NOT NULL AS linked,
+        CASE n % 3 WHEN 0 THEN 'count_words' WHEN 1 THEN 'find_phrase' ELSE 'summarise' END AS name,
+        CASE WHEN n % 7 <> 0 THEN NULL WHEN n % 3 = 0 THEN 'text_length is missing' WHEN n % 3 = 1 THEN 'phrase is no string'
+             ELSE 'style is missing' END AS fault,
+        CASE WHEN n % 7 <> 0 THEN CASE n % 3
+            WHEN 0 THEN '{"limit":' || (n % 10) || ',"text_length":' || n || '}'
+            WHEN 1 THEN '{"ignore_case":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"phrase":'
+                || CAST(to_json(coalesce(regexp_extract(text, '([^ 	-
+]+)', 1), '')) AS VARCHAR) || '}'
+            ELSE '{"max_words":' || n || ',"style":"plain"}' END
+        ELSE CAST(to_json(CASE n % 3 WHEN 0 THEN '{ "limit" : ' || n || ' }'
+            WHEN 1 THEN '{ "phrase" : ' || n || ' , "ignore_case" : ' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ' }'
+            ELSE '{ "max_words" : ' || n || ' }' END) AS VARCHAR) END AS arguments
+    FROM deep d LEFT JOIN u ON u.conv_id = d.conv_id AND u.turn = d.turn + 1
+)
+SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, CAST(depth AS BIGINT) AS depth, name, fault, linked,
+       '{"arguments":' || arguments || ',"id":"call-' || conv_id || '-' || turn || '","name":"' || name || '","result":'
+       || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
+FROM a"""

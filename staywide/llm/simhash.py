@@ -9,9 +9,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..sources.workspace import broadcast_if_small
-from .common import saved
+from .common import fresh, saved
 from .components import components
 
 BITS = 64
@@ -45,7 +46,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(packed.view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
@@ -129,8 +130,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = near_duplicates(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_")).agg(F.count(F.lit(1)).alias("n"))
     roots = saved(roots, "simhash-kept")
 
+    name = fresh(docs, "kept_")
+
     def of(ids: DataFrame) -> DataFrame:
-        return docs.join(broadcast_if_small(ids.select("kept_")), docs["doc_id"] == F.col("kept_"), "left_semi")
+        return docs.join(broadcast_if_small(ids.select(F.col("kept_").alias(name))), docs["doc_id"] == F.col(name), "left_semi")
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     again = of(roots.filter("n > 1")).groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row_"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WARC_DATE = "2024-01-01T00:00:00Z"
-SOFTWARE = "staywide text conversion"
 PROFILE = "text/plain; charset=utf-8"
 CRLF = "\r\n"
 
@@ -17,6 +16,7 @@ BREAKS = r"(?i)<(?:/?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|header|fo
 TAGS = r"<[/!?a-zA-Z][^>]*>"
 BLANKS = r"[ \t\r\f\x0B]+"
 LINES = r" ?\n[ \n]*"
+ENDS = r"^[ \n]+|[ \n]+$"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -29,7 +29,7 @@ def plain_text(html: Column) -> Column:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, BLANKS, " ")
     text = F.regexp_replace(text, LINES, "\n")
-    return F.trim(F.lit(" \n"), text) if False else F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(text, ENDS, "")
 
 
 def digest(block: Column) -> Column:
@@ -85,7 +85,7 @@ def derivatives(source: DataFrame) -> DataFrame:
         "conversion_id", record_id(F.lit("conversion"), F.col("record_id"), F.col("text_digest"))
     )
     fields = F.concat(
-        F.lit(f"source-content-type: "),
+        F.lit("source-content-type: "),
         F.coalesce("content_type", F.lit("")),
         F.lit(f"{CRLF}source-payload-digest: "),
         "payload_digest",
