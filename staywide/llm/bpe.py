@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, in_parts
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: A text is halved down to leaves of so many characters, a match to so many bytes.
@@ -23,7 +23,7 @@ LEAF_BYTES = 96
 #: A match looks so many characters beyond its end at most.
 REACH = 2
 #: Matches whose ids are remembered; a full memory is emptied.
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 class _Ids(dict):
@@ -157,7 +157,7 @@ def encode_documents(docs: DataFrame, ids: bool = False, path: str | None = None
     @F.pandas_udf(result)
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = TreeCodec(path)
-        for batch in texts:
+        for batch in in_parts(texts):
             got = [codec.encode(t) for t in batch]
             out = pd.DataFrame({"n_tokens": [len(g) for g in got]}, dtype="int64")
             out["ids_sha256"] = [hashlib.sha256(g.tobytes()).hexdigest() for g in got]

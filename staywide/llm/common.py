@@ -50,3 +50,10 @@ def chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def in_parts(batches: Iterator, rows: int = 500) -> Iterator:
+    """Series in shorter ones: what is made of their texts at a time stays small."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, table
+from .common import chunks, fresh, in_parts, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -237,7 +237,7 @@ def judge(docs: DataFrame, model: Model | None, min_quality: float = MIN_QUALITY
     @F.pandas_udf(RESULT)
     def rules(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = shipped.value
-        for batch in texts:
+        for batch in in_parts(texts):
             batch = batch.tolist()
             out = pd.DataFrame([base_counts(t) for t in batch], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
             out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])

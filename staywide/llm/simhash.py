@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..sources.workspace import broadcast_if_small
-from .common import fresh, saved
+from .common import fresh, in_parts, saved
 from .components import components
 
 BITS = 64
@@ -48,7 +48,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 @F.pandas_udf(LongType())
 def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
+    for batch in in_parts(texts):
         yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
 
 

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, in_parts
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -220,7 +220,7 @@ def with_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) ->
     @F.pandas_udf(RESULT)
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = PrefixCounter(path)
-        for batch in texts:
+        for batch in in_parts(texts):
             rows = []
             for t in batch:
                 t = t or ""
