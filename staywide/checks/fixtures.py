@@ -32,7 +32,7 @@ VIEWS = {
         FROM {fx_edstays} WHERE stay_id % 10 <> 0
     """,
     "fx_poe": """
-        SELECT event_id AS poe_id, user_id AS subject_id, user_id * 10 + CAST(floor(day(ts) / 10) AS INT) AS hadm_id, ts AS ordertime,
+        SELECT CAST(user_id AS VARCHAR(20)) || '-' || CAST(event_id AS VARCHAR(20)) AS poe_id, user_id AS subject_id, user_id * 10 + CAST(floor(day(ts) / 10) AS INT) AS hadm_id, ts AS ordertime,
                CASE WHEN event_id % 5 = 0 THEN 'Consults' WHEN event_id % 5 = 1 THEN 'Respiratory' ELSE 'Blood Bank' END AS order_type,
                CASE event_id % 8 WHEN 0 THEN 'Mechanical Ventilation' WHEN 1 THEN 'BiPAP' WHEN 2 THEN 'CPAP for OSA'
                     WHEN 3 THEN 'Red Cell Product Order' WHEN 4 THEN 'Platelet Product Order' WHEN 5 THEN 'Frozen Plasma Product Order'
@@ -68,10 +68,11 @@ VIEWS = {
         FROM {fx_edstays} s JOIN {region} r ON r.r_regionkey < s.stay_id % 5
     """,
     "fx_pyxis_admin_method": """
-        SELECT * FROM (VALUES ('Sodium Chloride 0.9% 1000mL', 'intravenous fluids'), ('Heparin 5000u', 'intravenous'),
+        SELECT DISTINCT p.name AS drug_name, t.admin_method FROM {fx_pyxis} p JOIN (VALUES ('Sodium Chloride 0.9% 1000mL', 'intravenous fluids'), ('Heparin 5000u', 'intravenous'),
           ('Insulin REGULAR', 'intravenous'), ('Insulin REGULAR', 'intramuscular'), ('Haloperidol 5mg/1mL 1mL VIAL', 'intramuscular'),
           ('Albuterol NEB', 'nebulized medications'), ('Acetaminophen 325mg TAB', 'oral medications'),
           ('Lorazepam 1mg TAB', 'oral medications'), ('NITROGLYCERIN SL', 'sublingual')) AS t(drug_name, admin_method)
+          ON t.drug_name = p.name
     """,
     "fx_labevents": """
         SELECT event_id AS labevent_id, user_id AS subject_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS charttime

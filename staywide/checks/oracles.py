@@ -595,11 +595,16 @@ def oracle_sql() -> dict[str, str]:
     )
     views, rows = FLAGGED["red_cell_order_more_than_1"]
     q["red_cell_order_counts"] = with_views(views, rows)
-    vote = (
-        "COALESCE(CASE WHEN {b} = {c} THEN {b} END, {a}, {b}, {c})"
-    ).format(a="llm1_format", b="llm2_format", c="llm3_format")
+    # Votes are counted and ranked; of equals the earliest voter's answer comes first.
     q["majority_vote"] = with_views(
-        OUTPUTS, f"SELECT case_id, {vote} AS final_pred FROM fx_llm_outputs"
+        OUTPUTS,
+        """WITH v AS (SELECT case_id, unnest([1, 2, 3]) AS place,
+                          unnest([llm1_format, llm2_format, llm3_format]) AS answer FROM fx_llm_outputs),
+             n AS (SELECT case_id, answer, COUNT(*) AS votes, MIN(place) AS early FROM v
+                   WHERE answer IS NOT NULL GROUP BY case_id, answer),
+             r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY votes DESC, early) AS k FROM n)
+        SELECT o.case_id, r.answer AS final_pred FROM fx_llm_outputs o
+        LEFT JOIN r ON r.case_id = o.case_id AND r.k = 1""",
     )
 
     # Features

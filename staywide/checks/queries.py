@@ -117,9 +117,8 @@ def _(fx):
     path = scratch(fx.spark, "templates")
     named = [(f"view_{view}", text) for view, text in T.ANALYSIS.items()]
     files.write_templates(fx.spark.createDataFrame(named, "name STRING, value STRING"), path)
-    loaded = files.load_templates(fx.spark, path)
-    views = {view: loaded[f"view_{view}"] for view in T.ANALYSIS}
-    fanned = PR.fan_out(fx["fx_llm_outputs"].select("case_id", "response"), views)
+    rows = fx["fx_llm_outputs"].select("case_id", "response", F.explode(F.array(*map(F.lit, T.ANALYSIS))).alias("view"))
+    fanned = PR.with_template(rows, files.read_templates(fx.spark, path), F.concat(F.lit("view_"), "view"))
     prompt = F.concat("instruction", F.coalesce("response", F.lit("None")))
     return fanned.select("case_id", "view", prompt.alias("prompt"))
 
@@ -651,10 +650,7 @@ def _(fx):
         partitions=_model_tasks(fx),
     )
     rows = scoring.levels(scoring.to_cases(answers, ["case_id"]))
-    final = F.when(c("lost_answers") > 0, V.FAILED_LEVEL).otherwise(c("final_pred"))
-    return rows.select(
-        "case_id", "llm1_result", "llm2_result", "llm3_result", final.alias("final_pred")
-    )
+    return rows.select("case_id", "llm1_result", "llm2_result", "llm3_result", "final_pred")
 
 
 # --------------------------------------------------------------------- evaluation

@@ -81,8 +81,8 @@ def load_patient_stub():
 
 # Stub models of the two-step chain.
 CHAIN_FAILS_SQL = {
-    1: "response IS NULL",
-    2: "response IS NULL",
+    1: "(response IS NULL OR contains(response, 'Rated 9'))",
+    2: "(response IS NULL OR contains(response, 'No level'))",
     3: "(response IS NULL OR contains(response, 'level: 6'))",
 }
 CHAIN_REPLIES_SQL = {
@@ -106,12 +106,16 @@ def _format_reply(prompt: str):
     return "2" if "2024" in text else "1" if "No level" in text else "0"
 
 
-def load_analysis_stub():
-    def model(prompts, attempt):
-        texts = [input_of(p) for p in prompts]
-        return [ValueError("empty case") if t == "None" else f"Case: {t}" for t in texts]
+def _analysis(prompt: str):
+    """Fails all views of an empty case, view 1 alone of one text and view 2 alone of another."""
+    text = input_of(prompt)
+    if text == "None" or ("View 1" in prompt and "Rated 9" in text) or ("View 2" in prompt and "No level" in text):
+        return ValueError("no analysis")
+    return f"Case: {text}"
 
-    return model
+
+def load_analysis_stub():
+    return lambda prompts, attempt: [_analysis(p) for p in prompts]
 
 
 def load_format_stub():

@@ -87,7 +87,7 @@ def parse_json_result(answer: Column) -> Column:
 
 def parse_json_number(answer: Column) -> Column:
     """A JSON number, or true/false as 1/0; NULL for anything else."""
-    bare = F.trim(answer)
+    bare = F.btrim(answer, F.lit(" \t\r\n"))
     return (
         F.when(answer.rlike(_JSON_NUMBER), bare.try_cast("double"))
         .when(bare == "true", F.lit(1.0))

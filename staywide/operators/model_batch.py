@@ -49,8 +49,12 @@ def _call(model, prompts: list[str], attempt: int) -> list:
         return [_call(model, [prompt], attempt)[0] for prompt in prompts]
 
 
-def _answer(model, prompts, max_attempts, wait):
-    """(response, attempts, error) per prompt; failed rows are tried again together."""
+def _answer(model, prompts, max_attempts, wait, batch_size):
+    """(response, attempts, error) per prompt.
+
+    The model gets slices of `batch_size`; all failed rows are tried again together, after
+    one wait per attempt.
+    """
     responses = [None] * len(prompts)
     attempts = [0] * len(prompts)
     errors = [None] * len(prompts)
@@ -58,15 +62,16 @@ def _answer(model, prompts, max_attempts, wait):
     for attempt in range(1, max_attempts + 1):
         if not open_rows:
             break
-        replies = _call(model, [prompts[i] for i in open_rows], attempt)
         failed = []
-        for i, reply in zip(open_rows, replies):
-            attempts[i] = attempt
-            if isinstance(reply, Exception):
-                errors[i] = f"{type(reply).__name__}: {reply}"
-                failed.append(i)
-            else:
-                responses[i], errors[i] = reply, None
+        for start in range(0, len(open_rows), batch_size):
+            part = open_rows[start : start + batch_size]
+            for i, reply in zip(part, _call(model, [prompts[i] for i in part], attempt)):
+                attempts[i] = attempt
+                if isinstance(reply, Exception):
+                    errors[i] = f"{type(reply).__name__}: {reply}"
+                    failed.append(i)
+                else:
+                    responses[i], errors[i] = reply, None
         open_rows = failed
         if open_rows and attempt < max_attempts:
             time.sleep(wait(attempt))
@@ -97,38 +102,32 @@ def apply_model(
     taken = {"response", "attempts", "error", "final_pred"} & set(df.columns)
     if taken:
         raise ValueError(f"the input already has the columns {sorted(taken)}")
-    schema = T.StructType(
+    reply = T.StructType(
         [
-            *df.schema.fields,
             T.StructField("response", T.StringType()),
             T.StructField("attempts", T.IntegerType()),
             T.StructField("error", T.StringType()),
         ]
     )
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only the prompt enters Python; a model call must not be repeated by the optimizer.
+    @F.pandas_udf(reply)
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            prompts = batch[prompt_col].astype(object).where(batch[prompt_col].notna(), None)
-            prompts = prompts.tolist()
-            answers = [
-                _answer(model, prompts[start : start + batch_size], max_attempts, wait)
-                for start in range(0, len(prompts), batch_size)
-            ]
-            columns = zip(("response", "attempts", "error"), (object, "int32", object))
-            yield batch.assign(
-                **{
-                    name: pd.Series(
-                        [value for part in answers for value in part[place]],
-                        index=batch.index,
-                        dtype=kind,
-                    )
-                    for place, (name, kind) in enumerate(columns)
+            prompts = batch.astype(object).where(batch.notna(), None).tolist()
+            responses, attempts, errors = _answer(model, prompts, max_attempts, wait, batch_size)
+            yield pd.DataFrame(
+                {
+                    "response": pd.Series(responses, dtype=object),
+                    "attempts": pd.Series(attempts, dtype="int32"),
+                    "error": pd.Series(errors, dtype=object),
                 }
             )
 
     source = df if partitions is None else df.repartition(partitions)
-    answered = source.mapInPandas(answer, schema)
+    answered = source.withColumn("_reply", answer.asNondeterministic()(F.col(prompt_col)))
+    answered = answered.select(*df.columns, "_reply.response", "_reply.attempts", "_reply.error")
     if on_failure == "null":
         return answered
     return answered.withColumn(

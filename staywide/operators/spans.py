@@ -108,6 +108,11 @@ def interval_join(
     An event lies in exactly one bucket, so each pair is found once. Apart from the keys
     the two sides must not share column names.
     """
+    if span.end is None:
+        # Nothing bounds the pairs but the keys.
+        started = stays.selectExpr("*", f"{span.start} AS _start")
+        inside = Span("", "_start", None, span.open_start).holds(time)
+        return started.join(events, keys).where(inside).drop("_start")
     days = span.bucket_days
     placed_stays = stays.selectExpr("*", f"{span.start} AS _start", f"{span.end} AS _end")
     cut = with_buckets(placed_stays, "_start", "_end", days, "_bucket")
@@ -380,8 +385,9 @@ def _stay_counts(stays, source: EventSource, counts) -> DataFrame:
     )
     if not bounded:
         return events.selectExpr("stay_id", *[f"`{c.name}`" for c in counts])
+    open_ended = any(c.span.end is None for c in bounded)
     starts = ", ".join(dict.fromkeys(c.span.start for c in bounded))
-    ends = ", ".join(dict.fromkeys(c.span.end for c in bounded))
+    ends = ", ".join(dict.fromkeys(c.span.end or c.span.start for c in bounded))
     placed = stays.selectExpr(
         "stay_id",
         "subject_id",
@@ -401,7 +407,10 @@ def _stay_counts(stays, source: EventSource, counts) -> DataFrame:
             inside += " AND _subject = subject_id"
         return f"CASE WHEN {inside} THEN `{c.name}` ELSE 0 END AS `{c.name}`"
 
-    joined = events.join(cut, ["stay_id", "_bucket"], how)
+    if open_ended:
+        joined = events.join(placed, ["stay_id"], how)
+    else:
+        joined = events.join(cut, ["stay_id", "_bucket"], how)
     return joined.selectExpr("stay_id", *[counted(c) for c in counts])
 
 
@@ -417,7 +426,7 @@ def _key_totals(stays, source: EventSource, keys, counts) -> DataFrame:
         .agg(
             *[
                 F.expr(
-                    f"count_if({c.measure.where}) AS `{c.name}`"
+                    f"CAST(sum(CASE WHEN {c.measure.where} THEN {c.measure.amount} ELSE 0 END) AS BIGINT) AS `{c.name}`"
                     if c.span is None
                     else f"max(CASE WHEN {c.measure.where} THEN {source.time} END) AS `{c.name}`"
                 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import broadcast_if_small
 from ..functions import vocabulary as V
 
 # Column names of the instruction data sets.
@@ -59,6 +60,15 @@ def fan_out(df: DataFrame, views: dict[int, str], name: str = "view") -> DataFra
     return df.withColumn("_v", F.explode(listed)).select(*df.columns, "_v.*")
 
 
+def with_template(df: DataFrame, templates: DataFrame, key: Column, name: str = "instruction") -> DataFrame:
+    """Each row with the template that `key` names; NULL where there is none.
+
+    Templates (name, text) are a frame of any size, joined on their name.
+    """
+    named = templates.select(F.col("name").alias("_template"), F.col("text").alias(name))
+    return df.join(broadcast_if_small(named), key == F.col("_template"), "left").drop("_template")
+
+
 def format_sft(df: DataFrame, eos: str, columns=INSTRUCTION_COLUMNS) -> DataFrame:
     """Training text of each instruction row: filled template and end token."""
     instruction, input, output = (F.col(c) for c in columns)

@@ -12,6 +12,7 @@ from ..functions.parsing import (
     parse_json_result,
     parse_true,
 )
+from ..functions.vocabulary import FAILED_LEVEL
 from ..operators.model_batch import apply_model
 from .prompts import fan_out, render_prompt
 
@@ -54,7 +55,11 @@ def chain(
 
 
 def to_cases(answers: DataFrame, keys) -> DataFrame:
-    """One row per case with the answers and results of its three views."""
+    """One row per case with the answers and results of its three views.
+
+    The keys must name one case each; `sources.files.with_case_ids` makes such an id. Cases
+    that share one are refused, not merged.
+    """
     view = F.col("view")
     columns = []
     for number in (1, 2, 3):
@@ -64,6 +69,8 @@ def to_cases(answers: DataFrame, keys) -> DataFrame:
             F.max(F.when(of_view, F.col("result"))).alias(f"llm{number}_result"),
         ]
     lost = F.count_if(F.col("analysis").isNull() | F.col("result").isNull())
+    most = F.greatest(*(F.count_if(view == number) for number in (1, 2, 3)))
+    lost = F.when(most > 1, F.raise_error(F.lit("a case id stands for several cases")).cast("long")).otherwise(lost)
     return answers.groupBy(*keys).agg(*columns, lost.alias("lost_answers"))
 
 
@@ -77,16 +84,17 @@ def levels(
     """`final_pred` from three format replies.
 
     Views 1 and 2 answer with the word True, or with a JSON object when `json_views` is
-    set; view 3 answers with a number.
+    set; view 3 answers with a number. A case that lost an answer (`lost_answers`, from
+    `to_cases`) fails: its level is -1.
     """
     parse = parse_json_result if json_views else parse_true
     number = F.col(third)
-    return df.withColumn(
-        "final_pred",
-        esi_cascade(
-            parse(F.col(first)),
-            parse(F.col(second)),
-            parse_json_number(number),
-            is_json(number),
-        ),
+    level = esi_cascade(
+        parse(F.col(first)),
+        parse(F.col(second)),
+        parse_json_number(number),
+        is_json(number),
     )
+    if "lost_answers" in df.columns:
+        level = F.when(F.col("lost_answers") > 0, FAILED_LEVEL).otherwise(level).cast("int")
+    return df.withColumn("final_pred", level)

@@ -1,33 +1,88 @@
-"""Case files, result files, checkpoints, reports and prompt templates."""
+"""Case files, result files, checkpoints, reports and prompt templates.
+
+Parquet is the form for large sets. CSV stands at the border: one file is one task, since
+records span lines.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StructType
 
 from . import schemas
 
-# Answers span lines and hold quotes, so quotes are doubled and records may wrap.
-_CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
-MAX_TEMPLATE_BYTES = 4 * 1024 * 1024
+# Stands for a quoted empty field while a file is read.
+EMPTY = "\0"
+# Answers span lines and hold quotes, so quotes are doubled and records may wrap. Nothing
+# is trimmed. NULL is an empty field, an empty text a quoted one.
+_WHITE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_READ = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": EMPTY} | _WHITE
+_WRITE = {"header": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""'} | _WHITE
+# Whole numbers, also as they are written once their column has a gap: 3.0.
+_WHOLE = r"^[ \t]*[+-]?[0-9]+(\.0*)?[ \t]*$"
+
+
+def struct_of(spark: SparkSession, ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
+
+
+def read_value(text: Column, kind: DataType, name: str) -> Column:
+    """The value of a CSV field. What is neither missing nor of the kind is an error.
+
+    A whole number may carry a fraction of zeros; 2.7 is no whole number.
+    """
+    if kind.simpleString() == "string":
+        return F.when(text == EMPTY, "").otherwise(text)
+    bare = F.btrim(text, F.lit(" \t"))
+    if isinstance(kind, IntegralType):
+        value = F.when(text.rlike(_WHOLE), F.regexp_replace(bare, r"\..*$", "")).try_cast(kind)
+    else:
+        value = bare.try_cast(kind)
+    told = F.concat(F.lit(f"{name}: no {kind.simpleString()}: "), text)
+    return F.when(text.isNull() | bare.isin("", EMPTY), F.lit(None).cast(kind)).when(value.isNotNull(), value).otherwise(
+        F.raise_error(told).cast(kind)
+    )
+
+
+def _typed(rows: DataFrame, schema: StructType, more=()) -> DataFrame:
+    return rows.select(*(read_value(F.col(f.name), f.dataType, f.name).alias(f.name) for f in schema), *more)
 
 
 def read_csv(spark: SparkSession, path, ddl: str) -> DataFrame:
     """CSV with a header that must be the given schema: a file with other columns
     is refused instead of being read by position."""
-    return (
-        spark.read.options(**_CSV).option("enforceSchema", False).schema(ddl).csv(path)
-    )
+    schema = struct_of(spark, ddl)
+    as_text = ", ".join(f"`{f.name}` STRING" for f in schema)
+    rows = spark.read.options(**_READ).option("enforceSchema", False).schema(as_text).csv(path)
+    return _typed(rows, schema)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.options(header=True, escape='"', quote='"').mode(mode).csv(path)
+    df.write.options(**_WRITE).mode(mode).csv(path)
 
 
 def read_cases(spark: SparkSession, path, ddl: str = schemas.CASES) -> DataFrame:
     return read_csv(spark, path, ddl)
 
 
+def with_case_ids(cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """The cases with a text id that no two rows share.
+
+    The id is a hash of the row and its rank among equal rows, so it stays the same from
+    run to run. Rows of one hash are equal but for the rank; only copies of one row meet.
+    An id column that is there is kept under `given_id`.
+    """
+    if key in cases.columns:
+        cases = cases.withColumnRenamed(key, "given_id")
+    row = F.to_json(F.struct(*cases.columns), {"ignoreNullFields": "false"})
+    hashed = cases.withColumn("_row", F.sha2(row, 256))
+    # Copies of one row are interchangeable; they are numbered apart from all others.
+    spread = hashed.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in cases.columns))
+    numbered = spread.withColumn("_rank", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return numbered.select(F.concat_ws("-", "_row", "_rank").alias(key), *cases.columns)
+
+
 def read_instructions(
     spark: SparkSession, path, ddl: str = schemas.INSTRUCTIONS, fmt: str = "csv"
 ) -> DataFrame:
@@ -44,17 +99,23 @@ def run_name(model: str, run_ts: str) -> str:
 def write_results(
     df: DataFrame, base: str, model: str, run_ts: str, fmt: str = "parquet"
 ) -> str:
-    """Append one run to the result set; the run name is a partition column."""
+    """Write one run into the result set; the run name is a partition column.
+
+    A run that is written again replaces its earlier rows.
+    """
     name = run_name(model, run_ts)
     write_runs(df.withColumn("run_name", F.lit(name)), base, fmt)
     return name
 
 
 def write_runs(df: DataFrame, base: str, fmt: str = "parquet") -> None:
-    """Append rows of any number of runs, one directory per `run_name`."""
-    writer = df.write.mode("append").partitionBy("run_name")
+    """Write rows of any number of runs, one directory per `run_name`.
+
+    Runs in `df` replace what is there under their names; all others stay.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name")
     if fmt == "csv":
-        writer = writer.options(header=True, escape='"', quote='"')
+        writer = writer.options(**_WRITE)
     writer.format(fmt).save(base)
 
 
@@ -64,15 +125,47 @@ def read_runs(
     """All runs below `path` as one frame keyed by `run_name`.
 
     A result set written here carries the run name as partition directory. With
-    `flat` the path is a glob of single files, and the file name is the run name.
+    `flat` the path is a glob of single files, and the file name is the run name; files
+    may have further columns and any order, as in `read_flat_runs`.
     """
     if flat:
-        stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-        return read_csv(spark, path, ddl).withColumn("run_name", stem)
-    with_run = f"{ddl}, run_name STRING"
+        return read_flat_runs(spark, path, ddl)
     if fmt == "csv":
-        return read_csv(spark, path, with_run)
-    return spark.read.format(fmt).schema(with_run).load(path)
+        # The run name comes from the directory and is typed with the rest.
+        schema = struct_of(spark, ddl)
+        as_text = ", ".join(f"`{f.name}` STRING" for f in schema)
+        rows = spark.read.options(**_READ).option("enforceSchema", False).schema(f"{as_text}, run_name STRING").csv(path)
+        return _typed(rows, schema, ["run_name"])
+    return spark.read.format(fmt).schema(f"{ddl}, run_name STRING").load(path)
+
+
+def read_flat_runs(spark: SparkSession, path, ddl: str) -> DataFrame:
+    """The named columns of CSV files of any layout, keyed by file name.
+
+    The head of a file tells where its columns stand; a file without one of them is an
+    error. Files are read as records of text, not by one schema, so that one glob may
+    hold results of one step and of three.
+    """
+    schema = struct_of(spark, ddl)
+    files_ = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"))
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for row in files_.toLocalIterator():
+        # One short listing row per result file; the records themselves stay distributed.
+        columns = tuple(spark.read.options(**_READ).csv(row["_path"]).columns)
+        heads.setdefault(columns, []).append(row["_path"])
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("run_name")
+    out = None
+    for columns, paths in sorted(heads.items()):
+        missing = [f.name for f in schema if f.name not in columns]
+        if missing:
+            raise ValueError(f"{paths[0]} has no column {', '.join(missing)}")
+        as_text = ", ".join(f"`{c}` STRING" for c in columns)
+        rows = spark.read.options(**_READ).option("enforceSchema", False).schema(as_text).csv(paths)
+        part = _typed(rows.select(*(F.col(f"`{f.name}`") for f in schema), stem), schema, ["run_name"])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"{ddl}, run_name STRING")
+    return out
 
 
 def write_checkpoint(df: DataFrame, path: str) -> None:
@@ -98,7 +191,8 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Prompt templates: one row per file, with the whole file as `text`.
 
     `name` is the partition directory if there is one, else the file name without its
-    extension.
+    extension. The templates stay a frame: `plans.prompts.with_template` joins them to the
+    rows they are for.
     """
     found = spark.read.text(path, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
@@ -107,16 +201,3 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("text"),
         F.col("_metadata.file_size").alias("bytes"),
     )
-
-
-def load_templates(spark: SparkSession, path: str) -> dict[str, str]:
-    """The templates as literals for prompt columns.
-
-    Templates are settings, not data. Their total size is checked before any text
-    is fetched.
-    """
-    templates = read_templates(spark, path)
-    total = templates.agg(F.sum("bytes").alias("bytes")).first()["bytes"] or 0
-    if total > MAX_TEMPLATE_BYTES:
-        raise ValueError(f"{path} holds {total} bytes, too much for prompt templates")
-    return {row["name"]: row["text"] for row in templates.select("name", "text").collect()}

@@ -17,7 +17,7 @@ CLINICAL = {
     "pyxis": "subject_id BIGINT, stay_id BIGINT, charttime TIMESTAMP_NTZ, name STRING",
     "pyxis_admin_method": "drug_name STRING, admin_method STRING",
     "poe": (
-        "poe_id BIGINT, subject_id BIGINT, hadm_id BIGINT, ordertime TIMESTAMP_NTZ, "
+        "poe_id STRING, subject_id BIGINT, hadm_id BIGINT, ordertime TIMESTAMP_NTZ, "
         "order_type STRING, order_subtype STRING"
     ),
     "transfers": (

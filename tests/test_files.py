@@ -112,15 +112,49 @@ def test_report_file_and_templates(spark, tmp_path):
     (tmp_path / "prompts").mkdir()
     (tmp_path / "prompts" / "one.txt").write_text("line 1\nline 2\n")
     (tmp_path / "prompts" / "two.txt").write_text("x")
-    loaded = files.load_templates(spark, str(tmp_path / "prompts"))
+    loaded = {r["name"]: r["text"] for r in files.read_templates(spark, str(tmp_path / "prompts")).collect()}
     assert loaded == {"one": "line 1\nline 2\n", "two": "x"}
 
 
-def test_oversized_templates_are_refused(spark, tmp_path, monkeypatch):
-    (tmp_path / "big.txt").write_text("x" * 100)
-    monkeypatch.setattr(files, "MAX_TEMPLATE_BYTES", 10)
-    with pytest.raises(ValueError):
-        files.load_templates(spark, str(tmp_path))
+def test_values_that_are_no_numbers(spark, tmp_path):
+    path = tmp_path / "cases.csv"
+    path.write_text('case_id,triage_text,acuity\n1,"",3.0\n2,,\n3,"\n  padded \n",""\n')
+    got = [tuple(r) for r in files.read_cases(spark, str(path)).orderBy("case_id").collect()]
+    assert got == [(1, "", 3), (2, None, None), (3, "\n  padded \n", None)]
+    path.write_text("case_id,triage_text,acuity\n1,x,2.7\n")
+    with pytest.raises(Exception, match="acuity: no int: 2.7"):
+        files.read_cases(spark, str(path)).collect()
+
+
+def test_csv_keeps_white_space_and_empty_texts(spark, tmp_path):
+    rows = [(1, " \n answer 3 \n", 3), (2, "", None), (3, None, 1)]
+    files.write_csv(spark.createDataFrame(rows, schemas.CASES), str(tmp_path / "c"))
+    assert sorted(map(tuple, files.read_cases(spark, str(tmp_path / "c")).collect())) == rows
+
+
+def test_a_run_that_is_written_again_counts_once(spark, tmp_path):
+    base = str(tmp_path / "runs")
+    df = spark.createDataFrame([(1, 1)], "acuity INT, final_pred INT")
+    for model in ("a", "b", "a"):
+        files.write_results(df, base, model, "1")
+    assert files.read_runs(spark, base, "acuity INT, final_pred INT", "parquet").count() == 2
+
+
+def test_flat_files_of_different_layouts(spark, tmp_path):
+    (tmp_path / "exp1.csv").write_text("triage_text,acuity,final_pred,llm_resp\nx,3.0,3,y\n")
+    (tmp_path / "exp2.csv").write_text("final_pred,llm1_resp,acuity\n-1,z,2\n")
+    runs = files.read_runs(spark, str(tmp_path / "exp*.csv"), "acuity INT, final_pred INT", flat=True)
+    assert sorted(map(tuple, runs.collect())) == [(2, -1, "exp2"), (3, 3, "exp1")]
+    (tmp_path / "exp3.csv").write_text("acuity\n1\n")
+    with pytest.raises(ValueError, match="final_pred"):
+        files.read_runs(spark, str(tmp_path / "exp*.csv"), "acuity INT, final_pred INT", flat=True)
+
+
+def test_case_ids_tell_equal_rows_apart(spark):
+    cases = spark.createDataFrame([("x", 1), ("x", 1), (None, 2), ("y", None)], "triage_text STRING, acuity INT")
+    got = files.with_case_ids(cases)
+    assert got.count() == got.select("case_id").distinct().count() == 4
+    assert sorted(r["case_id"] for r in got.collect()) == sorted(r["case_id"] for r in files.with_case_ids(cases).collect())
 
 
 def test_instructions(spark, tmp_path):
