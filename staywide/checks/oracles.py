@@ -725,6 +725,28 @@ def oracle_sql() -> dict[str, str]:
         FROM r""",
     )
 
+    # The first two results say True or False; where they differ the third, a number, ties with both.
+    q["voting_run"] = with_views(
+        OUTPUTS,
+        f"""WITH r AS (SELECT case_id, {r1} AS llm1_result, {r2} AS llm2_result, {r3} AS llm3_result
+                       FROM fx_llm_outputs),
+             v AS (SELECT case_id, unnest([1, 2, 3]) AS place,
+                          unnest([llm1_result, llm2_result, llm3_result]) AS answer FROM r),
+             n AS (SELECT case_id, answer, COUNT(*) AS votes, MIN(place) AS early FROM v GROUP BY case_id, answer),
+             k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY votes DESC, early) AS k FROM n)
+        SELECT r.*, CASE WHEN r.llm1_result IS NULL OR r.llm2_result IS NULL OR r.llm3_result IS NULL THEN NULL
+                         ELSE k.answer END AS final_pred
+        FROM r JOIN k ON k.case_id = r.case_id AND k.k = 1""",
+    )
+    seen = "('seen: ' || response)"
+    q["one_step_run"] = with_views(
+        OUTPUTS,
+        f"""SELECT case_id, CASE WHEN {T.FAILS_SQL} THEN NULL ELSE {seen} END AS response,
+        CAST(CASE WHEN {T.FAILS_SQL} THEN 5 WHEN {T.SLOW_SQL} THEN 3 ELSE 1 END AS INT) AS attempts,
+        CAST(CASE WHEN {T.FAILS_SQL} THEN -1 ELSE {LAST_LEVEL.format(c=seen)} END AS INT) AS final_pred
+        FROM fx_llm_outputs""",
+    )
+
     # Evaluation
     q["eval_failed_count"] = with_views(
         PREDICTIONS,

@@ -636,10 +636,9 @@ def _(fx):
     return fx["documents"].select("doc_id", extract_case(generated).alias("case_text"))
 
 
-@query("two_step_chain")
-def _(fx):
+def _chain_answers(fx) -> DataFrame:
     cases = fx["fx_llm_outputs"].select("case_id", c("response").alias("triage_text"))
-    answers = scoring.chain(
+    return scoring.chain(
         cases,
         "triage_text",
         T.ANALYSIS,
@@ -649,10 +648,29 @@ def _(fx):
         wait=no_wait,
         partitions=_model_tasks(fx),
     )
-    rows = scoring.levels(scoring.to_cases(answers, ["case_id"]))
+
+
+@query("two_step_chain")
+def _(fx):
+    rows = scoring.levels(scoring.to_cases(_chain_answers(fx), ["case_id"]))
     return rows.select("case_id", "llm1_result", "llm2_result", "llm3_result", "final_pred")
 
 
+@query("voting_run")
+def _(fx):
+    rows = scoring.voting(_chain_answers(fx), ["case_id"])
+    return rows.select("case_id", "llm1_result", "llm2_result", "llm3_result", "final_pred")
+
+
+@query("one_step_run")
+def _(fx):
+    cases = fx["fx_llm_outputs"].select("case_id", c("response").alias("triage_text"))
+    rows = scoring.one_step(
+        cases, "triage_text", T.ONE_STEP, T.load_stub, wait=no_wait, partitions=_model_tasks(fx)
+    )
+    return rows.select("case_id", "response", "attempts", "final_pred")
+
+
 # --------------------------------------------------------------------- evaluation
 
 

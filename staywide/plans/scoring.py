@@ -1,4 +1,4 @@
-"""From cases to levels: views, two model steps, parsers and cascade."""
+"""From cases to levels: one model step, or views with two steps and a cascade or a vote."""
 
 from __future__ import annotations
 
@@ -10,13 +10,29 @@ from ..functions.parsing import (
     is_json,
     parse_json_number,
     parse_json_result,
+    parse_level,
     parse_true,
 )
 from ..functions.vocabulary import FAILED_LEVEL
 from ..operators.model_batch import apply_model
+from ..operators.voting import majority
 from .prompts import fan_out, render_prompt
 
 
+def one_step(
+    cases: DataFrame, text_col: str, instruction: str, load, labelled: bool = False, **options
+) -> DataFrame:
+    """One call per case, and the level in its reply: `response`, `attempts`, `error`, `final_pred`.
+
+    A failed call has a NULL response and level -1, and so has a reply without a level.
+    """
+    asked = render_prompt(cases, instruction, text_col)
+    answered = apply_model(asked, "prompt", load, on_failure="null", **options).drop("prompt")
+    level = parse_level(F.col("response"), labelled)
+    failed = F.col("response").isNull()
+    return answered.withColumn("final_pred", F.when(failed, FAILED_LEVEL).otherwise(level).cast("int"))
+
+
 def chain(
     cases: DataFrame,
     text_col: str,
@@ -98,3 +114,15 @@ def levels(
     if "lost_answers" in df.columns:
         level = F.when(F.col("lost_answers") > 0, FAILED_LEVEL).otherwise(level).cast("int")
     return df.withColumn("final_pred", level)
+
+
+def voting(answers: DataFrame, keys) -> DataFrame:
+    """One row per case with its three results and their majority as `final_pred`.
+
+    Takes the answers of `chain`, which saves them per batch if it is given a `save`. The
+    vote is text, as the replies are. It waits for all three views: a case that lost an
+    answer has a NULL vote, so that a later pass picks it up.
+    """
+    cases = to_cases(answers, keys)
+    vote = majority(*(F.col(f"llm{number}_result") for number in (1, 2, 3)))
+    return cases.withColumn("final_pred", F.when(F.col("lost_answers") == 0, vote))

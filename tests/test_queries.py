@@ -4,16 +4,20 @@ import pytest
 from compare import connect, duck_rows, spark_rows
 
 import __spark_entry__ as entry
+from staywide.checks.oracles import oracle_sql
+from staywide.checks.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = REGISTRY
+SQL = oracle_sql()
 
 # Queries that call a model; all others must stay out of Python.
 MODEL_QUERIES = {
     "apply_model_stub",
     "apply_model_null",
     "two_step_chain",
+    "voting_run",
+    "one_step_run",
     "checkpoint_resume",
 }
 
