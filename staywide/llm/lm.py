@@ -11,20 +11,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import broadcast_if_small
 from .common import chunks, saved
 
 #: Bytes of context.
 ORDER = 5
-#: An order whose trie is larger is not used; order 2 never is: 256^3 nodes.
-MAX_NODES = 1 << 24
+#: Contexts up to this length are one small trie, 256^3 nodes at most, that every task gets.
+#: All longer ones with the same last LOW + 1 bytes are 256^3 nodes at most too (order 5).
+LOW = 2
 #: Stands in front of a text and ends it; no byte of UTF-8.
 EDGE = 0xFF
 HELD_OUT = 10
 SMOOTH = 0.1
 SLICE = 1 << 18
-#: A block of documents: so many tokens, and no more documents than 16 bits can number.
-BLOCK_TOKENS = 3 << 19
-BLOCK_DOCS = 1 << 16
+#: A block of documents: about so many bytes of text.
+BLOCK_BYTES = 32 << 20
+#: Nodes of longer contexts that are worked out together, rounded up to whole groups.
+GROUP_NODES = 1 << 20
 
 
 def raw(text: str | None) -> bytes:
@@ -106,6 +109,28 @@ class Lookup:
         return found
 
 
+class Level:
+    """Contexts of one length: counts of their nodes, and sums per context."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        context, self.own = np.unique(codes >> 8, return_inverse=True)
+        self.nodes, self.contexts = Lookup(codes), Lookup(context)
+        self.count = counts.astype(float)
+        self.n = np.bincount(self.own, counts, len(context))
+        self.q = np.bincount(self.own, minlength=len(context)).astype(float)
+        self.excluded = np.zeros(len(context))
+
+    def exclude(self, shorter: Level, mask: int) -> None:
+        """What the symbols of a context count behind the next shorter one."""
+        if len(self.n):
+            self.excluded = np.bincount(self.own, shorter.count[shorter.nodes(self.nodes.codes & np.int64(mask))], len(self.n))
+
+
+def _at(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The values at places, 0 where there is none (-1)."""
+    return np.where(where >= 0, values[where], 0.0) if len(values) else np.zeros(len(where))
+
+
 class Trie:
     """Counts of symbols behind contexts of every length up to `order`.
 
@@ -115,61 +140,42 @@ class Trie:
     longer context are excluded from counts and shares alike. What no context has seen is
     spread evenly over the byte values that remain. So the costs of all symbols behind a
     context sum to one.
+
+    A trie may stand on a `base` with the shorter contexts. It then needs only part of the
+    longer ones: all that end alike.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, base: Trie | None = None):
         self.order = order
-        self.nodes, self.count, self.context, self.n, self.q, self.excluded, self.own = [], [], [], [], [], [], []
-        for j in range(order, -1, -1):
-            mask = np.int64((1 << 8 * (j + 1)) - 1)
+        levels = base.levels if base else []
+        above = []
+        for j in range(order, len(levels) - 1, -1):
             if j < order:
-                codes, back = np.unique(codes & mask, return_inverse=True)
+                codes, back = np.unique(codes & np.int64(_mask(j)), return_inverse=True)
                 counts = np.bincount(back, counts, len(codes))
-            context, own = np.unique(codes >> 8, return_inverse=True)
-            self.nodes.insert(0, Lookup(codes))
-            self.count.insert(0, counts.astype(float))
-            self.context.insert(0, Lookup(context))
-            self.own.insert(0, own)
-            self.n.insert(0, np.bincount(own, counts, len(context)))
-            self.q.insert(0, np.bincount(own, minlength=len(context)).astype(float))
-        # What the symbols of a context count behind the next shorter one.
-        for j in range(1, order + 1):
-            shorter = self.count[j - 1][self.nodes[j - 1](self.nodes[j].codes & np.int64((1 << 8 * j) - 1))]
-            self.excluded.append(np.bincount(self.own[j], shorter, len(self.n[j])))
-        self.excluded.insert(0, None)
-        top = self.n[order] + self.q[order]
-        #: Cost of the nodes at full length, where most symbols are found.
-        self.top = np.log10(self.count[order] / top[self.own[order]]) if len(codes) else np.zeros(0)
-        self.count[order] = None
-        del self.own
+            above.insert(0, Level(codes, counts))
+        self.levels: list[Level] = levels + above
+        for j in range(max(1, len(levels)), order + 1):
+            self.levels[j].exclude(self.levels[j - 1], _mask(j - 1))
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """The log10 probability of every symbol behind its context."""
-        node = self.nodes[self.order](codes)
-        out = np.zeros(len(codes)) if not len(self.top) else np.where(node >= 0, self.top[node], 0.0)
-        left = np.flatnonzero(node < 0)
-        longer = np.full(len(left), -1)
+        out = np.zeros(len(codes))
+        left, longer = np.arange(len(codes)), np.full(len(codes), -1)
         for j in range(self.order, -1, -1):
-            if not len(left):
-                return out
-            part = codes[left] & np.int64((1 << 8 * (j + 1)) - 1)
-            context = self.context[j](part >> 8)
-            node = self.nodes[j](part)
-            seen = context >= 0
-            n = np.where(seen, self.n[j][context], 0.0) if len(self.n[j]) else np.zeros(len(left))
-            q = np.where(seen, self.q[j][context], 0.0) if len(self.q[j]) else np.zeros(len(left))
-            if j < self.order and len(self.n[j + 1]):
-                n -= np.where(longer >= 0, self.excluded[j + 1][longer], 0.0)
-                q -= np.where(longer >= 0, self.q[j + 1][longer], 0.0)
+            level = self.levels[j]
+            part = codes[left] & np.int64(_mask(j))
+            context, node = level.contexts(part >> 8), level.nodes(part)
+            n, q = _at(level.n, context), _at(level.q, context)
+            if j < self.order:
+                above = self.levels[j + 1]
+                n, q = n - _at(above.excluded, longer), q - _at(above.q, longer)
             hit = node >= 0
-            if hit.any():
-                # At full length all that are found were taken from `top`.
-                out[left[hit]] += np.log10(self.count[j][node[hit]] / (n + q)[hit])
+            out[left[hit]] += np.log10(level.count[node[hit]] / (n + q)[hit])
             escapes = ~hit & (q > 0)
             out[left[escapes]] += np.log10(q[escapes] / (n + q)[escapes])
-            left, longer = left[~hit], np.where(seen, context, -1)[~hit]
-        used = self.q[0][0] if len(self.q[0]) else 0.0
-        out[left] -= np.log10(256.0 - used) if len(left) else 0.0
+            left, longer = left[~hit], context[~hit]
+        out[left] -= np.log10(256.0 - self.levels[0].q.sum())
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -179,49 +185,38 @@ class Trie:
         return out
 
 
-def pretrain(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie over all training documents.
+def _mask(order: int) -> int:
+    return (1 << 8 * (order + 1)) - 1
 
-    Every task counts its own symbols, the counts are summed by code, and the trie goes to
-    the driver. It has `max_nodes` nodes of its longest contexts at most: while it has
-    more, contexts are one byte shorter; those of two bytes fit always.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+class Tally:
+    """Counts by code, summed up now and then while more come in."""
 
-        def merged():
-            all_codes = np.concatenate([codes, *(w[0] for w in waiting)])
-            all_counts = np.concatenate([counts, *(w[1] for w in waiting)])
-            order_ = np.argsort(all_codes, kind="stable")
-            all_codes, all_counts = all_codes[order_], all_counts[order_]
-            first = np.flatnonzero(np.diff(all_codes, prepend=-1))
-            return all_codes[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
+    def __init__(self):
+        self.codes, self.counts, self.waiting, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-        for batch in small(batches):
-            texts = [raw(t) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) if not held_out(i)]
-            for _, _, _, found in grams(texts, order):
-                waiting.append(np.unique(found, return_counts=True))
-                held += len(waiting[-1][0])
-                if held > SLICE * 4 + len(codes) // 2:
-                    codes, counts = merged()
-                    waiting, held = [], 0
-        codes, counts = merged()
-        for k in range(0, len(codes), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + (1 << 16)]), pa.array(counts[k : k + (1 << 16)])], ["code", "n"])
-
-    nodes = saved(docs.select("doc_id", "text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "lm-nodes")
-    while order > 2 and nodes.count() > max_nodes:
-        order -= 1
-        shorter = F.col("code").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        nodes = saved(nodes.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")), "lm-nodes")
-    got = nodes.toArrow()
-    return Trie(*(np.asarray(got[c].to_numpy(), np.int64) for c in ("code", "n")), order)
-
-
-#: Rows of a block, in the order in which they are read: documents, words, places of words.
-DOC, WORD_ROW, PLACES = 0, 1, 2
-BLOCKS = "block long, kind int, held boolean, doc_id long, place int, n_tokens long, score double, word binary, train long, sizes binary, entries binary"
+    def add(self, found: np.ndarray, weight: int) -> None:
+        codes, counts = np.unique(found, return_counts=True)
+        self.waiting.append((codes, counts * weight))
+        self.held += len(codes)
+        if self.held > SLICE * 4 + len(self.codes) // 2:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.concatenate([self.codes, *(w[0] for w in self.waiting)])
+        counts = np.concatenate([self.counts, *(w[1] for w in self.waiting)])
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.codes, self.counts = codes[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.waiting, self.held = [], 0
+        return self.codes, self.counts
+
+
+#: Rows of a block, in the order in which they are read: words, codes, documents.
+WORD_ROW, CODE, DOC = 0, 1, 2
+#: `data` is a word, or a text in lower case; `train` how often training documents of the block hold it.
+INDEX = "block long, kind int, held boolean, doc_id long, data binary, code long, train long"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -233,92 +228,94 @@ def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _index(docs: DataFrame, trie: Trie) -> DataFrame:
-    """Per block of documents a row per document, one per word, and the places of the words.
+def _index(docs: DataFrame, order: int, block_bytes: int) -> DataFrame:
+    """Per block of documents its texts, and a row per distinct word and per distinct code.
 
-    `place` numbers the documents, and the words, of a block. An entry of a word is a
-    document's number in the high, and how often it holds the word in the low 16 bits.
-    So the documents' words meet the corpus counts in one narrow row per block and word,
-    however often a word occurs.
+    So words and contexts meet what the corpus knows of them in one narrow row per block,
+    however often they occur.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(trie)
-    schema = _arrow(BLOCKS)
+    schema = _arrow(INDEX)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        first = TaskContext.get().partitionId() << 24
-        words, ids, lengths, held, block = {}, [], [], [], 0
+        block = TaskContext.get().partitionId() << 24
+        words, trained, codes, size = {}, np.zeros(0, np.int64), Tally(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate(ids).astype(np.int64)
-            keys <<= 16
-            keys |= np.repeat(np.arange(len(lengths)), lengths)
-            keys.sort()
-            start = np.flatnonzero(np.diff(keys, prepend=-1))
-            times = np.diff(np.append(start, len(keys)))
-            keys = keys[start]
-            # Counts beyond 16 bits take several entries.
-            more = np.maximum(1, -(-times // 0xFFFF))
-            if (more > 1).any():
-                full, keys, total = np.repeat(more, more), np.repeat(keys, more), np.repeat(times, more)
-                nth = np.arange(len(full)) - np.repeat(np.cumsum(more) - more, more)
-                times = np.where(nth < full - 1, 0xFFFF, total - 0xFFFF * (full - 1))
-            postings = ((keys & 0xFFFF) << 16 | times).astype("<u4")
-            begin = np.flatnonzero(np.diff(keys >> 16, prepend=-1))
-            trained = np.add.reduceat(np.where(np.array(held)[keys & 0xFFFF], 0, times), begin) if len(begin) else begin
             names = list(words)
-            ends = np.append(begin, len(postings))
             for k in range(0, len(names), 1 << 15):
-                upto = min(len(names), k + (1 << 15))
-                n = upto - k
-                yield _rows(
-                    schema, n, block=np.full(n, first + block), kind=np.full(n, WORD_ROW), place=np.arange(k, upto), word=names[k:upto], train=trained[k:upto]
-                )
-                sizes = np.diff(ends[k : upto + 1]).astype("<u4").tobytes()
-                yield _rows(schema, 1, block=[first + block], kind=[PLACES], place=[k], sizes=[sizes], entries=[postings[ends[k] : ends[upto]].tobytes()])
+                some = names[k : k + (1 << 15)]
+                n = len(some)
+                yield _rows(schema, n, block=np.full(n, block), kind=np.full(n, WORD_ROW), data=some, train=trained[k : k + n])
+            found, counts = codes.merge()
+            for k in range(0, len(found), 1 << 16):
+                some = found[k : k + (1 << 16)]
+                n = len(some)
+                yield _rows(schema, n, block=np.full(n, block), kind=np.full(n, CODE), code=some, train=counts[k : k + n])
 
         for batch in small(batches):
             doc_ids, texts = batch["doc_id"].to_pylist(), [raw(t) for t in batch["text"].to_pylist()]
-            scores = model.score(texts)
-            done = 0
-            while done < len(texts):
-                upto = done
-                size = sum(lengths)
-                found = []
-                while upto < len(texts) and len(lengths) + len(found) < BLOCK_DOCS and (size < BLOCK_TOKENS or not lengths + found):
-                    got = texts[upto].split()
-                    ids.append(np.fromiter((words.setdefault(w, len(words)) for w in got), np.int32, len(got)))
-                    size += len(got)
-                    found.append(len(got))
-                    upto += 1
-                here = [held_out(i) for i in doc_ids[done:upto]]
-                yield _rows(
-                    schema,
-                    upto - done,
-                    block=np.full(upto - done, first + block),
-                    kind=np.full(upto - done, DOC),
-                    held=here,
-                    doc_id=doc_ids[done:upto],
-                    place=np.arange(len(lengths), len(lengths) + len(found)),
-                    n_tokens=np.array(found, np.int64) + 1,
-                    score=scores[done:upto],
-                )
-                lengths += found
-                held += here
-                done = upto
-                if len(lengths) >= BLOCK_DOCS or size >= BLOCK_TOKENS:
+            for lo, hi in chunks([len(t) for t in texts], 4 * SLICE):
+                part, held = texts[lo:hi], [held_out(i) for i in doc_ids[lo:hi]]
+                n = hi - lo
+                yield _rows(schema, n, block=np.full(n, block), kind=np.full(n, DOC), held=held, doc_id=doc_ids[lo:hi], data=part)
+                for out in (False, True):
+                    own = [t for t, h in zip(part, held) if h == out]
+                    got = [w for t in own for w in t.split()]
+                    ids = np.fromiter((words.setdefault(w, len(words)) for w in got), np.int64, len(got))
+                    seen = np.bincount(ids, minlength=len(words)) * (not out)
+                    trained = np.concatenate([trained, np.zeros(len(words) - len(trained), np.int64)]) + seen
+                    for _, _, _, found in grams(own, order):
+                        codes.add(found, 0 if out else 1)
+                size += sum(map(len, part)) + n
+                if size >= block_bytes:
                     yield from flush()
-                    words, ids, lengths, held, block = {}, [], [], [], block + 1
-        if lengths:
+                    words, trained, codes, size, block = {}, np.zeros(0, np.int64), Tally(), 0, block + 1
+        if size:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, BLOCKS)
+    return docs.select("doc_id", "text").mapInArrow(scan, INDEX)
+
+
+def _costs(codes: DataFrame, order: int) -> DataFrame:
+    """(code, cost) of every distinct code, from (code, train) of all blocks.
+
+    Nodes meet where their contexts end in the same bytes: there all longer contexts are
+    complete. One group of these is held at a time, 256^3 nodes at most whatever the size of
+    the corpus (order 5), so the trie as a whole is nowhere in one place.
+    """
+    base = min(order, LOW)
+    low = codes.groupBy(F.col("code").bitwiseAND(F.lit(_mask(base))).alias("code")).agg(F.sum("train").alias("n")).filter("n > 0").toArrow()
+    shipped = codes.sparkSession.sparkContext.broadcast(Trie(*(np.asarray(low[c].to_numpy(), np.int64) for c in ("code", "n")), base))
+    ending = F.shiftright("code", 8).bitwiseAND(F.lit(_mask(LOW)))
+    nodes = codes.withColumn("ending", ending).repartition("ending").groupBy("ending", "code").agg(F.sum("train").alias("n"))
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros((0, 3), np.int64)]
+
+        def worked_out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            code, n = rows[:, 1], rows[:, 2]
+            trie = Trie(code[n > 0], n[n > 0], order, shipped.value) if order > base else shipped.value
+            for k in range(0, len(code), 1 << 16):
+                some = code[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(trie.log10(some))], ["code", "cost"])
+
+        for batch in batches:
+            rest.append(np.column_stack([batch[c].to_numpy() for c in ("ending", "code", "n")]))
+            if sum(map(len, rest)) >= GROUP_NODES and rest[0][:1, 0].tolist() != rest[-1][-1:, 0].tolist():
+                rows = np.concatenate(rest)
+                # The last group may go on.
+                whole = np.searchsorted(rows[:, 0], rows[-1, 0])
+                yield from worked_out(rows[:whole])
+                rest = [rows[whole:]]
+        yield from worked_out(np.concatenate(rest))
+
+    return nodes.sortWithinPartitions("ending").mapInArrow(cost, "code long, cost double")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row of `docs`.
 
     `score` is the log10 probability of the text's bytes, A-Z in lower case, and its end
@@ -326,70 +323,68 @@ def lm_scores(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -
     Null and empty texts have one token, the end. Repeated rows count as often as they
     stand there. Without training documents every byte costs 1 / 256 and no word is known.
     """
-    index = saved(_index(docs, pretrain(docs, order, max_nodes)), "lm-index")
-    people = index.filter(F.col("kind") == DOC).select("block", "kind", "held", "doc_id", "place", "n_tokens", "score")
-    places = index.filter(F.col("kind") == PLACES).select("block", "kind", "place", "sizes", "entries")
-    words = index.filter(F.col("kind") == WORD_ROW).select("block", "kind", "place", "word", "train")
+    index = saved(_index(docs, order, block_bytes), "lm-index")
+    people = index.filter(F.col("kind") == DOC).select("block", "kind", "held", "doc_id", "data")
+    words = index.filter(F.col("kind") == WORD_ROW).select("block", "kind", "data", "train")
+    codes = index.filter(F.col("kind") == CODE).select("block", "kind", "code", "train")
     # A word has one row per block, however often it occurs, so no word has many of the rows.
-    same = Window.partitionBy("word")
+    same = Window.partitionBy("data")
     counted = words.withColumn("c", F.sum("train").over(same)).withColumn("nth", F.row_number().over(same.orderBy("block")))
-    counted = saved(counted.select("block", "kind", "place", "c", (F.col("nth") == 1).alias("first"), "train"), "lm-counts")
+    counted = saved(counted.select("block", "kind", "data", "c", (F.col("nth") == 1).alias("first"), "train"), "lm-counts")
     ends = people.filter("not held").count()
     known = counted.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count(F.when(F.expr("first and c > 0"), 1)).alias("v")).first()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
     below = float(np.log10(n + SMOOTH * (v + 1)))
     end_cost = float(np.log10(ends + SMOOTH)) - below
-    both = people.unionByName(counted.select("block", "kind", "place", "c"), allowMissingColumns=True).unionByName(places, allowMissingColumns=True)
+    costs = saved(_costs(codes.select("code", "train"), order), "lm-costs")
+    priced = codes.join(broadcast_if_small(costs), "code").select("block", "kind", "code", "cost")
+    both = people.unionByName(counted.select("block", "kind", "data", "c"), allowMissingColumns=True).unionByName(priced, allowMissingColumns=True)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        rows: list[pa.RecordBatch] = []
-        base = hits = None
-        counts: list[tuple[np.ndarray, np.ndarray]] = []
-        current = by_word = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(rows)
-            place = t["place"].to_numpy()
-            yield pa.RecordBatch.from_arrays(
+        current = None
+
+        def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = part["data"].to_pylist()
+            got = [t.split() for t in texts]
+            sizes = np.array([len(g) for g in got])
+            owner = np.repeat(np.arange(len(got)), sizes)
+            ids = np.fromiter((words[w] for g in got for w in g), np.int64, sizes.sum())
+            score = np.zeros(len(texts))
+            for lo, n_, text, code in grams(texts, order):
+                score[lo : lo + n_] += np.bincount(text, cost[place(code)], n_)
+            return pa.RecordBatch.from_arrays(
                 [
-                    t["doc_id"].combine_chunks(),
-                    t["held"].combine_chunks(),
-                    t["n_tokens"].combine_chunks(),
-                    pa.array(hits[place].astype(np.int64) + (ends > 0)),
-                    pa.array(base[place] + end_cost),
-                    t["score"].combine_chunks(),
+                    part["doc_id"],
+                    part["held"],
+                    pa.array(sizes + 1),
+                    pa.array(np.bincount(owner, c[ids] > 0, len(got)).astype(np.int64) + (ends > 0)),
+                    pa.array(np.bincount(owner, np.log10(c[ids] + SMOOTH) - below, len(got)) + end_cost),
+                    pa.array(score),
                 ],
-                schema=schema,
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
-        for batch in batches:
+        for batch in small(batches, 1 << 16):
             key = batch["block"].to_numpy() * 4 + batch["kind"].to_numpy()
             edges = np.flatnonzero(np.diff(key)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(key)]):
                 part, kind = batch.slice(lo, hi - lo), key[lo] % 4
                 if key[lo] // 4 != current:
-                    if rows:
-                        yield from flush()
-                    rows, counts, by_word, current = [], [], None, key[lo] // 4
-                    base, hits = np.zeros(BLOCK_DOCS), np.zeros(BLOCK_DOCS)
-                if kind == DOC:
-                    rows.append(part)
-                elif kind == WORD_ROW:
-                    counts.append((part["place"].to_numpy(), part["c"].to_numpy()))
+                    current = key[lo] // 4
+                    words, times, found, place = {}, [np.zeros(0, np.int64)], [(np.zeros(0, np.int64), np.zeros(0))], None
+                if kind == WORD_ROW:
+                    words.update(zip(part["data"].to_pylist(), range(len(words), len(words) + len(part))))
+                    times.append(part["c"].to_numpy())
+                elif kind == CODE:
+                    found.append((part["code"].to_numpy(), part["cost"].to_numpy()))
                 else:
-                    if by_word is None:
-                        by_word = np.zeros(sum(len(w) for w, _ in counts), np.int64)
-                        for w, c in counts:
-                            by_word[w] = c
-                    for start, sizes, entries in zip(*(part[c].to_pylist() for c in ("place", "sizes", "entries"))):
-                        sizes, entries = np.frombuffer(sizes, "<u4"), np.frombuffer(entries, "<u4")
-                        c = np.repeat(by_word[start : start + len(sizes)], sizes)
-                        place, times = entries >> 16, entries & 0xFFFF
-                        base += np.bincount(place, times * (np.log10(c + SMOOTH) - below), BLOCK_DOCS)
-                        hits += np.bincount(place, times * (c > 0), BLOCK_DOCS)
-        if rows:
-            yield from flush()
+                    if place is None:
+                        c = np.concatenate(times)
+                        all_codes, cost = (np.concatenate(x) for x in zip(*found))
+                        place = Lookup(all_codes)
+                        times, found = [], []
+                    for few in small([part]):
+                        yield scored(few)
 
     by_block = both.repartition("block").sortWithinPartitions("block", "kind")
     out = by_block.mapInArrow(total, RESULT)

@@ -472,14 +472,10 @@ def test_grams_of_a_long_text(monkeypatch):
     assert np.array_equal(whole, np.concatenate([c for _, _, _, c in lm.grams([text], 4)]))
 
 
-@pytest.mark.parametrize("block", [(1 << 21, 1 << 16), (50, 4)])
-def test_lm_scores(spark, block, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", block[0])
-    monkeypatch.setattr(lm, "BLOCK_DOCS", block[1])
-    if block[1] == 4:
-        pytest.skip("workers read the module's own limits")
+@pytest.mark.parametrize("order,block", [(3, lm.BLOCK_BYTES), (5, 50), (2, 300), (1, 1)])
+def test_lm_scores(spark, order, block):
     frame = rows_of(spark)
-    found = lm.lm_scores(frame, order=3).collect()
+    found = lm.lm_scores(frame, order, block).collect()
     data = [(r["doc_id"], r["text"]) for r in frame.collect()]
     assert len(found) == len(data)
     counts, train = Counter(), []
@@ -489,8 +485,8 @@ def test_lm_scores(spark, block, monkeypatch):
             train.append(lm.raw(t))
     counts[b"\n"] = len(train)
     n, v = sum(counts.values()), len(counts)
-    codes = np.concatenate([c for _, _, _, c in lm.grams(train, 3)])
-    trie = lm.Trie(*np.unique(codes, return_counts=True), 3)
+    codes = np.concatenate([c for _, _, _, c in lm.grams(train, order)])
+    trie = lm.Trie(*np.unique(codes, return_counts=True), order)
     wanted = []
     for i, t in data:
         words = lm.raw(t).split() + [b"\n"]
@@ -502,10 +498,16 @@ def test_lm_scores(spark, block, monkeypatch):
     assert lm.lm_scores(empty(spark)).count() == 0
 
 
-def test_lm_orders_fall_back_to_what_fits(spark):
-    docs = rows_of(spark)
-    assert lm.pretrain(docs, 5, 10).order == 2
-    assert lm.pretrain(docs, 5).order == 5
+def test_part_of_a_trie_on_its_base():
+    rng = random.Random(16)
+    texts = [bytes(rng.choice(b"abc d") for _ in range(rng.randrange(60))) for _ in range(60)]
+    codes, counts = np.unique(np.concatenate([c for _, _, _, c in lm.grams(texts, 5)]), return_counts=True)
+    low, back = np.unique(codes & 0xFFFFFF, return_inverse=True)
+    whole, base = lm.Trie(codes, counts, 5), lm.Trie(low, np.bincount(back, counts).astype(int), 2)
+    asked = np.concatenate([codes, codes ^ 3, codes ^ (3 << 40)])
+    for ending in np.unique((asked >> 8) & 0xFFFFFF):
+        own, few = (((x >> 8) & 0xFFFFFF) == ending for x in (codes, asked))
+        assert np.allclose(lm.Trie(codes[own], counts[own], 5, base).log10(asked[few]), whole.log10(asked[few]))
 
 
 def test_lm_without_training_documents(spark):
