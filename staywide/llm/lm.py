@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,8 +216,10 @@ class Tally:
 
 #: Rows of a block, in the order in which they are read: words, codes, documents.
 WORD_ROW, CODE, DOC = 0, 1, 2
-#: `data` is a word, or a text in lower case; `train` how often training documents of the block hold it.
-INDEX = "block long, kind int, held boolean, doc_id long, data binary, code long, train long"
+#: `train` is how often training documents of the block hold the word or code; documents are packed.
+INDEX = "block long, kind int, word binary, code long, train long, facts binary, data binary"
+#: What many rows of a block hold, compressed: numbers in `facts`, words, codes or texts in `data`.
+PACKED = "block long, kind int, facts binary, data binary"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -228,6 +231,37 @@ def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+def _packs(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows (block, key, value) of one kind, many in one: they are compressed before they are dealt to their blocks."""
+    key, value = rows.columns[1:]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            t = t.take(pa.array(np.argsort(t["block"].to_numpy(), kind="stable")))
+            block, numbers, keys = t["block"].to_numpy(), t[value].to_numpy(), t[key].combine_chunks()
+            start = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+            for lo, hi in zip(start, [*start[1:], len(block)]):
+                part = keys.slice(lo, hi - lo)
+                # No word holds white space.
+                data = b"\n".join(part.to_pylist()) if kind == WORD_ROW else part.to_numpy().tobytes()
+                yield _rows(schema, 1, block=[block[lo]], kind=[kind], facts=[zstandard.compress(numbers[lo:hi].tobytes())], data=[zstandard.compress(data)])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= SLICE:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    schema = _arrow(PACKED)
+    return rows.mapInArrow(pack, PACKED)
+
+
 def _index(docs: DataFrame, order: int, block_bytes: int) -> DataFrame:
     """Per block of documents its texts, and a row per distinct word and per distinct code.
 
@@ -245,7 +279,7 @@ def _index(docs: DataFrame, order: int, block_bytes: int) -> DataFrame:
             for k in range(0, len(names), 1 << 15):
                 some = names[k : k + (1 << 15)]
                 n = len(some)
-                yield _rows(schema, n, block=np.full(n, block), kind=np.full(n, WORD_ROW), data=some, train=trained[k : k + n])
+                yield _rows(schema, n, block=np.full(n, block), kind=np.full(n, WORD_ROW), word=some, train=trained[k : k + n])
             found, counts = codes.merge()
             for k in range(0, len(found), 1 << 16):
                 some = found[k : k + (1 << 16)]
@@ -257,7 +291,9 @@ def _index(docs: DataFrame, order: int, block_bytes: int) -> DataFrame:
             for lo, hi in chunks([len(t) for t in texts], 4 * SLICE):
                 part, held = texts[lo:hi], [held_out(i) for i in doc_ids[lo:hi]]
                 n = hi - lo
-                yield _rows(schema, n, block=np.full(n, block), kind=np.full(n, DOC), held=held, doc_id=doc_ids[lo:hi], data=part)
+                facts = np.array([(i or 0, i is None, h, len(t)) for i, h, t in zip(doc_ids[lo:hi], held, part)], np.int64)
+                ends = n - sum(held)
+                yield _rows(schema, 1, block=[block], kind=[DOC], train=[ends], facts=[zstandard.compress(facts.tobytes())], data=[zstandard.compress(b"".join(part))])
                 for out in (False, True):
                     own = [t for t, h in zip(part, held) if h == out]
                     got = [w for t in own for w in t.split()]
@@ -323,28 +359,28 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
     Null and empty texts have one token, the end. Repeated rows count as often as they
     stand there. Without training documents every byte costs 1 / 256 and no word is known.
     """
-    index = saved(_index(docs, order, block_bytes), "lm-index")
-    people = index.filter(F.col("kind") == DOC).select("block", "kind", "held", "doc_id", "data")
-    words = index.filter(F.col("kind") == WORD_ROW).select("block", "kind", "data", "train")
-    codes = index.filter(F.col("kind") == CODE).select("block", "kind", "code", "train")
+    index = saved(_index(docs, order, block_bytes), "lm-index", "zstd")
+    people = index.filter(F.col("kind") == DOC)
+    words = index.filter(F.col("kind") == WORD_ROW).select("block", "word", "train")
+    codes = index.filter(F.col("kind") == CODE).select("block", "code", "train")
     # A word has one row per block, however often it occurs, so no word has many of the rows.
-    same = Window.partitionBy("data")
+    same = Window.partitionBy("word")
     counted = words.withColumn("c", F.sum("train").over(same)).withColumn("nth", F.row_number().over(same.orderBy("block")))
-    counted = saved(counted.select("block", "kind", "data", "c", (F.col("nth") == 1).alias("first"), "train"), "lm-counts")
-    ends = people.filter("not held").count()
+    counted = saved(counted.select("block", "word", "c", (F.col("nth") == 1).alias("first"), "train"), "lm-counts", "zstd")
+    ends = people.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
     known = counted.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count(F.when(F.expr("first and c > 0"), 1)).alias("v")).first()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
     below = float(np.log10(n + SMOOTH * (v + 1)))
     end_cost = float(np.log10(ends + SMOOTH)) - below
-    costs = saved(_costs(codes.select("code", "train"), order), "lm-costs")
-    priced = codes.join(broadcast_if_small(costs), "code").select("block", "kind", "code", "cost")
-    both = people.unionByName(counted.select("block", "kind", "data", "c"), allowMissingColumns=True).unionByName(priced, allowMissingColumns=True)
+    costs = saved(_costs(codes.select("code", "train"), order), "lm-costs", "zstd")
+    priced = codes.select("block", "code").join(broadcast_if_small(costs), "code").select("block", "code", "cost")
+    both = people.select("block", "kind", "facts", "data").unionByName(_packs(priced, CODE))
+    both = both.unionByName(_packs(counted.select("block", "word", "c"), WORD_ROW))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
 
-        def scored(part: pa.RecordBatch) -> pa.RecordBatch:
-            texts = part["data"].to_pylist()
+        def scored(facts: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
             got = [t.split() for t in texts]
             sizes = np.array([len(g) for g in got])
             owner = np.repeat(np.arange(len(got)), sizes)
@@ -354,8 +390,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
                 score[lo : lo + n_] += np.bincount(text, cost[place(code)], n_)
             return pa.RecordBatch.from_arrays(
                 [
-                    part["doc_id"],
-                    part["held"],
+                    pa.array(facts[:, 0], mask=facts[:, 1] > 0),
+                    pa.array(facts[:, 2] > 0),
                     pa.array(sizes + 1),
                     pa.array(np.bincount(owner, c[ids] > 0, len(got)).astype(np.int64) + (ends > 0)),
                     pa.array(np.bincount(owner, np.log10(c[ids] + SMOOTH) - below, len(got)) + end_cost),
@@ -364,27 +400,28 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
-        for batch in small(batches, 1 << 16):
-            key = batch["block"].to_numpy() * 4 + batch["kind"].to_numpy()
-            edges = np.flatnonzero(np.diff(key)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(key)]):
-                part, kind = batch.slice(lo, hi - lo), key[lo] % 4
-                if key[lo] // 4 != current:
-                    current = key[lo] // 4
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, kind, facts, data = (batch[x][k].as_py() for x in ("block", "kind", "facts", "data"))
+                facts, data = zstandard.decompress(facts), zstandard.decompress(data)
+                if block != current:
+                    current = block
                     words, times, found, place = {}, [np.zeros(0, np.int64)], [(np.zeros(0, np.int64), np.zeros(0))], None
                 if kind == WORD_ROW:
-                    words.update(zip(part["data"].to_pylist(), range(len(words), len(words) + len(part))))
-                    times.append(part["c"].to_numpy())
+                    names = data.split(b"\n")
+                    words.update(zip(names, range(len(words), len(words) + len(names))))
+                    times.append(np.frombuffer(facts, np.int64))
                 elif kind == CODE:
-                    found.append((part["code"].to_numpy(), part["cost"].to_numpy()))
+                    found.append((np.frombuffer(data, np.int64), np.frombuffer(facts)))
                 else:
                     if place is None:
                         c = np.concatenate(times)
                         all_codes, cost = (np.concatenate(x) for x in zip(*found))
                         place = Lookup(all_codes)
                         times, found = [], []
-                    for few in small([part]):
-                        yield scored(few)
+                    facts = np.frombuffer(facts, np.int64).reshape(-1, 4)
+                    upto = np.cumsum(facts[:, 3]).tolist()
+                    yield scored(facts, [data[lo:hi] for lo, hi in zip([0, *upto], upto)])
 
     by_block = both.repartition("block").sortWithinPartitions("block", "kind")
     out = by_block.mapInArrow(total, RESULT)
