@@ -4,9 +4,10 @@ The natural join key, a patient or an admission, may be very uneven: one subject
 own a large part of all events and of all stays. Two things keep such a subject from
 becoming one task or a quadratic join:
 
-* every span is cut into time buckets, and the bucket is part of each shuffle key;
-* counts are differences of running totals inside a bucket, so no pair of event and
-  stay is ever produced. Work and memory grow with events plus stays.
+* the time, cut into slots, is part of each shuffle key;
+* counts are differences of running totals inside slots, so no pair of event and stay is
+  ever produced. Work and memory grow with events plus stays. An hour holds the totals of
+  instants, a day those of hours, a block of days those of days.
 
 Only `interval_join`, whose result is the set of pairs, produces pairs.
 
@@ -22,6 +23,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Spans that run through more days than this count them by blocks.
+LONG_DAYS = 64
+BLOCK_DAYS = 1024
+#: Marks the ends of spans until they are placed on the levels.
+ENDS = -1
 HOUR_LATER = "intime + INTERVAL '1' HOUR"
 
 
@@ -39,17 +45,13 @@ class Span:
     """A time range relative to a stay, as SQL expressions over the stay's columns.
 
     Both ends belong to the span unless `open_start` is set. `end=None` leaves the
-    span without an upper bound. `whole_days` marks a span from the start of a day to
-    the last instant of a day. `bucket_days` is the width of the time buckets: about the
-    length of the span, so that a span meets few of them.
+    span without an upper bound.
     """
 
     name: str
     start: str
     end: str | None
     open_start: bool = False
-    whole_days: bool = False
-    bucket_days: int = 1
 
     def holds(self, when: str) -> str:
         """SQL condition that a time lies in the span."""
@@ -63,10 +65,8 @@ AFTER_HOUR_IN_STAY = Span("after_hour_in_stay", HOUR_LATER, "outtime")
 PAST_HOUR_IN_STAY = Span("past_hour_in_stay", HOUR_LATER, "outtime", open_start=True)
 PAST_HOUR = Span("past_hour", HOUR_LATER, None, open_start=True)
 FIRST_TWO_HOURS = Span("first_two_hours", "intime", "intime + INTERVAL '120' MINUTE")
-WEEK_AFTER_HOUR = Span(
-    "week_after_hour", HOUR_LATER, "intime + INTERVAL '7' DAY", bucket_days=7
-)
-WEEK = Span("week", "intime", "intime + INTERVAL '7' DAY", bucket_days=7)
+WEEK_AFTER_HOUR = Span("week_after_hour", HOUR_LATER, "intime + INTERVAL '7' DAY")
+WEEK = Span("week", "intime", "intime + INTERVAL '7' DAY")
 # The first hour, but not past the calendar day of departure.
 FIRST_HOUR_SAME_DAYS = Span(
     "first_hour_same_days",
@@ -76,14 +76,11 @@ FIRST_HOUR_SAME_DAYS = Span(
 PAST_HOUR_SAME_DAYS = Span(
     "past_hour_same_days", HOUR_LATER, _day_end("outtime"), open_start=True
 )
-STAY_DAYS = Span(
-    "stay_days", _day_start("intime"), _day_end("outtime"), whole_days=True
-)
+STAY_DAYS = Span("stay_days", _day_start("intime"), _day_end("outtime"))
 STAY_DAYS_PLUS_ONE = Span(
     "stay_days_plus_one",
     _day_start("intime"),
     _day_end("(outtime + INTERVAL '1' DAY)"),
-    whole_days=True,
 )
 
 
@@ -92,6 +89,14 @@ def bucket_of(when: str, days: int) -> str:
     return day if days == 1 else f"CAST(floor({day} / {days}) AS INT)"
 
 
+def hour_of(when: str) -> str:
+    return f"(unix_date(CAST({when} AS DATE)) * 24 + hour({when}))"
+
+
+def block_of(day: str) -> str:
+    return f"CAST(floor({day} / {BLOCK_DAYS}) AS INT)"
+
+
 def with_buckets(
     df: DataFrame, start: str, end: str, days: int, name: str = "bucket"
 ) -> DataFrame:
@@ -113,10 +118,9 @@ def interval_join(
         started = stays.selectExpr("*", f"{span.start} AS _start")
         inside = Span("", "_start", None, span.open_start).holds(time)
         return started.join(events, keys).where(inside).drop("_start")
-    days = span.bucket_days
     placed_stays = stays.selectExpr("*", f"{span.start} AS _start", f"{span.end} AS _end")
-    cut = with_buckets(placed_stays, "_start", "_end", days, "_bucket")
-    placed = events.selectExpr("*", f"{bucket_of(time, days)} AS _bucket")
+    cut = with_buckets(placed_stays, "_start", "_end", 1, "_bucket")
+    placed = events.selectExpr("*", f"{bucket_of(time, 1)} AS _bucket")
     inside = Span("", "_start", "_end", span.open_start).holds(time)
     return (
         cut.join(placed, [*keys, "_bucket"])
@@ -177,7 +181,7 @@ def _any_measure(measures) -> str:
 
 @dataclass(frozen=True)
 class _Pass:
-    """Counts with the same keys and bucket width: they share points and totals.
+    """Counts with the same keys: they share points and totals.
 
     Measures and spans are numbered within the pass, so that all passes can use the same
     few columns for their running totals and weights.
@@ -185,7 +189,6 @@ class _Pass:
 
     number: int
     keys: tuple[str, ...]
-    days: int
     counts: tuple[SpanCount, ...]
 
     @property
@@ -203,15 +206,12 @@ class _Pass:
 
 
 def _passes(counts) -> list[_Pass]:
-    groups = _group(counts, lambda c: (c.keys, c.span.bucket_days))
-    return [
-        _Pass(number, keys, days, tuple(group))
-        for number, ((keys, days), group) in enumerate(groups.items())
-    ]
+    groups = _group(counts, lambda c: c.keys)
+    return [_Pass(number, keys, tuple(group)) for number, (keys, group) in enumerate(groups.items())]
 
 
 def _measured(source: EventSource, name: str, passes, width: int) -> DataFrame:
-    """(pass, keys, bucket, t, measure, n): one row per event and measure it counts for."""
+    """(pass, keys, measure, n, level, slot, pos, t): a row per event, measure it counts for, and level."""
     hits, tests = [], []
     for p in passes:
         for number, m in enumerate(p.measures):
@@ -221,125 +221,155 @@ def _measured(source: EventSource, name: str, passes, width: int) -> DataFrame:
             tests.append(f"({test})")
             hits.append(
                 f"CASE WHEN {test} THEN named_struct('pass', {p.number},"
-                f" {p.key_fields(width)}, 'bucket', {bucket_of(source.time, p.days)},"
-                f" 'measure', {number}, 'n', CAST({m.amount} AS BIGINT)) END"
+                f" {p.key_fields(width)}, 'measure', {number}, 'n', CAST({m.amount} AS BIGINT)) END"
             )
     hit = hits[0] if len(hits) == 1 else f"explode(array({', '.join(hits)}))"
+    places = (
+        ("0", "_hour", "0", "_t"),
+        ("1", "_day", "_hour", "CAST(NULL AS TIMESTAMP_NTZ)"),
+        ("2", block_of("_day"), "_day", "CAST(NULL AS TIMESTAMP_NTZ)"),
+    )
+    levels = ", ".join(
+        f"named_struct('level', {level}, 'slot', {slot}, 'pos', {pos}, 't', {t})"
+        for level, slot, pos, t in places
+    )
+    when = source.time
     return (
-        source.df.where(f"({source.time}) IS NOT NULL AND ({' OR '.join(tests)})")
-        .selectExpr(f"{source.time} AS t", f"{hit} AS hit")
+        source.df.where(f"({when}) IS NOT NULL AND ({' OR '.join(tests)})")
+        .selectExpr(f"{when} AS _t", f"{bucket_of(when, 1)} AS _day", f"{hour_of(when)} AS _hour", f"{hit} AS hit")
         .where("hit IS NOT NULL")
-        .selectExpr("t", "hit.*")
+        .selectExpr("hit.*", f"inline(array({levels}))")
     )
 
 
 def _point_list(p: _Pass, width: int, weights: int, prefix: str) -> tuple[dict, str]:
     """The points of one pass: helper columns over the stay, and an SQL array of points.
 
-    A span subtracts the total at its start, and adds the total at the end of every
-    bucket it runs through and at its own end. Spans share the points they have in
-    common. `side` places a point before (-1) or after (1) the events of its instant.
+    A span subtracts the total at its start and adds the total at its end, in the hour and
+    in the day. It adds the total of every day, or every block of days, it runs through.
+    Spans share the points they have in common. `side` places a point before (-1) or
+    after (1) the events of its instant.
     """
-    spans, days = p.spans, p.days
+    spans = range(len(p.spans))
     points: dict[tuple[str, int], dict[int, int]] = {}
-    for i, span in enumerate(spans):
-        if not span.whole_days:
-            opening = (span.start, 1 if span.open_start else -1)
-            points.setdefault(opening, {})[i] = -1
-            points.setdefault((span.end, 1), {})[i] = 1
-    ok, first, last = f"{prefix}ok", f"{prefix}first", f"{prefix}last"
-    usable = _known(p.keys)
     helpers = {}
-    for i, span in enumerate(spans):
-        helpers[f"{ok}{i}"] = f"{usable} AND coalesce({span.start} <= {span.end}, FALSE)"
-        helpers[f"{first}{i}"] = bucket_of(span.start, days)
-        helpers[f"{last}{i}"] = (
-            f"{bucket_of(span.end, days)} - {0 if span.whole_days else 1}"
-        )
-
-    def struct(bucket, t, side, values):
+    ok, first, last, long_ = (f"{prefix}{name}" for name in ("ok", "first", "last", "long"))
+    for i, span in enumerate(p.spans):
+        points.setdefault((span.start, 1 if span.open_start else -1), {})[i] = -1
+        points.setdefault((span.end, 1), {})[i] = 1
+        day, end = bucket_of(span.start, 1), bucket_of(span.end, 1)
+        helpers[f"{ok}{i}"] = f"{_known(p.keys)} AND coalesce({span.start} <= {span.end}, FALSE)"
+        helpers[f"{first}{i}"] = day
+        helpers[f"{last}{i}"] = f"{end} - 1"
+        helpers[f"{long_}{i}"] = f"{end} - {day} > {LONG_DAYS}"
+
+    far = " + ".join(f"if({long_}{i}, {1 << i}, 0)" for i in spans)
+
+    def struct(level, slot, pos, t, side, values):
         values = [*values, *["0"] * (weights - len(values))]
         listed = ", ".join(f"'w{i}', {w}" for i, w in enumerate(values))
         return (
-            f"named_struct('pass', {p.number}, {p.key_fields(width)},"
-            f" 'bucket', {bucket}, 't', {t}, 'side', {side}, {listed})"
+            f"named_struct('pass', {p.number}, {p.key_fields(width)}, 'level', {level}, 'slot', {slot},"
+            f" 'pos', {pos}, 't', {t}, 'side', {side}, 'far', {far if level == ENDS else 0}, {listed})"
         )
 
+    no_time = "CAST(NULL AS TIMESTAMP_NTZ)"
     marks = [
-        struct(
-            bucket_of(t, days),
-            t,
-            side,
-            [f"if({ok}{i}, {of[i]}, 0)" if i in of else "0" for i in range(len(spans))],
-        )
+        struct(ENDS, bucket_of(t, 1), hour_of(t), t, side, [f"if({ok}{i}, {of[i]}, 0)" if i in of else "0" for i in spans])
         for (t, side), of in points.items()
     ]
-    through = struct(
-        "b",
-        f"CAST(date_from_unix_date((b + 1) * {days}) AS TIMESTAMP_NTZ)",
-        "-1",
-        [
-            f"if({ok}{i} AND b BETWEEN {first}{i} AND {last}{i}, 1, 0)"
-            for i in range(len(spans))
-        ],
-    )
-    numbers = range(len(spans))
-    lowest = ", ".join(f"if({ok}{i}, {first}{i}, NULL)" for i in numbers)
-    highest = ", ".join(f"if({ok}{i}, {last}{i}, NULL)" for i in numbers)
-    low, high = f"array_min(array({lowest}))", f"array_max(array({highest}))"
-    ends = (
-        f"if({low} <= {high}, transform(sequence({low}, {high}), b -> {through}), array())"
+
+    def through(level, holds, low_of, high_of, pos):
+        """A point at the end of every slot from the lowest to the highest of the spans."""
+        low = f"array_min(array({', '.join(f'if({holds(i)}, {low_of(i)}, NULL)' for i in spans)}))"
+        high = f"array_max(array({', '.join(f'if({holds(i)}, {high_of(i)}, NULL)' for i in spans)}))"
+        values = [f"if({holds(i)} AND b BETWEEN {low_of(i)} AND {high_of(i)}, 1, 0)" for i in spans]
+        point = struct(level, "b", pos, no_time, "-1", values)
+        return f"if({low} <= {high}, transform(sequence({low}, {high}), b -> {point}), array())"
+
+    days = through(1, lambda i: f"({ok}{i} AND NOT {long_}{i})", lambda i: f"{first}{i}", lambda i: f"{last}{i}", "(b + 1) * 24")
+    blocks = through(
+        2,
+        lambda i: f"({ok}{i} AND {long_}{i})",
+        lambda i: block_of(f"{first}{i}"),
+        lambda i: f"({block_of(f'({last}{i} + 1)')} - 1)",
+        f"(b + 1) * {BLOCK_DAYS}",
     )
-    return helpers, f"concat(array({', '.join(marks)}), {ends})" if marks else ends
+    return helpers, f"array({', '.join(marks)}), {days}, {blocks}"
 
 
 def _points(stays: DataFrame, passes, width: int, weights: int) -> DataFrame:
-    """(stay, pass, keys, bucket, t, side, weights): where running totals are read."""
+    """(stay, pass, keys, level, slot, pos, t, side, weights): where running totals are read."""
     helpers, lists = {}, []
     for p in passes:
         own, points = _point_list(p, width, weights, f"_p{p.number}_")
         helpers.update(own)
         lists.append(points)
-    listed = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+    ws = [f"w{i}" for i in range(weights)]
+    listed = ", ".join(f"'{w}', {w}" for w in ws)
+    distant = ", ".join(f"'{w}', if((far & {1 << i}) <> 0, {w}, 0)" for i, w in enumerate(ws))
+
+    def placed(level, slot, pos, t, side, values):
+        return f"named_struct('level', {level}, 'slot', {slot}, 'pos', {pos}, 't', {t}, 'side', {side}, {values})"
+
+    # The end of a span is a point of its hour, of its day and, if far, of its block.
+    no_time = "CAST(NULL AS TIMESTAMP_NTZ)"
+    near = [placed(0, "pos", 0, "t", "side", listed), placed(1, "slot", "pos", no_time, -1, listed)]
+    block = placed(2, block_of("slot"), "slot", no_time, -1, distant)
+    itself = placed("level", "slot", "pos", "t", "side", listed)
+    levels = (
+        f"CASE WHEN level <> {ENDS} THEN array({itself}) WHEN far = 0 THEN array({', '.join(near)})"
+        f" ELSE array({', '.join([*near, block])}) END"
+    )
+    keys = ["pass", *[f"k{i}" for i in range(width)]]
+    some = " OR ".join(f"{w} <> 0" for w in ws)
     return (
         stays.selectExpr("*", *[f"{sql} AS {name}" for name, sql in helpers.items()])
-        .selectExpr("stay_id AS _stay", f"explode({listed}) AS point")
+        .selectExpr("stay_id AS _stay", f"explode(concat({', '.join(lists)})) AS point")
         .selectExpr("_stay", "point.*")
-        .where(" OR ".join(f"w{i} <> 0" for i in range(weights)))
+        .where(some)
+        .selectExpr("_stay", *keys, f"inline({levels})")
+        .where(some)
     )
 
 
 def _running_counts(stays, sources, counts) -> DataFrame:
-    """Counts of events that share keys with a stay, by running totals.
-
-    One aggregation folds the events of an instant into one row. One window then runs
-    through the instants and points of each key and bucket, for all passes at once.
+    """Counts of events that share keys with a stay, by running totals on three levels.
+
+    Events are folded on the map side to a row per instant within the hour, per hour within
+    the day, and per day within a block of days. A total up to a point is the sum of the
+    totals up to it in its hour, its day and, for long spans, its block. One window runs
+    through the rows and points of each key, level and slot, for all passes at once: no task
+    holds more of a key than the instants of an hour, and the points of a day. Days that a
+    long span runs through are counted by blocks, so a departure in the far future costs
+    few points.
     """
     passes = _passes(counts)
     width = max(len(p.keys) for p in passes)
     weights = max(len(p.spans) for p in passes)
     totals = max(len(p.measures) for p in passes)
-    key = ["pass", *[f"k{i}" for i in range(width)], "bucket"]
+    key = ["pass", *[f"k{i}" for i in range(width)], "level", "slot"]
+    place = ["pos", "t"]
     names = dict.fromkeys(m.source for p in passes for m in p.measures)
     frames = [_measured(sources[name], name, passes, width) for name in names]
-    instants = (
+    folded = (
         reduce(DataFrame.unionByName, frames)
-        .groupBy(*key, "t", "measure")
+        .groupBy(*key, *place, "measure")
         .agg(F.sum("n").alias("n"))
         .selectExpr("*", "0 AS side")
     )
     running = (
-        f"OVER (PARTITION BY {', '.join(key)} ORDER BY t, side"
+        f"OVER (PARTITION BY {', '.join(key)} ORDER BY pos, t, side"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     # Partitioned and sorted before the measures are spread over columns: the shuffle and
-    # the sort handle one narrow row per instant or point.
+    # the sort handle one narrow row per folded event or point.
     read = (
-        instants.unionByName(
+        folded.unionByName(
             _points(stays, passes, width, weights), allowMissingColumns=True
         )
         .repartition(*key)
-        .sortWithinPartitions(*key, "t", "side")
+        .sortWithinPartitions(*key, *place, "side")
         .selectExpr(
             "_stay",
             "pass",

@@ -200,7 +200,7 @@ def procedures_by_day(clinical) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     days = S.with_buckets(
-        clinical["edstays"], span.start, span.end, span.bucket_days, "day"
+        clinical["edstays"], span.start, span.end, 1, "day"
     ).select("stay_id", "subject_id", "day")
     return (
         days.join(per_day, ["subject_id", "day"])

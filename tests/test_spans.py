@@ -287,3 +287,33 @@ def test_running_counts_plan_has_no_join_of_events_and_stays(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
     assert plan.count("Window") == 1
+
+
+def test_very_long_stay_counts_days_by_blocks(spark):
+    stays = [
+        stay(1, hours=24 * 365 * 7900.0),
+        stay(2, hours=24 * 64.0),
+        stay(3, hours=24 * 65.0),
+        stay(4, hours=24 * 3000.0, start=T0 + HOUR),
+    ]
+    rng = random.Random(3)
+    whens = [T0 + dt.timedelta(hours=rng.randrange(-60, 24 * 3100), seconds=rng.randrange(3600)) for _ in range(400)]
+    whens += [T0 - TICK, T0, T0 + 24 * 65 * HOUR, T0 + 24 * 65 * HOUR + TICK, dt.datetime(9900, 1, 1)]
+    t = clinical(spark, edstays=stays, labevents=[(i, 1, w) for i, w in enumerate(whens)])
+    counts = {r["stay_id"]: r["lab_event_count"] for r in R.resource_counts(t, ["lab_event_count"]).collect()}
+    assert counts == {s[0]: sum(s[3] <= w <= s[4] for w in whens) for s in stays}
+    points = S._points(t["edstays"], S._passes([R.RESOURCES["lab_event_count"]]), 1, 1).count()
+    assert points < 4000
+
+
+def test_one_day_of_one_subject_is_split_by_hour(spark):
+    start = dt.datetime(2024, 3, 10)
+    stays = [stay(i, start=start + i * HOUR / 4) for i in range(40)]
+    whens = [start + dt.timedelta(seconds=7 * i) for i in range(12000)]
+    t = clinical(spark, edstays=stays, labevents=[(i, 1, w) for i, w in enumerate(whens)])
+    counts = {r["stay_id"]: r["lab_event_count"] for r in R.resource_counts(t, ["lab_event_count"]).collect()}
+    assert counts == {s[0]: sum(s[3] <= w <= s[4] for w in whens) for s in stays}
+    source = P.event_sources(t, [R.RESOURCES["lab_event_count"]])["labevents"]
+    rows = S._measured(source, "labevents", S._passes([R.RESOURCES["lab_event_count"]]), 1)
+    folded = rows.groupBy("pass", "k0", "level", "slot", "pos", "t").count().groupBy("level", "slot").count()
+    assert max(r["count"] for r in folded.collect()) <= 3600 / 7 + 1
