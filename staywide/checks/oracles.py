@@ -632,6 +632,7 @@ def oracle_sql() -> dict[str, str]:
     q["count_procedures"] = _count_sql(
         ["fx_procedures_icd"], PROCEDURE_COUNTS, "procedure_count"
     )
+    q["wide_sink_roundtrip"] = q["base_stay_triage"]
     q["wide_table"] = WIDE
     q["resource_type_count"] = RESOURCE_TYPES
 
@@ -650,6 +651,7 @@ def oracle_sql() -> dict[str, str]:
     q["format_sft"] = with_views(
         ["fx_instructions"], f"SELECT conv_id, turn, {sft} AS text FROM fx_instructions"
     )
+    q["format_sft_file"] = f"SELECT text FROM ({q['format_sft']})"
     q["format_sft_qa"] = q["format_sft"]
     q["format_cpt"] = f"SELECT doc_id, text || {_literal(T.EOS)} AS text FROM documents"
     q["chat_request"] = (

@@ -28,7 +28,7 @@ from ..plans import features as features_plan
 from ..plans import prompts as PR
 from ..plans import resources as R
 from ..plans import scoring, wide
-from ..sources import files
+from ..sources import clinical, files
 from ..sources.workspace import scratch
 from . import texts as T
 from .fixtures import Fixtures
@@ -454,6 +454,13 @@ def _(fx):
     return wide.wide_table(fx)
 
 
+@query("wide_sink_roundtrip")
+def _(fx):
+    path = scratch(fx.spark, "wide")
+    clinical.write_wide(wide.base_stays(fx), path)
+    return fx.spark.read.parquet(path)
+
+
 @query("resource_type_count")
 def _(fx):
     counts = R.resource_counts(fx, list(R.RESOURCES))
@@ -482,6 +489,13 @@ def _(fx):
     return PR.format_sft(fx["fx_instructions"], T.EOS).select("conv_id", "turn", "text")
 
 
+@query("format_sft_file")
+def _(fx):
+    path = scratch(fx.spark, "instructions")
+    files.write_csv(fx["fx_instructions"].select("instruction", "input", "output"), path)
+    return PR.format_sft(files.read_instructions(fx.spark, path), T.EOS).select("text")
+
+
 @query("format_sft_qa")
 def _(fx):
     renamed = fx["fx_instructions"].withColumnsRenamed(
