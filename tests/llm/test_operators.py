@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from staywide.llm import bpe, chat, components, knn, lm, mixing, quality, secrets, simhash, tokens, warc
+from staywide.llm import bpe, chat, components, copies, knn, lm, mixing, quality, secrets, simhash, tokens, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
@@ -293,6 +293,53 @@ def test_near_duplicates_of_hard_rows(spark):
     assert sorted(i for i in ids if i is not None) == sorted(roots) and ids.count(None) == 1
 
 
+def brute_shingles(text):
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for i in rng.sample(range(len(words)), edits):
+        words[i] = f"w{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_near_copies_are_what_jaccard_says(spark, crowd, monkeypatch):
+    monkeypatch.setattr(copies.candidates, "__defaults__", (crowd,))
+    rng = random.Random(20)
+    texts = []
+    for _ in range(30):
+        first = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300))]
+        texts += [" ".join(edited(rng, first, k)) for k in (0, 1, 2, 12)]
+    texts += [texts[0], texts[4].upper(), None, "", "one", "One", "a b c d e"]
+    sets = [brute_shingles(t) for t in texts]
+    for t, own in zip(texts, sets):
+        assert len(copies.shingles(t)) == len(own)
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+                far += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 2
+    assert far > 20
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 1)], "doc_id long, text string, size int")
+    found = {r["doc_id"]: r["component_id"] for r in copies.near_copies(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))] and found[None] == 0
+    kept = simhash.keep_one(docs, copies.near_copies).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({find(i) for i in range(len(texts))})
+    assert copies.near_copies(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1002)], "src long, dst long")
