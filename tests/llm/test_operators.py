@@ -215,6 +215,18 @@ def test_field_finds_what_the_patterns_label(spark):
     assert right >= 0.98 * sum(len(g) for _, g in held)
 
 
+def test_field_is_fitted_where_secrets_are_rare(spark):
+    texts = secret_texts(800)
+    rare = [t for t in texts if "token" not in t] + [t for t in texts if "token" in t][:8]
+    # A repeated row, and rows that share an id.
+    data = [(i if i % 2 else None, t) for i, t in enumerate(rare)] + [(5, "see page1.example.org/index7")] * 500
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    field = secrets.fit(docs, rows=40)
+    new = "the key is \"%s\" now" % "0a1b2c3d4e5f60718293a4b"
+    assert [s[2] for s in secrets.scan([new], field)[0]] == [3]
+    assert secrets.scan(["mail17.example.com and page3.example.org/index7"], field) == [[]]
+
+
 def test_secret_scans_of_hard_rows(spark):
     found = secrets.secret_scans(rows_of(spark)).collect()
     assert len(found) == len(TEXTS) + 1
