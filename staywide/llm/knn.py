@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,24 @@ class VantageTree:
         self._walk(self.root, np.arange(len(queries)), queries, near, which, factor)
         return near, which
 
+    def within(self, queries: np.ndarray, radius: np.ndarray, factor: float, slack: float, take) -> None:
+        """Calls `take` with queries and points, a leaf at a time, of all pairs within the radius of the query."""
+        stack = [(self.root, np.arange(len(queries)))]
+        while stack:
+            node, active = stack.pop()
+            if not len(active):
+                continue
+            if len(node) == 2:
+                points = self.order[node[0] : node[1]]
+                q, k = np.nonzero(_distances(queries[active], self.points[points]) <= radius[active, None])
+                if len(q):
+                    take(active[q], points[k])
+                continue
+            vantage, inner, outer, left, right = node
+            away = _distances(queries[active], self.points[vantage][None])[:, 0]
+            for side, bound in ((left, away - inner), (right, outer - away)):
+                stack.append((side, active[factor * bound <= radius[active] + slack]))
+
     def _walk(self, node, active, queries, near, which, factor) -> None:
         if not len(active):
             return
@@ -199,20 +218,46 @@ class Shard:
             unit = v / np.abs(v).max(axis=1, keepdims=True)
             unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
             # One point more than wanted, for the query's own may be among them.
-            _, which = tree.search(unit, min(len(points), wanted + 1 + SPARE), factor)
+            near, which = tree.search(unit, min(len(points), wanted + 1 + SPARE), factor)
             q, k = np.nonzero(which >= 0)
-            point = which[q, k]
-            score = cosines(v[q], points[point])
-            # Of equal vectors the smallest ids come first; one more than wanted, for the query's own.
-            size = np.minimum(start[point + 1] - start[point], wanted + 1)
-            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            vec = ids[np.repeat(start[point], size) + nth]
-            q, score = np.repeat(q, size), np.repeat(score, size)
-            other = vec != query[q]
-            q, vec, score = q[other], vec[other], score[other]
-            order = np.lexsort((vec, -score, q))
-            q, vec, score = q[order], vec[order], score[order]
-            first = np.searchsorted(q, np.arange(len(v)))
-            top = np.arange(len(q)) - first[q] < wanted
-            out.append((query[q[top]], vec[top], score[top]))
+            best = self._best(v, query, points, ids, start, q, which[q, k], wanted)
+            # Distances carry rounding, so ties and near ties are for the exact scores to decide.
+            # Where they may reach beyond the points found, all points that near are taken.
+            wide = 8 * np.finfo(float).eps * (v.shape[1] + 8)
+            if len(points) > wanted + 1 + SPARE:
+                near = np.sort(near, axis=1)
+                radius = np.sqrt(near[:, wanted] ** 2 + wide)
+                open_ = np.flatnonzero(near[:, -1] <= radius)
+                if len(open_):
+                    found = [tuple(c[~np.isin(best[0], open_)] for c in best)]
+                    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+                    def take(q, point):
+                        more = self._best(v[open_], query[open_], points, ids, start, q, point, wanted)
+                        held[0] = _top(*(np.concatenate(c) for c in zip(held[0], more)), wanted)
+
+                    tree.within(unit[open_], radius[open_], factor, 1e-6 + 4 * math.sqrt(wide), take)
+                    q, vec, score = held[0]
+                    found.append((open_[q], vec, score))
+                    best = tuple(np.concatenate(c) for c in zip(*found))
+            q, vec, score = best
+            out.append((query[q], vec, score))
         return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _best(self, v, query, points, ids, start, q, point, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and exact score of the best rows of these pairs of queries and points."""
+        score = cosines(v[q], points[point])
+        # Of equal vectors the smallest ids come first; one more than wanted, for the query's own.
+        size = np.minimum(start[point + 1] - start[point], wanted + 1)
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        vec = ids[np.repeat(start[point], size) + nth]
+        q, score = np.repeat(q, size), np.repeat(score, size)
+        other = vec != query[q]
+        return _top(q[other], vec[other], score[other], wanted)
+
+
+def _top(q: np.ndarray, vec: np.ndarray, score: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((vec, -score, q))
+    q, vec, score = q[order], vec[order], score[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < wanted
+    return q[top], vec[top], score[top]

@@ -140,6 +140,34 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def tied_vectors(kind):
+    rng = np.random.default_rng(21)
+    if kind == "scaled":
+        x = rng.normal(size=(250, 8))
+        # Copies of row 200, the longest scales at the smallest ids.
+        x[np.arange(50) * 4] = x[200] * (1 + rng.permutation(50))[:, None]
+        return x
+    if kind == "signs":
+        return rng.choice([-1.0, 1.0], size=(250, 8))
+    if kind == "near":
+        return rng.normal(size=8) + 1e-9 * rng.normal(size=(250, 8))
+    return np.eye(250)
+
+
+@pytest.mark.parametrize("kind", ["scaled", "signs", "near", "one-hot"])
+def test_nearest_decides_all_ties(spark, kind):
+    x = tied_vectors(kind)
+    ids = np.random.default_rng(22).permutation(250)
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in knn.nearest(frame).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 250, 50):
+        score = knn.cosines(np.broadcast_to(x[ids == q], x.shape), x)
+        order = ids[np.lexsort((ids, -score))]
+        assert got[q] == [i for i in order.tolist() if i != q][:5]
+
+
 def test_factor_trades_recall_for_work():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
