@@ -97,26 +97,34 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
+def named(printed: DataFrame) -> DataFrame:
+    """(fp_, component_id) of every fingerprint of (doc_id, fp).
+
+    Fingerprints are linked by themselves, so one without any id links too; a component
+    has the smallest id of all its rows.
+    """
+    reps = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    roots = components(links(reps.select("fp", F.col("fp").alias("rep"))))
+    rooted = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = saved(rooted, "simhash-roots")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per row of `docs`.
 
     A null text counts as empty; empty texts have fingerprint zero and link like any
     other. Repeated rows share a component. A row with a null id is linked to others by
-    its fingerprint but names no component; if all rows of a fingerprint have null ids,
-    its component is null. An empty table gives an empty result.
+    its fingerprint but names no component; if all rows of a component have null ids,
+    its name is null. An empty table gives an empty result.
     """
     # Distinct fingerprints stand for their documents: copies cost one row each from here on.
     printed = saved(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash-prints")
-    reps = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    edges = links(reps.filter("rep is not null"))
-    roots = components(edges)
-    named = reps.join(roots, reps["rep"] == roots["node"], "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("root", "rep").alias("component_id")
-    )
     # A fingerprint may hold a third of all rows; both sides are plain tables, so an uneven
     # join is split at run time.
-    named = saved(named, "simhash-named")
-    return printed.join(named, printed["fp"] == named["fp_"]).select(
+    groups = saved(named(printed), "simhash-named")
+    return printed.join(groups, printed["fp"] == groups["fp_"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -333,6 +333,13 @@ def test_near_duplicates_of_hard_rows(spark):
     assert sorted(i for i in ids if i is not None) == sorted(roots) and ids.count(None) == 1
 
 
+def test_rows_without_id_link_others(spark):
+    bits = random.Random(23).sample(range(64), 4)
+    prints = spark.createDataFrame([(0, 1), (1 << bits[0] | 1 << bits[1], None), (sum(1 << b for b in bits), 2)], "fp long, doc_id long")
+    named = simhash.named(prints).collect()
+    assert {r["component_id"] for r in named} == {1} and len(named) == 3
+
+
 def brute_shingles(text):
     words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
