@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, knn, lm, mixing, quality, secrets, simhash, tokens, warc
+from . import audit, bpe, chat, collocations, knn, lm, mixing, quality, secrets, simhash, tokens, warc, wordtable
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,21 @@ def _op10(spark, sf_dir):
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+@query("op11_word_table_bpe")
+def _op11(spark, sf_dir):
+    return wordtable.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations")
+def _op12(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit")
+def _op13(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # One component after the other, as the operator sums.
 _DOT = "list_reduce(list_prepend(0.0::DOUBLE, [a.v[i] * b.v[i] for i in range(1, len(a.v) + 1)]), lambda x, y: x + y)"
 
@@ -206,3 +221,86 @@ SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, CAST(depth A
        '{"arguments":' || arguments || ',"id":"call-' || conv_id || '-' || turn || '","name":"' || name || '","result":'
        || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
 FROM a"""
+
+
+ORACLES["op12_collocations"] = rf"""
+WITH p AS (
+    SELECT coalesce(lang, '{collocations.UNKNOWN_LANG}') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), '{collocations.UPPER}', '{collocations.LOWER}'), '{collocations.ENDS}')) AS piece
+    FROM documents
+),
+q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+totals AS (SELECT lang, sum(len(w)) AS n FROM q GROUP BY lang),
+g AS (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
+    FROM q, (VALUES (1), (2), (3), (4), (5)) AS sizes(k)
+),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= {collocations.LEAST}),
+w AS (SELECT *, string_split(phrase, ' ') AS words FROM c WHERE k >= 2),
+held AS (
+    SELECT lang, phrase, max(f) AS most FROM (
+        SELECT lang, f, unnest([array_to_string(words[i:i + m - 1], ' ') for i in range(1, k - m + 2)]) AS phrase
+        FROM w, (VALUES (2), (3), (4)) AS sizes(m) WHERE m < k
+    ) GROUP BY lang, phrase
+),
+cuts AS (
+    SELECT w.lang, w.phrase, w.f AS a, totals.n, j, l.f AS l, r.f AS r,
+           CAST((1000::HUGEINT * w.f * totals.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM w JOIN totals USING (lang) LEFT JOIN held ON held.lang = w.lang AND held.phrase = w.phrase,
+         (VALUES (1), (2), (3), (4)) AS places(j), c AS l, c AS r
+    WHERE j < w.k AND 100 * coalesce(most, 0) < 100 * w.f
+      AND l.lang = w.lang AND l.phrase = array_to_string(w.words[1:j], ' ')
+      AND r.lang = w.lang AND r.phrase = array_to_string(w.words[j + 1:], ' ')
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= {collocations.TOP}"""
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+least AS (SELECT text, min(doc_id) AS doc_id FROM d GROUP BY text),
+l AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id
+),
+f AS (
+    SELECT part,
+           CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * length(d.text) THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN d.doc_id > least.doc_id THEN 16 ELSE 0 END AS failed,
+           count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM d JOIN least ON d.text = least.text LEFT JOIN l ON l.doc_id = d.doc_id
+    GROUP BY part, failed
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (
+    SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS own,
+           list_sum([1 << (instr('ABCDE', filter_order[i]) - 1) for i in range(1, step + 1)]) AS upto
+    FROM orders, (VALUES (1), (2), (3), (4), (5)) AS places(step)
+),
+counted AS (
+    SELECT part, filter_order, step, own,
+           sum(CASE WHEN failed & upto = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN failed & upto = own THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN failed & own <> 0 AND failed & upto <> own THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN failed & upto = own THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN failed & upto = own THEN toxic ELSE 0 END) AS toxic_lost
+    FROM f, (SELECT filter_order, step, CAST(own AS BIGINT) AS own, CAST(upto AS BIGINT) AS upto FROM steps)
+    GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted"""
