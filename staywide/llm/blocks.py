@@ -1,51 +1,99 @@
 """Blocks of rows with a word table of their own: words become positions in it.
 
 A block is what one task packs together, some megabytes of words, whatever their rows are
-about: no key decides where a row goes, so none can be hot. A very common word is one row
-per block, not one per occurrence. What is found out about a distinct word goes back to the
+about: no key decides where a row goes, so none can be hot. A very common word is there once
+per block, not once per occurrence. What is found out about a distinct word goes back to the
 blocks that hold it, and from there to every place by its number.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import chunks, saved
 
 #: Bytes of words in a block; a longer row is a block alone.
 BLOCK_BYTES = 16 << 20
+#: Words in a packed group of rows; a longer row is a group alone.
+GROUP = 1 << 16
+MOST_BUCKETS = 1 << 16
 
 
-def _type(n_words: int) -> str:
-    return "<u2" if n_words <= 1 << 16 else "<u4"
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _flat(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def expanded(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def coded(rows: DataFrame, carry: str, label: str, split: Callable[[], Callable[[str], list[str]]] | None = None) -> DataFrame:
-    """Rows (`part`, `words`, `odd`, and `carry`) as blocks, written to the shared folder.
+def hashes(words: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+
+
+def pack_words(words: list[str]) -> bytes:
+    return squeezed(json.dumps(words, ensure_ascii=False).encode())
+
+
+def unpack_words(raw: bytes) -> list[str]:
+    return json.loads(expanded(raw))
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: common words have small numbers, so most planes are mostly zero."""
+    return squeezed(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_codes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(expanded(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def unpack_words_of(numbers: pa.ChunkedArray, words: pa.ChunkedArray, size: int) -> list[str]:
+    """The words of a block by number, of its packed lists."""
+    out = [""] * size
+    for some, raw in zip(numbers.to_pylist(), words.to_pylist()):
+        if raw is not None:
+            for i, word in zip(unpack_codes(some).tolist(), unpack_words(raw)):
+                out[i] = word
+    return out
+
+
+def _runs(parts: list) -> Iterator[list[int]]:
+    """Indices of equal parts."""
+    found: dict = {}
+    for i, part in enumerate(parts):
+        found.setdefault(part, []).append(i)
+    yield from found.values()
+
+
+def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Callable[[], Callable[[str], list[str]]] | None = None) -> DataFrame:
+    """Rows (`part`, `words`, and `carry`) as blocks, written to the shared folder.
 
     `part` is a string, `words` an array of strings; rows of different parts never share a
-    block. Where `odd` is not null, `split()(odd)` gives the words instead. Every block has
-    one row per distinct word (`idx` from 0, `word`, `n` occurrences) and one per row
-    (`codes`: the idx of its words in order, packed; `idx` null).
+    block. With `split` there is a column `odd` as well: where it is not null, `split()(odd)`
+    gives the words instead. Distinct words of a block are numbered, the most common first. A
+    block has a row for each `bucket`, the hash of a word modulo `buckets` (`words` and their
+    `numbers`, packed), and one for every few rows (`codes`: the numbers of their words in
+    order, packed; `lengths`: how many each row has; `carry` of each row). `size` is the number
+    of distinct words of the block.
     """
     name, kind = carry.split()
-    schema = f"block long, part string, idx int, word string, n long, codes binary, {name} {kind}"
+    schema = f"block long, part string, size int, bucket int, numbers binary, words binary, codes binary, lengths array<int>, {name} array<{kind}>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        small = zstandard.ZstdCompressor(level=1)
-        again = out = None
+        again = None
         for batch in batches:
             lists, parts, kept = batch.column("words"), batch.column("part").to_pylist(), batch.column(name)
             if split and batch.column("odd").null_count < len(parts):
@@ -53,55 +101,54 @@ def coded(rows: DataFrame, carry: str, label: str, split: Callable[[], Callable[
                 lists = pa.array([x.as_py() if o is None else again(o) for x, o in zip(lists, odd)], pa.list_(pa.string()))
             flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            places = flat.cast(pa.large_string()).buffers()[1]
-            byte = np.frombuffer(places, "<i8")[: len(flat) + 1] if len(flat) else np.zeros(1, "<i8")
-            order = sorted(range(len(parts)), key=lambda i: (parts[i] is not None, parts[i] or "", i))
-            runs, start = [], 0
-            for i in range(1, len(order) + 1):
-                if i == len(order) or parts[order[i]] != parts[order[start]]:
-                    runs.append(order[start:i])
-                    start = i
-            for run in runs:
+            byte = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(), dtype=np.int64)])
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(kept.type)]
+            out = pa.schema(list(zip(["block", "part", "size", "bucket", "numbers", "words", "codes", "lengths", name], kinds)))
+
+            def made(n: int, **columns) -> pa.RecordBatch:
+                fields = [columns.get(f.name, pa.nulls(n, f.type)) for f in out]
+                return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(fields, out)], schema=out)
+
+            for run in _runs(parts):
                 weights = [int(byte[ends[i + 1]] - byte[ends[i]]) + 64 for i in run]
                 for lo, hi in chunks(weights, BLOCK_BYTES):
                     mine = run[lo:hi]
-                    words = pa.concat_arrays([flat.slice(ends[i], sizes[i]) for i in mine])
-                    table = words.dictionary_encode()
-                    codes, n = table.indices.to_numpy(zero_copy_only=False), len(table.dictionary)
-                    times = np.bincount(codes, minlength=n)
-                    packed = codes.astype(_type(n))
-                    cuts = np.concatenate([[0], np.cumsum(sizes[mine])])
-                    part, m = parts[mine[0]], len(mine)
-                    out = out or pa.schema(
-                        [("block", pa.int64()), ("part", pa.string()), ("idx", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("codes", pa.binary()), (name, kept.type)]
-                    )
-                    for a in range(0, n, 20000):
-                        b = min(n, a + 20000)
-                        columns = [pa.array([block] * (b - a), pa.int64()), pa.array([part] * (b - a), pa.string()), pa.array(range(a, b), pa.int32()), table.dictionary.slice(a, b - a), pa.array(times[a:b], pa.int64()), pa.nulls(b - a, pa.binary()), pa.nulls(b - a, kept.type)]
-                        yield pa.RecordBatch.from_arrays(columns, schema=out)
-                    for a in range(0, m, 500):
-                        b = min(m, a + 500)
-                        raw = [small.compress(packed[cuts[i] : cuts[i + 1]].tobytes()) for i in range(a, b)]
-                        columns = [pa.array([block] * (b - a), pa.int64()), pa.array([part] * (b - a), pa.string()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), pa.nulls(b - a, pa.int64()), pa.array(raw, pa.binary()), kept.take(pa.array(mine[a:b]))]
-                        yield pa.RecordBatch.from_arrays(columns, schema=out)
+                    table = pa.concat_arrays([flat.slice(ends[i], sizes[i]) for i in mine]).dictionary_encode()
+                    words, n = table.dictionary.to_pylist(), len(table.dictionary)
+                    codes = table.indices.to_numpy(zero_copy_only=False)
+                    number = np.empty(n, np.int64)
+                    number[np.argsort(-np.bincount(codes, minlength=n), kind="stable")] = np.arange(n)
+                    codes = number[codes]
+                    bucket = (hashes(words) % np.uint64(buckets)).astype(np.int64)
+                    order = np.lexsort((number, bucket))
+                    firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                    lists_of = np.split(order, firsts[1:]) if n else []
+                    same = {"block": [block], "part": [parts[mine[0]]], "size": [n]}
+                    m = len(firsts)
+                    raw = [pack_words([words[i] for i in some.tolist()]) for some in lists_of]
+                    yield made(m, **{k: v * m for k, v in same.items()}, bucket=bucket[order][firsts], numbers=[pack_codes(number[some]) for some in lists_of], words=raw)
+                    own = sizes[mine]
+                    cuts = np.concatenate([[0], np.cumsum(own)])
+                    groups = list(chunks([*map(int, own + 64)], GROUP))
+                    m = len(groups)
+                    raw = [pack_codes(codes[cuts[a] : cuts[b]]) for a, b in groups]
+                    yield made(m, **{k: v * m for k, v in same.items()}, codes=raw, lengths=[own[a:b].tolist() for a, b in groups], **{name: pa.ListArray.from_arrays([a for a, _ in groups] + [len(mine)], kept.take(pa.array(mine)))})
                     block += 1
 
     columns = ["part", "words", *(["odd"] if split else []), name]
-    return saved(rows.select(*columns).mapInArrow(pack, schema), label, "zstd")
+    return saved(rows.select(*columns).mapInArrow(pack, schema), label)
 
 
-def words_of(blocks: DataFrame) -> DataFrame:
-    """(block, part, idx, word, n): the word tables of the blocks."""
-    return blocks.filter("idx IS NOT NULL").select("block", "part", "idx", "word", "n")
+def words_of(packed: DataFrame) -> DataFrame:
+    """(block, bucket, numbers, words): the word tables of the blocks."""
+    return packed.filter("words IS NOT NULL").select("block", "bucket", "numbers", "words")
 
 
-def rows_of(blocks: DataFrame, carry: str) -> DataFrame:
-    """(block, part, codes, carry): the rows of the blocks, as columns apart from those of `words_of`."""
-    rows = blocks.filter("codes IS NOT NULL").select("block", "part", "codes", carry)
-    return rows.select(*(F.col(c).alias(c) for c in rows.columns))
+def rows_of(packed: DataFrame, carry: str) -> DataFrame:
+    """(block, size, codes, lengths, carry): the rows of the blocks, some in one."""
+    return packed.filter("codes IS NOT NULL").select("block", "size", "codes", "lengths", carry)
 
 
-def unpacked(codes: pa.ChunkedArray, n_words: int) -> list[np.ndarray]:
-    """The numbers of every row of a block with so many distinct words."""
-    large, kind = zstandard.ZstdDecompressor(), _type(n_words)
-    return [np.frombuffer(large.decompress(x.as_py()), kind) for x in codes]
+def bucket_count(n: int) -> int:
+    """A power of two near the number of blocks: what meets in a bucket is about as much as a block."""
+    return min(MOST_BUCKETS, max(16, 1 << max(0, n - 1).bit_length()))

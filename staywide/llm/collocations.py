@@ -1,13 +1,15 @@
 """Phrase collocations of a weighted de Bruijn graph.
 
 The longest grams are edges between the two grams of one word less that overlap in them.
-Only they are counted in the text. What is shorter follows from the flow: a gram occurs as
-often as the grams that begin with it, and as often as a piece of text ends with it. Paths
-through nodes with one way in and one way out are compacted into passages.
+Only they are counted in the text, as far as they can be frequent at all. What is shorter follows
+from the flow: a gram occurs as often as the longer ones that begin with it, and as often as a
+path ends with it. Paths through nodes with one way in and one way out are compacted into passages.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,132 +45,156 @@ def _pieces(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("part"), words.alias("words"), F.lit(None).cast("int").alias("row"))
 
 
-def _chain(rows: pa.Table, n: int) -> np.ndarray:
-    """The numbers of all rows of a block, -1 behind every row."""
-    parts: list[np.ndarray] = []
-    for codes in blocks.unpacked(rows["codes"], n):
-        parts += [codes.astype(np.int64), np.array([-1])]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _kept_pairs(packed: DataFrame, least: int, counts: DataFrame) -> DataFrame:
-    """(block, part, size, a, b, gram): places in a block's word table of pairs that are frequent.
-
-    Pairs are counted between frequent words only: no phrase of `least` occurrences holds another.
+def _mixed(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of grams with one word more."""
+    x = grams * np.uint64(0x9E3779B97F4A7C15) + words
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class _Block:
+    """The words of a block in order, and how long a frequent gram starts at each place."""
+
+    def __init__(self, rows: pa.Table, frequent: pa.Table):
+        self.words = blocks.unpack_words_of(rows["numbers"], rows["words"], rows["size"][0].as_py())
+        # Every row ends with a mark that is no word.
+        chain: list[np.ndarray] = []
+        for raw, lengths in zip(rows["codes"].to_pylist(), rows["lengths"].to_pylist()):
+            if raw is not None:
+                chain.append(np.insert(blocks.unpack_codes(raw), np.cumsum(lengths), -1))
+        self.chain = np.concatenate([*chain, np.full(LONGEST, -1)])
+        mark = re.compile(ENDS)
+        proper = np.array([not mark.match(w) for w in self.words] + [False])
+        self.proper = proper[self.chain]
+        self.hashes = np.concatenate([blocks.hashes(self.words), np.zeros(1, np.uint64)])[self.chain]
+        self.frequent: dict[int, list[np.ndarray]] = {}
+        for k, raw in zip(frequent["k"].to_pylist(), frequent["hashes"].to_pylist()):
+            self.frequent.setdefault(k, []).append(_numbers(raw))
+
+    def reach(self, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many words of a frequent gram start at each place, `longest` at most; then the
+        places of grams of one word more whose own parts are frequent, and their hashes."""
+        n = len(self.chain)
+        reach = np.zeros(n, np.int64)
+        places, hashes = np.flatnonzero(self.proper), self.hashes
+        for k in range(1, longest + 1):
+            known = np.unique(np.concatenate(self.frequent.get(k, [np.zeros(0, np.uint64)])))
+            found = np.zeros(n + 1, bool)
+            if len(known):
+                at = np.searchsorted(known, hashes[places])
+                at[at == len(known)] = 0
+                found[places[known[at] == hashes[places]]] = True
+            reach[found[:n]] = k
+            places = np.flatnonzero(found[:n] & found[1:])
+            longer = np.zeros(n, np.uint64)
+            longer[places] = _mixed(hashes[places], self.hashes[places + k])
+            hashes = longer
+        return reach, places, hashes[places]
+
+    def grams(self, places: np.ndarray, k: int) -> tuple[list[str], np.ndarray]:
+        """The distinct grams of k words at these places, and how often each is there."""
+        size, numbers = len(self.words) + 1, self.chain[places]
+        for j in range(1, k):
+            _, numbers = np.unique(numbers, return_inverse=True)
+            numbers = numbers * size + self.chain[places + j]
+        _, first, n = np.unique(numbers, return_index=True, return_counts=True)
+        words = [[self.words[w] for w in self.chain[places[first] + j].tolist()] for j in range(k)]
+        return [" ".join(g) for g in zip(*words)], n
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    return blocks.squeezed(np.diff(numbers, prepend=np.uint64(0)).astype("<u8").tobytes())
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blocks.expanded(raw), "<u8"), dtype=np.uint64)
+
+
+def _frequent(packed: DataFrame, frequent: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
+    """(block, k, hashes): of the grams of k words of a block, those that may be frequent.
+
+    A gram is counted by its hash, where its parts are frequent. Hashes that meet add up, so a
+    frequent gram is never left out; one too many is counted exactly later. The hashes of a
+    block go out in as many lists as there are buckets, and what is frequent comes back.
     """
-    kept = counts.filter(F.col("n") >= least).select("part", "word")
-    own = blocks.words_of(packed)
-    sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    own = own.select("block", "part", "idx", "word").join(kept, ["part", "word"]).join(sizes, "block")
-
-    def count(rows: pa.Table, words: pa.Table) -> pa.Table:
-        if not words.num_rows or not rows.num_rows:
-            return pa.table({name: pa.array([], kind) for name, kind in _PAIRS})
-        size, block, part = words["size"][0].as_py(), rows["block"][0].as_py(), rows["part"][0].as_py()
-        names: dict[int, str] = dict(zip(words["idx"].to_pylist(), words["word"].to_pylist()))
-        good = np.zeros(size + 1, bool)
-        good[list(names)] = True
-        chain = _chain(rows, size)
-        ok = good[chain]
-        at = np.flatnonzero(ok[:-1] & ok[1:])
-        pairs, n = np.unique(chain[at] * size + chain[at + 1], return_counts=True)
-        a, b = pairs // size, pairs % size
-        grams = [f"{names[x]} {names[y]}" for x, y in zip(a.tolist(), b.tolist())]
-        m = len(pairs)
-        values = [[block] * m, [part] * m, [size] * m, a, b, grams, n]
-        return pa.table({name: pa.array(v, kind) for (name, kind), v in zip(_PAIRS, values)})
-
-    counted = blocks.rows_of(packed, "row").groupBy("block").cogroup(own.groupBy("block"))
-    pairs = saved(counted.applyInArrow(count, "block long, part string, size long, a long, b long, gram string, n long"), "pairs", "zstd")
-    frequent = pairs.groupBy("part", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("part", "gram")
-    return pairs.select("block", "part", "size", "a", "b", "gram").join(frequent, ["part", "gram"])
-
-
-_PAIRS = [("block", pa.int64()), ("part", pa.string()), ("size", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("gram", pa.string()), ("n", pa.int64())]
-_GRAMS = [("part", pa.string()), ("k", pa.int32()), ("gram", pa.string()), ("n", pa.int64())]
-
-
-def _counted_grams(rows: pa.Table, pairs: pa.Table, longest: int) -> pa.Table:
-    """Edges of a block, and what its runs of frequent pairs end with (up to `longest` - 1 words)."""
-    out: list[tuple[list, list, np.ndarray]] = []
-    if rows.num_rows and pairs.num_rows:
-        size, part = pairs["size"][0].as_py(), rows["part"][0].as_py()
-        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        names: dict[int, str] = {}
-        for x, y, gram in zip(a.tolist(), b.tolist(), pairs["gram"].to_pylist()):
-            names[x], names[y] = gram.split(" ")
-        chain = np.concatenate([_chain(rows, size), np.full(longest, -1)])
-        key = chain[:-1] * size + chain[1:]
-        key[(chain[:-1] < 0) | (chain[1:] < 0)] = -1
-        known = np.unique(a * size + b)
-        found = np.searchsorted(known, key)
-        found[found == len(known)] = 0
-        link = known[found] == key
-        # What a run ends with: a place without a link behind but with one before.
-        last = np.flatnonzero(np.concatenate([[False], link]) & ~np.concatenate([link, [False]]))
-        before = np.concatenate([[-1], np.flatnonzero(~np.concatenate([[False], link]))])
-        length = last - before[np.searchsorted(before, last, side="right") - 1] + 1
-
-        def add(k: int, starts: np.ndarray, numbers: np.ndarray) -> None:
-            _, first, n = np.unique(numbers, return_index=True, return_counts=True)
-            words = [[names[w] for w in chain[starts[first] + j].tolist()] for j in range(k)]
-            out.append(([k] * len(first), [" ".join(g) for g in zip(*words)], n))
-
-        # Numbers of the grams that start at each place: those of one word less, then the next word.
-        ids = np.where(link, found, -1)
-        for k in range(2, longest + 1):
-            if k > 2:
-                places = np.flatnonzero((ids[:-1] >= 0) & link[k - 2 :][: len(ids) - 1])
-                numbers = ids[places] * size + chain[places + k - 1]
-                _, inverse = np.unique(numbers, return_inverse=True)
-                ids = np.full(len(ids) - 1, -1, np.int64)
-                ids[places] = inverse
-            if k < longest:
-                ends = last[(length == k) | ((length > k) & (k == longest - 1))] - k + 1
-                if len(ends):
-                    add(k, ends, ids[ends])
-            elif (ids >= 0).any():
-                starts = np.flatnonzero(ids >= 0)
-                add(k, starts, ids[starts])
-    table = [[part] * sum(len(x[0]) for x in out) if out else [], [k for x in out for k in x[0]], [g for x in out for g in x[1]], np.concatenate([x[2] for x in out]) if out else []]
-    return pa.table({name: pa.array(v, kind) for (name, kind), v in zip(_GRAMS, table)})
-
-
-def graph(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """(words, grams): counts of all words, and edges and ends of the runs of frequent pairs.
-
-    `words` has (part, word, n). `grams` has (part, k, gram, n): with k = `longest` an edge, with
-    fewer words what so many runs end with. A run is cut where a pair occurs less than `least`
-    times: no phrase of interest, nor any part of one, lies across such a place.
+    bits = np.uint64(64 - buckets.bit_length() + 1)
+
+    def count(rows: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if rows.num_rows:
+            _, places, found = _Block(rows, known).reach(k - 1)
+            grams, n = np.unique(found, return_counts=True)
+            bucket = (grams >> bits).astype(np.int64)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            block, part = rows["block"][0].as_py(), rows["part"][0].as_py()
+            for a, b in zip(starts, [*starts[1:], len(grams)]):
+                out.append((part, int(bucket[a]), block, _packed(grams[a:b]), blocks.squeezed(n[a:b].astype("<u4").tobytes())))
+        kinds = [("part", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("n", pa.binary())]
+        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(kinds)})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        lists = [_numbers(x.as_py()) for x in rows["hashes"]]
+        n = np.concatenate([np.frombuffer(blocks.expanded(x.as_py()), "<u4") for x in rows["n"]]).astype(np.int64)
+        grams = np.concatenate(lists)
+        order = np.argsort(grams, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) > 0]))
+        often = grams[order][starts][np.add.reduceat(n[order], starts) >= least]
+        kept = [(b, own) for b, x in zip(rows["block"].to_pylist(), lists) if len(own := x[np.isin(x, often, assume_unique=True)])]
+        return pa.table({"block": pa.array([b for b, _ in kept], pa.int64()), "k": pa.array([k] * len(kept), pa.int32()), "hashes": pa.array([_packed(x) for _, x in kept], pa.binary())})
+
+    counted = packed.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(count, "part string, bucket int, block long, hashes binary, n binary")
+    return saved(counted.groupBy("part", "bucket").applyInArrow(meet, "block long, k int, hashes binary"), "frequent")
+
+
+def graph(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(part, k, gram, n): the edges of the graph, and where a path cannot go on.
+
+    Every place of a text gives one row's count: the longest gram that starts there, has
+    `longest` words at most and occurs `least` times. With `longest` words it is an edge. With
+    fewer it is an end: its piece ends there, or the next gram is too rare to be of interest,
+    and so is all that holds it. With k = 0 a row has the number of all words.
     """
-    if longest < 3:
-        raise ValueError("an edge has three words at least")
+    if not 2 <= longest <= LONGEST:
+        raise ValueError(f"phrases have 2 to {LONGEST} words")
     packed = blocks.coded(_pieces(docs), "row int", "phrase-blocks")
-    words = blocks.words_of(packed).filter(~F.col("word").rlike("^" + ENDS)).groupBy("part", "word").agg(F.sum("n").alias("n"))
-    words = saved(words, "phrase-words", "zstd")
-    pairs = _kept_pairs(packed, least, words)
-    counted = blocks.rows_of(packed, "row").groupBy("block").cogroup(pairs.groupBy("block"))
-
-    def count(rows: pa.Table, own: pa.Table) -> pa.Table:
-        return _counted_grams(rows, own, longest)
-
-    grams = counted.applyInArrow(count, "part string, k int, gram string, n long")
-    return words, saved(grams.groupBy("part", "k", "gram").agg(F.sum("n").alias("n")), "grams", "zstd")
-
-
-def flows(words: DataFrame, grams: DataFrame, longest: int = LONGEST) -> dict[int, DataFrame]:
+    buckets = blocks.bucket_count(packed.filter("words IS NOT NULL").count())
+    packed = packed.select("block", "part", "size", "numbers", "words", "codes", "lengths")
+    frequent = docs.sparkSession.createDataFrame([], "block long, k int, hashes binary")
+    for k in range(1, longest + 1):
+        frequent = frequent.union(_frequent(packed, frequent, k, least, buckets))
+
+    def count(rows: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[tuple[int, list[str], list[int]]] = []
+        part = rows["part"][0].as_py() if rows.num_rows else None
+        if rows.num_rows:
+            block = _Block(rows, known)
+            reach, _, _ = block.reach(longest)
+            out.append((0, [""], [int(block.proper.sum())]))
+            for k in range(1, longest + 1):
+                places = np.flatnonzero(reach == k)
+                if len(places):
+                    grams, n = block.grams(places, k)
+                    out.append((k, grams, n.tolist()))
+        kinds = [("part", pa.string()), ("k", pa.int32()), ("gram", pa.string()), ("n", pa.int64())]
+        columns = [[part for _, g, _ in out for _ in g], [k for k, g, _ in out for _ in g], [x for _, g, _ in out for x in g], [x for _, _, n in out for x in n]]
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns)})
+
+    counted = packed.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(count, "part string, k int, gram string, n long")
+    return saved(counted.groupBy("part", "k", "gram").agg(F.sum("n").alias("n")), "grams", "zstd")
+
+
+def flows(grams: DataFrame, longest: int = LONGEST) -> dict[int, DataFrame]:
     """(part, gram, n) by number of words: edges, and what flows through the shorter grams.
 
-    A gram occurs as often as the next longer ones that begin with it, and as often as a run
-    ends with it. Words count by themselves, as runs leave out those without a frequent pair.
+    A gram occurs as often as the next longer ones that begin with it, and as often as a
+    path ends with it. Counts of grams that are frequent are exact; rarer ones may lack rows.
     """
     out = {longest: grams.filter(F.col("k") == longest).select("part", "gram", "n")}
-    ends = grams.filter(F.col("k") < longest)
-    for k in range(longest - 1, 1, -1):
+    for k in range(longest - 1, 0, -1):
         through = out[k + 1].select("part", F.expr(_first("gram", k)).alias("gram"), "n")
-        ended = ends.filter(F.col("k") >= k).select("part", F.expr(_last("gram", k)).alias("gram"), "n")
+        ended = grams.filter(F.col("k") == k).select("part", "gram", "n")
         out[k] = saved(through.union(ended).groupBy("part", "gram").agg(F.sum("n").alias("n")), "flow", "zstd")
-    out[1] = words.select("part", F.col("word").alias("gram"), "n")
     return out
 
 
@@ -217,11 +243,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     they are there, ids and other columns are ignored. Without a frequent phrase there are
     no rows. Arithmetic is exact: products are decimals of 38 digits.
     """
-    words, grams = graph(docs, least, longest)
-    flow = flows(words, grams, longest)
+    grams = graph(docs, least, longest)
+    flow = flows(grams, longest)
     heavy = {k: df.filter(F.col("n") >= least) for k, df in flow.items()}
     paths = saved(passages(heavy[longest], heavy[longest - 1], longest), "passages", "zstd")
-    totals = words.groupBy("part").agg(F.sum("n").alias("total"))
+    totals = grams.filter("k = 0").select("part", F.col("n").alias("total"))
     # Longest phrases are the edges of the passages; nodes inside a passage are as frequent as its edges and go.
     candidates = paths.select("part", F.explode(_grams_in("passage", longest)).alias("gram"), "n").withColumn("k", F.lit(longest))
     inside = paths.select("part", F.explode(_grams_in("passage", longest - 1, 1)).alias("gram"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import blocks
-from .common import in_parts, or_empty, saved
+from .common import or_empty, saved
 
 FILE = "byte_bpe_50k.json"
 SPLIT = public_tokenizers.PATTERN
@@ -59,14 +59,21 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(id, piece): the bytes of every id. As large as the vocabulary, whatever the corpus is."""
+def piece_bytes(path: str | None = None) -> list[bytes]:
+    """The bytes of every id, by id: as many as the vocabulary has, whatever the corpus is."""
     tokenizer, byte_of = load(path), _byte_of()
-    special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-    rows = []
-    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+    special = tokenizer.get_added_tokens_decoder()
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
         plain = i in special or any(c not in byte_of for c in token)
-        rows.append((i, bytearray(token.encode() if plain else bytes(map(byte_of.__getitem__, token)))))
+        out[i] = token.encode() if plain else bytes(map(byte_of.__getitem__, token))
+    return out
+
+
+def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(id, piece): the bytes of every id as a table."""
+    rows = [(i, bytearray(piece)) for i, piece in enumerate(piece_bytes(path))]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece binary")
 
 
@@ -108,33 +115,41 @@ def splitter(path: str | None = None):
     return load_split
 
 
-def word_table(words: DataFrame, path: str | None = None) -> DataFrame:
-    """(word, ids, raw): the ids of every distinct word, and the bytes that its ids decode to.
+def _encoded_words(words: DataFrame, path: str | None) -> DataFrame:
+    """(block, numbers, sizes, ids): the ids of every block's words, each distinct word encoded once.
 
-    Ids are little-endian unsigned 32-bit integers. The bytes come from a join of each id
-    with its piece; a word's pieces are put together by their places.
+    Lists of words meet by the hash of their words. A task goes from bucket to bucket and
+    holds the distinct words of one. `numbers` has the words' numbers in the block, `sizes` how
+    many ids each has, `ids` all of them, all packed.
     """
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = load(path)
-        for batch in in_parts(batches, 5000):
-            yield pd.Series([e.ids for e in tokenizer.encode_batch(batch.tolist(), add_special_tokens=False)], index=batch.index)
-
-    spark = words.sparkSession
-    table = saved(words.select("word").distinct().withColumn("ids", encoded.asNondeterministic()("word")), "word-ids", "zstd")
-    places = table.select("word", F.posexplode("ids").alias("pos", "id"))
-    found = places.join(F.broadcast(pieces(spark, path)), "id").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("p"))
-    return found.select("word", F.col("p.id").alias("ids"), F.expr("aggregate(p.piece, X'', (a, b) -> concat(a, b))").alias("raw"))
+        tokenizer, known, at = load(path), {}, None
+        for batch in batches:
+            sizes, ids = [], []
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("words")):
+                if bucket != at:
+                    known, at = {}, bucket
+                own = blocks.unpack_words(raw.as_py())
+                new = [w for w in own if w not in known]
+                for word, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
+                    known[word] = found.ids
+                sizes.append(blocks.pack_codes(np.array([len(known[w]) for w in own], np.int64)))
+                ids.append(blocks.pack_codes(np.array([i for w in own for i in known[w]], np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "numbers", "sizes", "ids"])
+
+    dealt = words.repartition("bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(encode, "block long, numbers binary, sizes binary, ids binary")
 
 
 def encode_documents(docs: DataFrame, ids: bool = False, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, with `ids` also the ids.
 
     Texts are split into words in the JVM and packed into blocks with a word table each.
-    Distinct words of all blocks are encoded once; a block gets the ids of its words back
-    and puts them at their places. Null texts count as empty: no tokens. Repeated rows and
+    Distinct words are encoded once; a block gets the ids of its words back and puts them at
+    their places. To decode, the ids are joined with their pieces, a table as large as the
+    vocabulary that every task holds. Null texts count as empty: no tokens. Repeated rows and
     null ids are kept, other columns are ignored.
     """
     specials = added(load(path))
@@ -144,35 +159,44 @@ def encode_documents(docs: DataFrame, ids: bool = False, path: str | None = None
     words = F.when(odd.isNull(), split_words(text, specials)).otherwise(F.array().cast("array<string>"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.lit("").alias("part"), words.alias("words"), odd.alias("odd"), "doc_id")
-    packed = blocks.coded(rows, f"doc_id {kind}", "word-blocks", splitter(path))
-    own = blocks.words_of(packed)
-    table = saved(word_table(own, path), "word-table", "zstd")
-    own = own.join(table, "word").select("block", "idx", "ids", "raw")
+    buckets = blocks.bucket_count(4 * docs.rdd.getNumPartitions())
+    packed = blocks.coded(rows, f"doc_id {kind}", "word-blocks", buckets, splitter(path))
+    found = _encoded_words(blocks.words_of(packed), path)
+    shipped = docs.sparkSession.sparkContext.broadcast(piece_bytes(path))
     result = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
     def placed(rows: pa.Table, words: pa.Table) -> pa.Table:
-        n = words.num_rows
+        n = rows["size"][0].as_py() if rows.num_rows else 0
+        pieces = shipped.value
         numbers: list[bytes] = [b""] * n
         raws: list[bytes] = [b""] * n
-        for i, own_ids, raw in zip(words["idx"].to_pylist(), words["ids"].to_pylist(), words["raw"].to_pylist()):
-            numbers[i], raws[i] = np.array(own_ids, "<u4").tobytes(), raw
-        counts, digests, decoded, lists = [], [], [], []
-        for codes in blocks.unpacked(rows["codes"], n):
-            at = codes.tolist()
-            packed_ids, text = b"".join(map(numbers.__getitem__, at)), b"".join(map(raws.__getitem__, at))
-            counts.append(len(packed_ids) // 4)
-            digests.append(hashlib.sha256(packed_ids).hexdigest())
-            decoded.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
-            if ids:
-                lists.append(np.frombuffer(packed_ids, "<i4"))
-        columns = [rows["doc_id"], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+        for number, sizes, own in zip(words["numbers"].to_pylist(), words["sizes"].to_pylist(), words["ids"].to_pylist()):
+            found = blocks.unpack_codes(own)
+            raw, joined, end = found.astype("<u4").tobytes(), list(map(pieces.__getitem__, found.tolist())), 0
+            for i, size in zip(blocks.unpack_codes(number).tolist(), blocks.unpack_codes(sizes).tolist()):
+                start, end = end, end + size
+                numbers[i], raws[i] = raw[4 * start : 4 * end], b"".join(joined[start:end])
+        doc_ids, counts, digests, decoded, lists = [], [], [], [], []
+        for codes, lengths, carried in zip(rows["codes"].to_pylist(), rows["lengths"].to_pylist(), rows["doc_id"].to_pylist()):
+            every, end = blocks.unpack_codes(codes).tolist(), 0
+            doc_ids += carried
+            for length in lengths:
+                start, end = end, end + length
+                at = every[start:end]
+                packed_ids, text = b"".join(map(numbers.__getitem__, at)), b"".join(map(raws.__getitem__, at))
+                counts.append(len(packed_ids) // 4)
+                digests.append(hashlib.sha256(packed_ids).hexdigest())
+                decoded.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
+                if ids:
+                    lists.append(np.frombuffer(packed_ids, "<i4"))
+        columns = [pa.array(doc_ids, rows.schema.field("doc_id").type.value_type), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if ids:
             columns.append(pa.array(lists, pa.list_(pa.int32())))
             names.append("ids")
         return pa.table(columns, names=names)
 
-    return blocks.rows_of(packed, "doc_id").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(placed, result)
+    return blocks.rows_of(packed, "doc_id").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(placed, result)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
