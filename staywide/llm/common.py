@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,16 @@ def saved(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value) -> Callable:
+    """A function that gives the value in a task, anew at each call.
+
+    A broadcast alone pickles classes by reference, and a worker would have to import them.
+    Its bytes are made as functions are: by value where the package is registered so.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

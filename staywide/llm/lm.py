@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import broadcast_if_small
-from .common import chunks, saved
+from .common import chunks, saved, shipped
 
 #: Bytes of context.
 ORDER = 5
@@ -321,16 +321,16 @@ def _costs(codes: DataFrame, order: int) -> DataFrame:
     """
     base = min(order, LOW)
     low = codes.groupBy(F.col("code").bitwiseAND(F.lit(_mask(base))).alias("code")).agg(F.sum("train").alias("n")).filter("n > 0").toArrow()
-    shipped = codes.sparkSession.sparkContext.broadcast(Trie(*(np.asarray(low[c].to_numpy(), np.int64) for c in ("code", "n")), base))
+    load = shipped(codes.sparkSession, Trie(*(np.asarray(low[c].to_numpy(), np.int64) for c in ("code", "n")), base))
     ending = F.shiftright("code", 8).bitwiseAND(F.lit(_mask(LOW)))
     nodes = codes.withColumn("ending", ending).repartition("ending").groupBy("ending", "code").agg(F.sum("train").alias("n"))
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros((0, 3), np.int64)]
+        rest, short = [np.zeros((0, 3), np.int64)], load()
 
         def worked_out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             code, n = rows[:, 1], rows[:, 2]
-            trie = Trie(code[n > 0], n[n > 0], order, shipped.value) if order > base else shipped.value
+            trie = Trie(code[n > 0], n[n > 0], order, short) if order > base else short
             for k in range(0, len(code), 1 << 16):
                 some = code[k : k + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(trie.log10(some))], ["code", "cost"])

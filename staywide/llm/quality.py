@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, in_parts, table
+from .common import chunks, fresh, in_parts, shipped, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -232,11 +232,11 @@ def judge(docs: DataFrame, model: Model | None, min_quality: float = MIN_QUALITY
     Null and empty texts have no words and fail. Without a model `quality` is null and
     the base rules alone decide. All other columns stay in the JVM, whatever their names.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    load = shipped(docs.sparkSession, model)
 
     @F.pandas_udf(RESULT)
     def rules(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = shipped.value
+        scorer = load()
         for batch in in_parts(texts):
             batch = batch.tolist()
             out = pd.DataFrame([base_counts(t) for t in batch], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")

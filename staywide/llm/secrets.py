@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, in_parts, saved
+from .common import chunks, fresh, in_parts, saved, shipped
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "crf")
@@ -314,11 +314,11 @@ RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 
 def with_spans(docs: DataFrame, field: Field, mask: bool = False) -> tuple[DataFrame, str]:
     """`docs` with a struct column of counts and spans, and with `mask` the text without its secrets."""
-    shipped = docs.sparkSession.sparkContext.broadcast(field)
+    load = shipped(docs.sparkSession, field)
 
     @F.pandas_udf(RESULT)
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shipped.value
+        model = load()
         for batch in in_parts(batches):
             texts = [t or "" for t in batch]
             found = scan(texts, model)
