@@ -9,7 +9,8 @@ becoming one task or a quadratic join:
   ever produced. Work and memory grow with events plus stays. An hour holds the totals of
   instants, a day those of hours, a block of days those of days.
 
-Only `interval_join`, whose result is the set of pairs, produces pairs.
+Only `interval_join`, whose result is the set of pairs, produces pairs; sums and minima of whole
+days are read off blocks of days (`fold_days`).
 
 Conditions and times are SQL text over the columns of a table, so that a plan with
 dozens of features is put together in a few calls.
@@ -23,9 +24,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import broadcast_if_small
+
 #: Spans that run through more days than this count them by blocks.
 LONG_DAYS = 64
 BLOCK_DAYS = 1024
+#: A block of the next level of `with_blocks` is 2 to these bits as long; no block reaches past this day.
+BLOCK_BITS = 2
+DAYS_END = 1 << 28
 #: Marks the ends of spans until they are placed on the levels.
 ENDS = -1
 HOUR_LATER = "intime + INTERVAL '1' HOUR"
@@ -84,9 +90,9 @@ STAY_DAYS_PLUS_ONE = Span(
 )
 
 
-def bucket_of(when: str, days: int) -> str:
-    day = f"unix_date(CAST({when} AS DATE))"
-    return day if days == 1 else f"CAST(floor({day} / {days}) AS INT)"
+def bucket_of(when: str) -> str:
+    """The day of a time, as a number."""
+    return f"unix_date(CAST({when} AS DATE))"
 
 
 def hour_of(when: str) -> str:
@@ -97,12 +103,55 @@ def block_of(day: str) -> str:
     return f"CAST(floor({day} / {BLOCK_DAYS}) AS INT)"
 
 
-def with_buckets(
-    df: DataFrame, start: str, end: str, days: int, name: str = "bucket"
-) -> DataFrame:
-    """One row per time bucket that the closed range touches; none if it is empty."""
-    buckets = f"explode(sequence({bucket_of(start, days)}, {bucket_of(end, days)}))"
-    return df.where(f"{start} <= {end}").selectExpr("*", f"{buckets} AS {name}")
+def with_blocks(df: DataFrame, start: str, end: str | None) -> DataFrame:
+    """One row per block of the days that the closed range touches; none if it is empty.
+
+    A block of level j is 4 to the j days, aligned. A range is cut into the fewest blocks: six
+    of a level at most, so their number grows with the logarithm of its days. `end=None` runs
+    on to the last block there is. Adds `_level` and `_block`.
+    """
+    last = f"unix_date(CAST({end} AS DATE)) + 1" if end else str(DAYS_END)
+    low = "shiftright(_first + shiftleft(1, {0}) - 1, {0})"
+    high = "shiftright(_last, {0})"
+    own, up = f"{BLOCK_BITS} * j", f"{BLOCK_BITS} * (j + 1)"
+    levels = f"sequence(0, CAST(ceil(log2(_last - _first + 1) / {BLOCK_BITS}) AS INT))"
+    # Of each level its blocks within the range, and those of them that make up blocks of the next.
+    ranges = (
+        f"transform({levels}, j -> named_struct('j', j, 'lo', {low.format(own)}, 'hi', {high.format(own)},"
+        f" 'from', shiftleft({low.format(up)}, {BLOCK_BITS}), 'upto', shiftleft({high.format(up)}, {BLOCK_BITS})))"
+    )
+    front = "if(x.lo < least(x.hi, x.from), sequence(x.lo, least(x.hi, x.from) - 1), array())"
+    rest = "greatest(x.upto, least(x.hi, x.from))"
+    rear = f"if(x.lo < x.hi AND {rest} < x.hi, sequence({rest}, x.hi - 1), array())"
+    blocks = f"transform(concat({front}, {rear}), b -> named_struct('_level', x.j, '_block', b))"
+    cover = f"flatten(transform({ranges}, x -> {blocks}))"
+    # A range too short for a larger block is its days.
+    day = "named_struct('_level', 0, '_block', _first + {0})"
+    for n in range(3, 0, -1):
+        cover = f"CASE WHEN _last - _first = {n} THEN array({', '.join(day.format(i) for i in range(n))}) ELSE {cover} END"
+    ranged = df.where(f"{start} <= {end}" if end else f"{start} IS NOT NULL")
+    return (
+        ranged.selectExpr("*", f"unix_date(CAST({start} AS DATE)) AS _first", f"{last} AS _last")
+        .selectExpr("*", f"inline({cover})")
+        .drop("_first", "_last")
+    )
+
+
+def block_at(day: str, level: str = "_level") -> str:
+    """The block of that level in which a day lies."""
+    return f"shiftright({day}, {BLOCK_BITS} * {level})"
+
+
+def _in_blocks(events: DataFrame, cut: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """One row per event and level: its day, and the larger blocks that ranges of its keys use.
+
+    Most ranges are a few days and their blocks are days; only events of keys that have larger
+    blocks get those too, each level once.
+    """
+    levels = cut.where("_level > 0").groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    level = "explode(concat(array(0), coalesce(_levels, array()))) AS _level"
+    placed = events.join(broadcast_if_small(levels), keys, "left").selectExpr("*", level)
+    return placed.selectExpr("*", f"{block_at(day)} AS _block").drop("_levels")
 
 
 def interval_join(
@@ -110,23 +159,37 @@ def interval_join(
 ) -> DataFrame:
     """Every pair of a stay and an event inside the span of the stay.
 
-    An event lies in exactly one bucket, so each pair is found once. Apart from the keys
-    the two sides must not share column names.
+    The days of a span are cut into blocks, their number grows with the logarithm of its
+    length, and both sides meet by keys and block. An event lies in exactly one block of a
+    span, so each pair is found once. Events that carry the id of their stay meet one stay
+    and need no blocks. What remains uneven, many events of a key on one day, is split by
+    adaptive skew-join handling. Apart from the keys the sides must not share column names.
     """
-    if span.end is None:
-        # Nothing bounds the pairs but the keys.
-        started = stays.selectExpr("*", f"{span.start} AS _start")
-        inside = Span("", "_start", None, span.open_start).holds(time)
-        return started.join(events, keys).where(inside).drop("_start")
-    placed_stays = stays.selectExpr("*", f"{span.start} AS _start", f"{span.end} AS _end")
-    cut = with_buckets(placed_stays, "_start", "_end", 1, "_bucket")
-    placed = events.selectExpr("*", f"{bucket_of(time, 1)} AS _bucket")
-    inside = Span("", "_start", "_end", span.open_start).holds(time)
-    return (
-        cut.join(placed, [*keys, "_bucket"])
-        .where(inside)
-        .drop("_start", "_end", "_bucket")
-    )
+    inside = Span("", "_start", "_end" if span.end else None, span.open_start).holds(time)
+    ends = [f"{span.end} AS _end"] if span.end else []
+    placed = stays.selectExpr("*", f"{span.start} AS _start", *ends)
+    if "stay_id" in keys:
+        return placed.join(events, keys).where(inside).drop("_start", "_end")
+    cut = with_blocks(placed, "_start", "_end" if span.end else None)
+    pairs = cut.join(_in_blocks(events, cut, keys, bucket_of(time)), [*keys, "_level", "_block"])
+    return pairs.where(inside).drop("_start", "_end", "_level", "_block")
+
+
+def fold_days(
+    stays: DataFrame, per_day: DataFrame, keys: list[str], span: Span, value: str, how: str
+) -> DataFrame:
+    """stay_id and `value` folded by `how` (sum, min or max) over the days of a span of whole days.
+
+    `per_day` has the keys, `day` and `value`. Days are folded to blocks before they meet the
+    stays: a stay reads as many rows as it has blocks, whatever its length. Stays without a
+    day are left out.
+    """
+
+    met = [*keys, "_level", "_block"]
+    folded = F.expr(f"{how}({value}) AS {value}")
+    cut = with_blocks(stays, span.start, span.end).select("stay_id", *met)
+    blocks = _in_blocks(per_day.select(*keys, "day", value), cut, keys, "day").groupBy(*met).agg(folded)
+    return cut.join(blocks, met).groupBy("stay_id").agg(folded)
 
 
 @dataclass(frozen=True)
@@ -236,7 +299,7 @@ def _measured(source: EventSource, name: str, passes, width: int) -> DataFrame:
     when = source.time
     return (
         source.df.where(f"({when}) IS NOT NULL AND ({' OR '.join(tests)})")
-        .selectExpr(f"{when} AS _t", f"{bucket_of(when, 1)} AS _day", f"{hour_of(when)} AS _hour", f"{hit} AS hit")
+        .selectExpr(f"{when} AS _t", f"{bucket_of(when)} AS _day", f"{hour_of(when)} AS _hour", f"{hit} AS hit")
         .where("hit IS NOT NULL")
         .selectExpr("hit.*", f"inline(array({levels}))")
     )
@@ -257,7 +320,7 @@ def _point_list(p: _Pass, width: int, weights: int, prefix: str) -> tuple[dict,
     for i, span in enumerate(p.spans):
         points.setdefault((span.start, 1 if span.open_start else -1), {})[i] = -1
         points.setdefault((span.end, 1), {})[i] = 1
-        day, end = bucket_of(span.start, 1), bucket_of(span.end, 1)
+        day, end = bucket_of(span.start), bucket_of(span.end)
         helpers[f"{ok}{i}"] = f"{_known(p.keys)} AND coalesce({span.start} <= {span.end}, FALSE)"
         helpers[f"{first}{i}"] = day
         helpers[f"{last}{i}"] = f"{end} - 1"
@@ -275,7 +338,7 @@ def _point_list(p: _Pass, width: int, weights: int, prefix: str) -> tuple[dict,
 
     no_time = "CAST(NULL AS TIMESTAMP_NTZ)"
     marks = [
-        struct(ENDS, bucket_of(t, 1), hour_of(t), t, side, [f"if({ok}{i}, {of[i]}, 0)" if i in of else "0" for i in spans])
+        struct(ENDS, bucket_of(t), hour_of(t), t, side, [f"if({ok}{i}, {of[i]}, 0)" if i in of else "0" for i in spans])
         for (t, side), of in points.items()
     ]
 
@@ -396,8 +459,8 @@ def _running_counts(stays, sources, counts) -> DataFrame:
 def _stay_counts(stays, source: EventSource, counts) -> DataFrame:
     """Counts of events that carry the id of their own stay.
 
-    Such an event meets one stay, so a join is linear. Counts without a span keep the
-    events that lie outside every bucket of the stay, hence the left join.
+    Such an event meets one stay, so a join on the id is linear, however long the stay is.
+    The sums that follow combine on the map side.
     """
     bounded = [c for c in counts if c.span is not None]
     events = source.df.where(
@@ -406,7 +469,6 @@ def _stay_counts(stays, source: EventSource, counts) -> DataFrame:
         "stay_id",
         "subject_id AS _subject",
         f"{source.time} AS _t",
-        f"{bucket_of(source.time, 1)} AS _bucket",
         *[
             f"CAST(CASE WHEN {c.measure.where} THEN {c.measure.amount} ELSE 0 END"
             f" AS BIGINT) AS `{c.name}`"
@@ -415,19 +477,6 @@ def _stay_counts(stays, source: EventSource, counts) -> DataFrame:
     )
     if not bounded:
         return events.selectExpr("stay_id", *[f"`{c.name}`" for c in counts])
-    open_ended = any(c.span.end is None for c in bounded)
-    starts = ", ".join(dict.fromkeys(c.span.start for c in bounded))
-    ends = ", ".join(dict.fromkeys(c.span.end or c.span.start for c in bounded))
-    placed = stays.selectExpr(
-        "stay_id",
-        "subject_id",
-        "intime",
-        "outtime",
-        f"array_min(array({starts})) AS _from",
-        f"array_max(array({ends})) AS _to",
-    )
-    cut = with_buckets(placed, "_from", "_to", 1, "_bucket")
-    how = "inner" if len(bounded) == len(counts) else "left"
 
     def counted(c: SpanCount) -> str:
         if c.span is None:
@@ -437,10 +486,7 @@ def _stay_counts(stays, source: EventSource, counts) -> DataFrame:
             inside += " AND _subject = subject_id"
         return f"CASE WHEN {inside} THEN `{c.name}` ELSE 0 END AS `{c.name}`"
 
-    if open_ended:
-        joined = events.join(placed, ["stay_id"], how)
-    else:
-        joined = events.join(cut, ["stay_id", "_bucket"], how)
+    joined = events.join(stays.select("stay_id", "subject_id", "intime", "outtime"), "stay_id")
     return joined.selectExpr("stay_id", *[counted(c) for c in counts])
 
 

@@ -204,24 +204,18 @@ def feature(clinical, definition: Feature) -> DataFrame:
 def critical_procedure_codes(clinical) -> DataFrame:
     """stay_id and one critical procedure code: the smallest of the stay.
 
-    The smallest code of each subject and day is found first. A stay then reads one row
-    per day it covers, whatever the number of procedures.
+    The smallest code of each subject and day is found first, then of each block of days. A
+    stay reads as many rows as it has blocks.
     """
     per_day = (
         clinical["procedures_icd"]
         .where(CRITICAL.where)
-        .selectExpr("subject_id", f"{S.bucket_of('chartdate', 1)} AS day", "icd_code")
+        .selectExpr("subject_id", f"{S.bucket_of('chartdate')} AS day", "icd_code")
         .groupBy("subject_id", "day")
         .agg(F.min("icd_code").alias("icd_code"))
     )
-    span = S.STAY_DAYS_PLUS_ONE
-    days = S.with_buckets(clinical["edstays"], span.start, span.end, 1, "day").select(
-        "stay_id", "subject_id", "day"
-    )
-    return (
-        days.join(per_day, ["subject_id", "day"])
-        .groupBy("stay_id")
-        .agg(F.min("icd_code").alias("icd_code"))
+    return S.fold_days(
+        clinical["edstays"], per_day, ["subject_id"], S.STAY_DAYS_PLUS_ONE, "icd_code", "min"
     )
 
 

@@ -163,49 +163,32 @@ def consult_counts(clinical) -> DataFrame:
 
 
 def stay_procedures(clinical) -> DataFrame:
-    """One row per procedure on a day from arrival to the day after departure.
-
-    Stays are spread over the days they cover, so the range becomes an equality.
-    """
-    span = S.STAY_DAYS_PLUS_ONE
-    days = S.with_buckets(
-        clinical["edstays"].select("stay_id", "subject_id", "intime", "outtime"),
-        span.start,
-        span.end,
-        1,
-        "_day",
-    )
+    """One row per procedure on a day from arrival to the day after departure."""
+    stays = clinical["edstays"].select("stay_id", "subject_id", "intime", "outtime")
     procedures = clinical["procedures_icd"].select(
         "subject_id",
-        F.expr(S.bucket_of("chartdate", 1)).alias("_day"),
+        F.col("chartdate").cast("timestamp_ntz").alias("_charted"),
         F.col("icd_code").alias("procedures_icd"),
         "icd_version",
     )
-    return days.join(procedures, ["subject_id", "_day"]).select(
-        "stay_id", "subject_id", "intime", "outtime", "procedures_icd", "icd_version"
-    )
+    pairs = S.interval_join(stays, procedures, ["subject_id"], "_charted", S.STAY_DAYS_PLUS_ONE)
+    return pairs.select("stay_id", "subject_id", "intime", "outtime", "procedures_icd", "icd_version")
 
 
 def procedures_by_day(clinical) -> DataFrame:
     """stay_id and procedure_count of every stay with a procedure, from daily counts.
 
-    Procedures are counted per subject and day before they meet the stays, so a stay
-    reads one row per day it covers instead of one row per procedure.
+    Procedures are counted per subject and day, and days per block, before they meet the
+    stays, so a stay reads one row per block of its days instead of one row per procedure.
     """
-    span = S.STAY_DAYS_PLUS_ONE
     per_day = (
         clinical["procedures_icd"]
-        .selectExpr("subject_id", f"{S.bucket_of('chartdate', 1)} AS day")
+        .selectExpr("subject_id", f"{S.bucket_of('chartdate')} AS day")
         .groupBy("subject_id", "day")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("procedure_count"))
     )
-    days = S.with_buckets(
-        clinical["edstays"], span.start, span.end, 1, "day"
-    ).select("stay_id", "subject_id", "day")
-    return (
-        days.join(per_day, ["subject_id", "day"])
-        .groupBy("stay_id")
-        .agg(F.sum("n").alias("procedure_count"))
+    return S.fold_days(
+        clinical["edstays"], per_day, ["subject_id"], S.STAY_DAYS_PLUS_ONE, "procedure_count", "sum"
     )
 
 

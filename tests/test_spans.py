@@ -317,3 +317,104 @@ def test_one_day_of_one_subject_is_split_by_hour(spark):
     rows = S._measured(source, "labevents", S._passes([R.RESOURCES["lab_event_count"]]), 1)
     folded = rows.groupBy("pass", "k0", "level", "slot", "pos", "t").count().groupBy("level", "slot").count()
     assert max(r["count"] for r in folded.collect()) <= 3600 / 7 + 1
+
+
+FAR = dt.datetime(9900, 1, 1)
+
+
+def test_blocks_cover_every_day_once(spark):
+    rng = random.Random(4)
+    starts = [rng.randrange(-3000, 40000) for _ in range(300)]
+    spans = [(i, a, a + rng.choice([0, 1, 2, 3, 5, 30, 400])) for i, a in enumerate(starts)]
+    days = "date_add(DATE'1970-01-01', {0})"
+    df = spark.createDataFrame(spans, "i int, a int, b int").selectExpr("i", "a", "b", f"{days.format('a')} AS s", f"{days.format('b')} AS e")
+    found = {i: [] for i, *_ in spans}
+    for r in S.with_blocks(df, "s", "e").collect():
+        size = 4 ** r["_level"]
+        found[r["i"]] += range(r["_block"] * size, (r["_block"] + 1) * size)
+    for i, a, b in spans:
+        assert sorted(found[i]) == list(range(a, b + 1))
+
+
+def test_a_stay_to_the_year_9900_is_a_few_blocks(spark):
+    t = clinical(spark, edstays=[stay(1), (2, 1, 10, T0, FAR, *STAY_FIELDS, "HOME"), stay(3, hours=-2), stay(4, hours=None)])
+    for end in (S.IN_STAY.end, None):
+        counts = Counter(r["stay_id"] for r in S.with_blocks(t["edstays"], "intime", end).collect())
+        assert counts[2] < 100 and max(counts.values()) < 100
+        assert set(counts) == ({1, 2} if end else {1, 2, 3, 4})
+
+
+@pytest.mark.parametrize("span", [S.IN_STAY, S.PAST_HOUR_IN_STAY, S.PAST_HOUR, S.WEEK, S.STAY_DAYS_PLUS_ONE])
+def test_interval_join_equals_brute_force_with_far_departures(spark, span):
+    rng = random.Random(8)
+    stays = []
+    for i in range(60):
+        start = T0 + rng.randrange(-3000, 3000) * HOUR
+        end = rng.choice([start + rng.randrange(-5, 90) * HOUR, start + rng.randrange(500, 9000) * HOUR, FAR, None])
+        stays.append((i, rng.choice([1, 1, 2, 3, None]), 10, start, end, *STAY_FIELDS, "HOME"))
+    events = [(i, rng.choice([1, 1, 2, 4, None]), rng.choice([None, FAR, T0 + rng.randrange(-4000, 9000) * HOUR, T0 + HOUR])) for i in range(400)]
+    # The ends of spans are events too.
+    events += [(1000 + i, s[1], s[3] + k * HOUR + d) for i, s in enumerate(stays) for k, d in ((0, TICK), (0, -TICK), (1, 0 * HOUR), (1, TICK))]
+    left = clinical(spark, edstays=stays)["edstays"].select("stay_id", "subject_id", "intime", "outtime")
+    right = spark.createDataFrame(events, "event int, subject_id long, at timestamp_ntz")
+    found = S.interval_join(left, right, ["subject_id"], "at", span)
+    assert set(found.columns) == {"stay_id", "subject_id", "intime", "outtime", "event", "at"}
+    left.crossJoin(right.withColumnRenamed("subject_id", "who")).createOrReplaceTempView("all_pairs")
+    want = spark.sql(f"SELECT stay_id, event FROM all_pairs WHERE subject_id = who AND {span.holds('at')}")
+    assert sorted(map(tuple, found.select("stay_id", "event").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_subject_and_day_is_split_by_the_join(spark):
+    """A third of all events on one subject and day: the join reads that partition in pieces."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        stays = spark.range(3000).selectExpr("id AS stay_id", "id % 900 AS subject_id", f"TIMESTAMP_NTZ'{T0}' + make_dt_interval(CAST(id % 20 AS INT)) AS intime").selectExpr("*", "intime + INTERVAL '20' HOUR AS outtime")
+        events = spark.range(0, 90000, 1, 12).selectExpr("id AS event", "if(id % 3 = 0, 7, id % 900) AS subject_id", f"TIMESTAMP_NTZ'{T0}' + make_dt_interval(if(id % 3 = 0, 7, CAST(id % 20 AS INT))) + INTERVAL '1' HOUR AS at")
+        pairs = S.interval_join(stays, events, ["subject_id"], "at", S.IN_STAY)
+        n = len(pairs.collect())
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+        stays.join(events, "subject_id").createOrReplaceTempView("met")
+        assert n == spark.sql(f"SELECT count(*) FROM met WHERE {S.IN_STAY.holds('at')}").first()[0] > 30000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_days_folded_to_blocks_equal_the_pairs(spark):
+    rng = random.Random(11)
+    stays = []
+    for i in range(80):
+        start = T0 + rng.randrange(-3000, 3000) * HOUR
+        end = rng.choice([start + rng.randrange(-40, 90) * HOUR, start + rng.randrange(500, 9000) * HOUR, FAR, None])
+        stays.append((i, rng.choice([1, 1, 2, None]), 10, start, end, *STAY_FIELDS, "HOME"))
+    codes = sorted(P.V.CRITICAL_PROCEDURE_CODES)[:5] + ["none"]
+    done = [(rng.choice([1, 2, 3, None]), 10, rng.choice([None, (T0 + rng.randrange(-4000, 9000) * HOUR).date()]), rng.choice(codes), 9) for _ in range(120)]
+    t = clinical(spark, edstays=stays, procedures_icd=done)
+    pairs = R.stay_procedures(t).collect()
+    assert len(pairs) > 100
+    least, number = {}, Counter(r["stay_id"] for r in pairs)
+    for r in pairs:
+        if r["procedures_icd"] != "none":
+            least[r["stay_id"]] = min(r["procedures_icd"], least.get(r["stay_id"], "~"))
+    assert {r["stay_id"]: r["icd_code"] for r in P.critical_procedure_codes(t).collect()} == least
+    assert {r["stay_id"]: r["procedure_count"] for r in R.procedures_by_day(t).collect()} == number
+
+
+def test_counts_by_stay_do_not_spread_the_stay(spark):
+    stays = [(i, 1, 10, T0, FAR, *STAY_FIELDS, "HOME") for i in range(50)]
+    given = [(1, i, T0 + k * 1000 * HOUR, "Epinephrine") for i in range(50) for k in (0, 1, 2)]
+    t = clinical(spark, edstays=stays, pyxis=given, pyxis_admin_method=[("Epinephrine", "Intravenous")])
+    plan = P.feature(t, [f for f in P.FEATURES if f.column == "tier1_med_usage_beyond_1h"][0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan and "Generate" not in plan
+    wide = W.wide_table(t).collect()
+    assert len(wide) == 50 and {r["intravenous"] for r in wide} | {r["procedure_count"] for r in wide} <= {0, 3}
