@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 from .common import chunks, saved
 
 #: Bytes of words in a block; a longer row is a block alone.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Words of a block that are numbered by how common they are; the others are numbered by bucket.
+COMMON = 1 << 16
 #: Words in a packed group of rows; a longer row is a group alone.
 GROUP = 1 << 16
 MOST_BUCKETS = 1 << 16
 
 
-def squeezed(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def squeezed(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def expanded(raw: bytes) -> bytes:
@@ -42,7 +44,7 @@ def hashes(words: list[str]) -> np.ndarray:
 
 
 def pack_words(words: list[str]) -> bytes:
-    return squeezed(json.dumps(words, ensure_ascii=False).encode())
+    return squeezed(json.dumps(words, ensure_ascii=False, separators=(",", ":")).encode(), 9)
 
 
 def unpack_words(raw: bytes) -> list[str]:
@@ -50,13 +52,25 @@ def unpack_words(raw: bytes) -> list[str]:
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Numbers as planes of bytes: common words have small numbers, so most planes are mostly zero."""
-    return squeezed(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Numbers, small ones mostly: a byte each, 255 for a larger one, whose bytes follow in planes."""
+    small = squeezed(np.minimum(codes, 255).astype(np.uint8).tobytes())
+    planes = (codes[codes >= 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(small).to_bytes(4, "little") + small + squeezed(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack_codes(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(expanded(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    size = 4 + int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(expanded(raw[4:size]), np.uint8).astype(np.int64)
+    planes = np.frombuffer(expanded(raw[size:]), np.uint8).reshape(4, -1).T
+    out[out == 255] = np.ascontiguousarray(planes).view("<u4").ravel().astype(np.int64) + 255
+    return out
+
+
+def numbers_of(raw: bytes, n_words: int) -> list[int]:
+    """The numbers of a packed list's words: those of its common words, then a run of the others."""
+    numbers = unpack_codes(raw).tolist()
+    first = numbers.pop()
+    return numbers + list(range(first, first + n_words - len(numbers)))
 
 
 def unpack_words_of(numbers: pa.ChunkedArray, words: pa.ChunkedArray, size: int) -> list[str]:
@@ -64,7 +78,8 @@ def unpack_words_of(numbers: pa.ChunkedArray, words: pa.ChunkedArray, size: int)
     out = [""] * size
     for some, raw in zip(numbers.to_pylist(), words.to_pylist()):
         if raw is not None:
-            for i, word in zip(unpack_codes(some).tolist(), unpack_words(raw)):
+            own = unpack_words(raw)
+            for i, word in zip(numbers_of(some, len(own)), own):
                 out[i] = word
     return out
 
@@ -82,8 +97,8 @@ def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Call
 
     `part` is a string, `words` an array of strings; rows of different parts never share a
     block. With `split` there is a column `odd` as well: where it is not null, `split()(odd)`
-    gives the words instead. Distinct words of a block are numbered, the most common first. A
-    block has a row for each `bucket`, the hash of a word modulo `buckets` (`words` and their
+    gives the words instead. Distinct words of a block are numbered, the most common first, the
+    rest by bucket and word. A block has a row for each `bucket`, the hash of a word modulo `buckets` (`words` and their
     `numbers`, packed), and one for every few rows (`codes`: the numbers of their words in
     order, packed; `lengths`: how many each row has; `carry` of each row). `size` is the number
     of distinct words of the block.
@@ -116,17 +131,25 @@ def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Call
                     table = pa.concat_arrays([flat.slice(ends[i], sizes[i]) for i in mine]).dictionary_encode()
                     words, n = table.dictionary.to_pylist(), len(table.dictionary)
                     codes = table.indices.to_numpy(zero_copy_only=False)
+                    ranked = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
+                    bucket = (hashes(words) % np.uint64(buckets)).astype(np.int64)
+                    rest = sorted(ranked[COMMON:].tolist(), key=lambda i: (bucket[i], words[i]))
                     number = np.empty(n, np.int64)
-                    number[np.argsort(-np.bincount(codes, minlength=n), kind="stable")] = np.arange(n)
+                    number[ranked[:COMMON]] = np.arange(len(ranked[:COMMON]))
+                    number[rest] = np.arange(n - len(rest), n)
                     codes = number[codes]
-                    bucket = (hashes(words) % np.uint64(buckets)).astype(np.int64)
                     order = np.lexsort((number, bucket))
                     firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                     lists_of = np.split(order, firsts[1:]) if n else []
                     same = {"block": [block], "part": [parts[mine[0]]], "size": [n]}
                     m = len(firsts)
                     raw = [pack_words([words[i] for i in some.tolist()]) for some in lists_of]
-                    yield made(m, **{k: v * m for k, v in same.items()}, bucket=bucket[order][firsts], numbers=[pack_codes(number[some]) for some in lists_of], words=raw)
+                    numbers = []
+                    for some in lists_of:
+                        own = number[some]
+                        k = int(np.searchsorted(own, n - len(rest)))
+                        numbers.append(pack_codes(np.append(own[:k], own[k] if k < len(own) else 0)))
+                    yield made(m, **{k: v * m for k, v in same.items()}, bucket=bucket[order][firsts], numbers=numbers, words=raw)
                     own = sizes[mine]
                     cuts = np.concatenate([[0], np.cumsum(own)])
                     groups = list(chunks([*map(int, own + 64)], GROUP))

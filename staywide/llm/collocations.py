@@ -164,24 +164,41 @@ def graph(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFr
     for k in range(1, longest + 1):
         frequent = frequent.union(_frequent(packed, frequent, k, least, buckets))
 
+    bits = np.uint64(64 - buckets.bit_length() + 1)
+
     def count(rows: pa.Table, known: pa.Table) -> pa.Table:
-        out: list[tuple[int, list[str], list[int]]] = []
-        part = rows["part"][0].as_py() if rows.num_rows else None
+        grams, numbers = [], []
         if rows.num_rows:
             block = _Block(rows, known)
             reach, _, _ = block.reach(longest)
-            out.append((0, [""], [int(block.proper.sum())]))
+            grams, numbers = [""], [np.array([block.proper.sum()])]
             for k in range(1, longest + 1):
                 places = np.flatnonzero(reach == k)
                 if len(places):
-                    grams, n = block.grams(places, k)
-                    out.append((k, grams, n.tolist()))
-        kinds = [("part", pa.string()), ("k", pa.int32()), ("gram", pa.string()), ("n", pa.int64())]
-        columns = [[part for _, g, _ in out for _ in g], [k for k, g, _ in out for _ in g], [x for _, g, _ in out for x in g], [x for _, _, n in out for x in n]]
-        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns)})
-
-    counted = packed.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(count, "part string, k int, gram string, n long")
-    return saved(counted.groupBy("part", "k", "gram").agg(F.sum("n").alias("n")), "grams", "zstd")
+                    found, n = block.grams(places, k)
+                    grams += found
+                    numbers.append(n)
+        out: list[tuple] = []
+        if grams:
+            n, part = np.concatenate(numbers), rows["part"][0].as_py()
+            bucket = (blocks.hashes(grams) >> bits).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for some in np.split(order, starts[1:]):
+                out.append((part, int(bucket[some[0]]), blocks.pack_words([grams[i] for i in some.tolist()]), blocks.pack_codes(n[some])))
+        kinds = [("part", pa.string()), ("bucket", pa.int32()), ("grams", pa.binary()), ("n", pa.binary())]
+        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(kinds)})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        total: dict[str, int] = {}
+        for grams, n in zip(rows["grams"].to_pylist(), rows["n"].to_pylist()):
+            for gram, times in zip(blocks.unpack_words(grams), blocks.unpack_codes(n).tolist()):
+                total[gram] = total.get(gram, 0) + times
+        sizes = [gram.count(" ") + 1 if gram else 0 for gram in total]
+        return pa.table({"part": pa.array([rows["part"][0].as_py()] * len(total), pa.string()), "k": pa.array(sizes, pa.int32()), "gram": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
+    counted = packed.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(count, "part string, bucket int, grams binary, n binary")
+    return saved(counted.groupBy("part", "bucket").applyInArrow(meet, "part string, k int, gram string, n long"), "grams", "zstd")
 
 
 def flows(grams: DataFrame, longest: int = LONGEST) -> dict[int, DataFrame]:

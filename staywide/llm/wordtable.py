@@ -173,7 +173,8 @@ def encode_documents(docs: DataFrame, ids: bool = False, path: str | None = None
         for number, sizes, own in zip(words["numbers"].to_pylist(), words["sizes"].to_pylist(), words["ids"].to_pylist()):
             found = blocks.unpack_codes(own)
             raw, joined, end = found.astype("<u4").tobytes(), list(map(pieces.__getitem__, found.tolist())), 0
-            for i, size in zip(blocks.unpack_codes(number).tolist(), blocks.unpack_codes(sizes).tolist()):
+            sizes = blocks.unpack_codes(sizes).tolist()
+            for i, size in zip(blocks.numbers_of(number, len(sizes)), sizes):
                 start, end = end, end + size
                 numbers[i], raws[i] = raw[4 * start : 4 * end], b"".join(joined[start:end])
         doc_ids, counts, digests, decoded, lists = [], [], [], [], []
