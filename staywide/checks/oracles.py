@@ -632,8 +632,12 @@ def oracle_sql() -> dict[str, str]:
     q["count_procedures"] = _count_sql(
         ["fx_procedures_icd"], PROCEDURE_COUNTS, "procedure_count"
     )
-    q["wide_sink_roundtrip"] = q["base_stay_triage"]
+    q["wide_sink_roundtrip"] = WIDE
     q["wide_table"] = WIDE
+    q["wide_sink_totals"] = (
+        f"SELECT 'feature' AS kind, feature AS name, CAST(total AS BIGINT) AS total FROM ({q['qc_feature_totals']})"
+        f" UNION ALL SELECT 'resource', resource, CAST(stays AS BIGINT) FROM ({q['qc_positive_counts']})"
+    )
     q["resource_type_count"] = RESOURCE_TYPES
 
     # Texts and model batches

@@ -457,10 +457,15 @@ def _(fx):
 @query("wide_sink_roundtrip")
 def _(fx):
     path = scratch(fx.spark, "wide")
-    clinical.write_wide(wide.base_stays(fx), path)
+    clinical.write_wide(wide.wide_table(fx), path)
     return fx.spark.read.parquet(path)
 
 
+@query("wide_sink_totals")
+def _(fx):
+    return wide.write_with_totals(wide.wide_table(fx), scratch(fx.spark, "wide"))
+
+
 @query("resource_type_count")
 def _(fx):
     counts = R.resource_counts(fx, list(R.RESOURCES))
