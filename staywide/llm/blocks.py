@@ -92,7 +92,7 @@ def _runs(parts: list) -> Iterator[list[int]]:
     yield from found.values()
 
 
-def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Callable[[], Callable[[str], list[str]]] | None = None) -> DataFrame:
+def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Callable[[], Callable[[str], list[str]]] | None = None, block_bytes: int | None = None) -> DataFrame:
     """Rows (`part`, `words`, and `carry`) as blocks, written to the shared folder.
 
     `part` is a string, `words` an array of strings; rows of different parts never share a
@@ -104,6 +104,7 @@ def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Call
     of distinct words of the block.
     """
     name, kind = carry.split()
+    limit = block_bytes or BLOCK_BYTES
     schema = f"block long, part string, size int, bucket int, numbers binary, words binary, codes binary, lengths array<int>, {name} array<{kind}>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,7 @@ def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Call
 
             for run in _runs(parts):
                 weights = [int(byte[ends[i + 1]] - byte[ends[i]]) + 64 for i in run]
-                for lo, hi in chunks(weights, BLOCK_BYTES):
+                for lo, hi in chunks(weights, limit):
                     mine = run[lo:hi]
                     table = pa.concat_arrays([flat.slice(ends[i], sizes[i]) for i in mine]).dictionary_encode()
                     words, n = table.dictionary.to_pylist(), len(table.dictionary)

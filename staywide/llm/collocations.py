@@ -157,7 +157,8 @@ def graph(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFr
     """
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
-    packed = blocks.coded(_pieces(docs), "row int", "phrase-blocks")
+    # A task unpacks a block whole, with several numbers for every place in it.
+    packed = blocks.coded(_pieces(docs), "row int", "phrase-blocks", block_bytes=blocks.BLOCK_BYTES // 4)
     buckets = blocks.bucket_count(packed.filter("words IS NOT NULL").count())
     packed = packed.select("block", "part", "size", "numbers", "words", "codes", "lengths")
     frequent = docs.sparkSession.createDataFrame([], "block long, k int, hashes binary")
