@@ -158,6 +158,9 @@ def coded(rows: DataFrame, carry: str, label: str, buckets: int = 1, split: Call
                     raw = [pack_codes(codes[cuts[a] : cuts[b]]) for a, b in groups]
                     yield made(m, **{k: v * m for k, v in same.items()}, codes=raw, lengths=[own[a:b].tolist() for a, b in groups], **{name: pa.ListArray.from_arrays([a for a, _ in groups] + [len(mine)], kept.take(pa.array(mine)))})
                     block += 1
+            # What the batch took goes back, not into what the worker holds for later ones.
+            del lists, flat, byte
+            pa.default_memory_pool().release_unused()
 
     columns = ["part", "words", *(["odd"] if split else []), name]
     return saved(rows.select(*columns).mapInArrow(pack, schema), label)
