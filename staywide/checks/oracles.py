@@ -771,4 +771,12 @@ def oracle_sql() -> dict[str, str]:
         " CAST(fn AS BIGINT) AS fn FROM conf",
     )
     q["eval_report"] = _metrics(REPORT_COLUMNS)
+    
+    # The same rows by another way: stored tables, flat files, votes over rows, waves.
+    q["stored_flag_update"] = q["flag_update"]
+    q["stored_count_update"] = q["count_update"]
+    q["stored_insert_if_absent"] = q["insert_if_absent"]
+    q["eval_flat_runs"] = q["eval_all_runs"]
+    q["majority_vote_rows"] = q["majority_vote"]
+    q["apply_model_waves"] = q["apply_model_stub"]
     return q

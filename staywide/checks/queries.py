@@ -21,14 +21,14 @@ from ..functions.parsing import (
 )
 from ..operators import evaluate as E
 from ..operators import spans as S
-from ..operators.model_batch import apply_model, no_wait, pending
+from ..operators.model_batch import apply_model, apply_model_in_waves, no_wait, pending
 from ..operators.tables import insert_if_absent, set_count, set_flag
-from ..operators.voting import majority
+from ..operators.voting import majority, majority_rows
 from ..plans import features as features_plan
 from ..plans import prompts as PR
 from ..plans import resources as R
 from ..plans import scoring, wide
-from ..sources import clinical, files
+from ..sources import clinical, files, stored
 from ..sources.workspace import scratch
 from . import texts as T
 from .fixtures import Fixtures
@@ -156,6 +156,17 @@ def _(fx):
     return _rounded(E.evaluate(runs, ["run_name"]))
 
 
+@query("eval_flat_runs")
+def _(fx):
+    base = scratch(fx.spark, "flat-runs")
+    rows = fx["fx_predictions"]
+    files.write_runs(rows.where("case_id % 2 = 0").select("case_id", "acuity", "final_pred", "run_name"), f"{base}/one", "csv")
+    more = rows.where("case_id % 2 <> 0").withColumn("llm1_resp", F.lit('says "3",\nno more'))
+    files.write_runs(more.select("final_pred", "llm1_resp", "acuity", "case_id", "run_name"), f"{base}/three", "csv")
+    runs = files.read_runs(fx.spark, f"{base}/*/*/*.csv", "case_id BIGINT, acuity INT, final_pred INT", flat=True)
+    return _rounded(E.evaluate(runs, ["run_name"]))
+
+
 # ------------------------------------------------------- predicates and expressions
 
 
@@ -355,6 +366,41 @@ def _(fx):
     )
 
 
+def _store(df: DataFrame, key: str) -> str:
+    path = scratch(df.sparkSession, "stored")
+    stored.create(df, path, [key], stored.buckets_for(df))
+    return path
+
+
+@query("stored_flag_update")
+def _(fx):
+    column = "tier1_med_usage_1h"
+    path = _store(fx["edstays"].withColumn(column, F.lit(0)), "stay_id")
+    hits = _flagged(fx, column).select("stay_id", F.lit(1).alias(column)).distinct()
+    stored.merge(fx.spark, path, hits, insert=False)
+    return stored.read(fx.spark, path)
+
+
+@query("stored_count_update")
+def _(fx):
+    column = "lab_event_count"
+    path = _store(fx["edstays"].withColumn(column, F.lit(0).cast("long")), "stay_id")
+    counts = R.resource_counts(fx, [column]).where(c(column) > 0)
+    stored.merge(fx.spark, path, counts.select("stay_id", column), insert=False)
+    return stored.read(fx.spark, path)
+
+
+@query("stored_insert_if_absent")
+def _(fx):
+    def counts(column):
+        found = R.resource_counts(fx, [column]).where(c(column) > 0)
+        return found.withColumnRenamed(column, "n")
+
+    path = _store(counts("lab_event_count"), "stay_id")
+    stored.merge(fx.spark, path, counts("microbio_event_count"), update=False)
+    return stored.read(fx.spark, path)
+
+
 # ------------------------------------------------------------------ aggregations
 
 
@@ -404,6 +450,12 @@ def _(fx):
     return fx["fx_llm_outputs"].select("case_id", vote.alias("final_pred"))
 
 
+@query("majority_vote_rows")
+def _(fx):
+    views = F.posexplode(F.array("llm1_format", "llm2_format", "llm3_format")).alias("position", "answer")
+    return majority_rows(fx["fx_llm_outputs"].select("case_id", views), ["case_id"])
+
+
 # ----------------------------------------------------------- features, resources
 
 
@@ -583,6 +635,13 @@ def _(fx):
     return _apply_stub(fx, "null")
 
 
+@query("apply_model_waves")
+def _(fx):
+    path = scratch(fx.spark, "waves")
+    done = apply_model_in_waves(_stub_cases(fx), "prompt", T.load_stub, path, wait=no_wait, partitions=_model_tasks(fx))
+    return done.drop("prompt")
+
+
 @query("parse_level")
 def _(fx):
     return fx["fx_llm_outputs"].select("case_id", parse_level(c("response")).alias("level"))

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +135,69 @@ def apply_model(
     )
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def apply_model_in_waves(
+    df: DataFrame,
+    prompt_col: str,
+    load: Callable[[], Callable[[list[str], int], list]],
+    path: str,
+    max_attempts: int = MAX_ATTEMPTS,
+    wait: Callable[[int], float] = growing_wait,
+    on_failure: str = "sentinel",
+    batch_size: int = 32,
+    partitions: int | None = None,
+) -> DataFrame:
+    """As `apply_model`, but no task waits: every attempt is a job over the open rows.
+
+    The first wave asks for all rows, each later one for those that failed in the wave
+    before; between two waves the driver waits and no core is held. A wave is written below
+    `path`, a folder all executors share, and a run that was killed goes on behind its last
+    whole wave when it is started again with the same folder, so no answered row is asked
+    twice. The rows of `df` are read in the first wave only.
+    """
+    if on_failure not in ("sentinel", "null"):
+        raise ValueError(on_failure)
+    spark = df.sparkSession
+    added = ("response", "attempts", "error")
+    kinds = T.StructType([*df.schema.fields, T.StructField("response", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
+    open_rows, waves = df, []
+    for attempt in range(1, max_attempts + 1):
+        folder = f"{path}/wave-{attempt}"
+        if not _written(spark, folder):
+            if attempt > 1:
+                time.sleep(wait(attempt - 1))
+
+            def load_for(attempt=attempt):
+                model = load()
+                return lambda prompts, _: model(prompts, attempt)
+
+            asked = apply_model(
+                open_rows, prompt_col, load_for, max_attempts=1, on_failure="null", batch_size=batch_size, partitions=partitions
+            )
+            tried = F.when(F.col("attempts") > 0, F.lit(attempt)).otherwise(F.col("attempts")).cast("int")
+            asked.withColumn("attempts", tried).write.mode("overwrite").parquet(folder)
+        done = spark.read.schema(kinds).parquet(folder)
+        last = attempt == max_attempts
+        waves.append(done if last else done.where(F.col("error").isNull()))
+        failed = done.where(F.col("error").isNotNull())
+        if last or failed.isEmpty():
+            break
+        open_rows = failed.drop(*added)
+    answered = waves[0]
+    for wave in waves[1:]:
+        answered = answered.unionByName(wave)
+    if on_failure == "null":
+        return answered
+    return answered.withColumn(
+        "final_pred", F.when(F.col("response").isNull(), FAILED_LEVEL).cast("int")
+    )
+
+
 def pending(cases: DataFrame, done: DataFrame, key: str = "case_id") -> DataFrame:
     """The cases that have no answer yet in the checkpoint."""
     answered = done.where(F.col("response").isNotNull()).select(key)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +30,20 @@ def majority(*answers: Column) -> Column:
         ),
     )
     return F.array_max(ranked)["answer"]
+
+
+def majority_rows(
+    answers: DataFrame, keys: Sequence[str], answer: str = "answer", position: str = "position", name: str = "final_pred"
+) -> DataFrame:
+    """(keys, `name`): the vote over rows of one answer each, any number of voters.
+
+    The most frequent answer wins, of several the one with the smallest position, then the
+    smallest answer. A NULL answer is no vote; a case of NULL answers only has a NULL vote,
+    and rows with NULL keys are a case as well. Both steps combine before they shuffle, so
+    a case with very many voters costs a row per distinct answer and task.
+    """
+    counted = answers.groupBy(*keys, F.col(answer).alias("_answer")).agg(
+        F.count(answer).alias("_votes"), F.min(position).alias("_early")
+    )
+    order = F.struct(-F.col("_votes"), "_early", "_answer")
+    return counted.groupBy(*keys).agg(F.min_by("_answer", order).alias(name))

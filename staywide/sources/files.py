@@ -1,7 +1,7 @@
 """Case files, result files, checkpoints, reports and prompt templates.
 
-Parquet is the form for large sets. CSV stands at the border: one file is one task, since
-records span lines.
+Parquet is the form for large sets. CSV stands at the border; `records` cuts it into its
+records, so that a large file whose records span lines is read by many tasks.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType, StructType
 
 from . import schemas
+from .records import fields, records
 
 # Stands for a quoted empty field while a file is read.
 EMPTY = "\0"
 # Answers span lines and hold quotes, so quotes are doubled and records may wrap. Nothing
 # is trimmed. NULL is an empty field, an empty text a quoted one.
 _WHITE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-_READ = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": EMPTY} | _WHITE
+_READ = {"escape": '"', "quote": '"', "nullValue": "", "emptyValue": EMPTY} | _WHITE
 _WRITE = {"header": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""'} | _WHITE
 # Whole numbers, also as they are written once their column has a gap: 3.0.
 _WHOLE = r"^[ \t]*[+-]?[0-9]+(\.0*)?[ \t]*$"
@@ -49,13 +50,41 @@ def _typed(rows: DataFrame, schema: StructType, more=()) -> DataFrame:
     return rows.select(*(read_value(F.col(f.name), f.dataType, f.name).alias(f.name) for f in schema), *more)
 
 
+def _parsed(spark: SparkSession, path, schema: StructType, exact: bool, run: Column | None = None) -> DataFrame:
+    """The typed columns of CSV files whose first line names them.
+
+    With `exact` a file must have these columns in this order; else they are found by name
+    in every file, which may have others and any order.
+    """
+    heads, rows = records(spark, path)
+    wanted = [f.name for f in schema]
+    width = len(wanted) + 1
+    if not exact:
+        # A comma within a name only makes the bound larger.
+        width = heads.agg(F.max(F.length("head") - F.length(F.replace("head", F.lit(","))) + 1)).first()[0] or 1
+        absent = F.array_except(F.array(*map(F.lit, wanted)), fields("head", width, _READ))
+        bad = heads.select("path", absent.alias("absent")).where(F.size("absent") > 0).orderBy("path").first()
+        if bad:
+            raise ValueError(f"{bad['path']} has no column {', '.join(bad['absent'])}")
+    rows = rows.withColumn("_head", fields("head", width, _READ)).withColumn("_got", fields("record", width, _READ))
+    has_text = F.col("record").isNotNull()
+    if exact:
+        # A file that is a head only is looked at too: the head comes as a record without text.
+        told = F.concat("path", F.lit(": the header has the columns "), "head", F.lit(", not " + ", ".join(wanted)))
+        fits = F.array_compact("_head") == F.array(*map(F.lit, wanted))
+        rows = rows.where(F.when(fits, has_text).otherwise(F.raise_error(told).cast("boolean")))
+        column = {name: F.col("_got")[i] for i, name in enumerate(wanted)}
+    else:
+        rows = rows.where(has_text)
+        column = {name: F.element_at("_got", F.array_position("_head", name).cast("int")) for name in wanted}
+    texts = rows.select(*(column[name].alias(name) for name in wanted), *([] if run is None else [run.alias("run_name")]))
+    return _typed(texts, schema, [] if run is None else ["run_name"])
+
+
 def read_csv(spark: SparkSession, path, ddl: str) -> DataFrame:
     """CSV with a header that must be the given schema: a file with other columns
-    is refused instead of being read by position."""
-    schema = struct_of(spark, ddl)
-    as_text = ", ".join(f"`{f.name}` STRING" for f in schema)
-    rows = spark.read.options(**_READ).option("enforceSchema", False).schema(as_text).csv(path)
-    return _typed(rows, schema)
+    is refused instead of being read by position. Files are read in ranges."""
+    return _parsed(spark, path, struct_of(spark, ddl), exact=True)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -119,6 +148,17 @@ def write_runs(df: DataFrame, base: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(base)
 
 
+def _unescaped(name: Column) -> Column:
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _run_of_folder() -> Column:
+    """The value of the `run_name` directory a file lies in, else an empty text."""
+    held = F.regexp_extract("path", r"/run_name=([^/]*)/[^/]*$", 1)
+    # The path is escaped as an address, the name in it as a partition value.
+    return _unescaped(_unescaped(held))
+
+
 def read_runs(
     spark: SparkSession, path, ddl: str, fmt: str = "csv", flat: bool = False
 ) -> DataFrame:
@@ -131,11 +171,7 @@ def read_runs(
     if flat:
         return read_flat_runs(spark, path, ddl)
     if fmt == "csv":
-        # The run name comes from the directory and is typed with the rest.
-        schema = struct_of(spark, ddl)
-        as_text = ", ".join(f"`{f.name}` STRING" for f in schema)
-        rows = spark.read.options(**_READ).option("enforceSchema", False).schema(f"{as_text}, run_name STRING").csv(path)
-        return _typed(rows, schema, ["run_name"])
+        return _parsed(spark, path, struct_of(spark, ddl), exact=True, run=_run_of_folder())
     return spark.read.format(fmt).schema(f"{ddl}, run_name STRING").load(path)
 
 
@@ -143,29 +179,14 @@ def read_flat_runs(spark: SparkSession, path, ddl: str) -> DataFrame:
     """The named columns of CSV files of any layout, keyed by file name.
 
     The head of a file tells where its columns stand; a file without one of them is an
-    error. Files are read as records of text, not by one schema, so that one glob may
-    hold results of one step and of three.
+    error. Heads are found in one distributed job and joined to the records, so one glob
+    may hold any number of files and of layouts. A file in a `run_name` directory belongs to
+    that run, any other to the run of its own name.
     """
-    schema = struct_of(spark, ddl)
-    files_ = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"))
-    heads: dict[tuple[str, ...], list[str]] = {}
-    for row in files_.toLocalIterator():
-        # One short listing row per result file; the records themselves stay distributed.
-        columns = tuple(spark.read.options(**_READ).csv(row["_path"]).columns)
-        heads.setdefault(columns, []).append(row["_path"])
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("run_name")
-    out = None
-    for columns, paths in sorted(heads.items()):
-        missing = [f.name for f in schema if f.name not in columns]
-        if missing:
-            raise ValueError(f"{paths[0]} has no column {', '.join(missing)}")
-        as_text = ", ".join(f"`{c}` STRING" for c in columns)
-        rows = spark.read.options(**_READ).option("enforceSchema", False).schema(as_text).csv(paths)
-        part = _typed(rows.select(*(F.col(f"`{f.name}`") for f in schema), stem), schema, ["run_name"])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"{ddl}, run_name STRING")
-    return out
+    stem = F.regexp_replace(_unescaped(F.regexp_extract("path", r"([^/]*)$", 1)), r"\.[^.]*$", "")
+    held = _run_of_folder()
+    run = F.when(held == "", stem).otherwise(held)
+    return _parsed(spark, path, struct_of(spark, ddl), exact=False, run=run)
 
 
 def write_checkpoint(df: DataFrame, path: str) -> None:

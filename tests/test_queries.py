@@ -15,6 +15,7 @@ SQL = oracle_sql()
 MODEL_QUERIES = {
     "apply_model_stub",
     "apply_model_null",
+    "apply_model_waves",
     "two_step_chain",
     "voting_run",
     "one_step_run",
