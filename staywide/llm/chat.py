@@ -53,10 +53,10 @@ def calls_of(conversations: DataFrame) -> DataFrame:
 
 
 def results_of(conversations: DataFrame) -> DataFrame:
-    """Results (call_id, content): what the user says next answers the assistant's call."""
+    """Results (conv_id, call_id, content): what the user says next answers the assistant's call."""
     call = F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 1).cast("string"))
     return conversations.filter("role = 'user' and conv_id is not null and turn is not null").select(
-        call.alias("call_id"), F.coalesce("text", F.lit("")).alias("content")
+        "conv_id", call.alias("call_id"), F.coalesce("text", F.lit("")).alias("content")
     )
 
 
@@ -108,30 +108,74 @@ def json_text(value: Column) -> Column:
     return F.when(value.isNotNull(), F.substring(written, 6, F.length(written) - 6))
 
 
+def _key(df: DataFrame, column: str = "call_id") -> Column:
+    """A text that only equal conversations and identifiers share, null without identifier."""
+    conversation = F.col("conv_id") if "conv_id" in df.columns else F.lit(None).cast("string")
+    named = F.to_json(F.struct(conversation.alias("conv"), F.col(column).alias("call")))
+    return F.when(F.col(column).isNotNull(), named)
+
+
+def _first_results(results: DataFrame) -> DataFrame:
+    """(result_, content): of the results of one call the smallest content."""
+    keyed = results.select(_key(results).alias("result_"), "content").filter("result_ is not null")
+    return keyed.groupBy("result_").agg(F.min("content").alias("content"))
+
+
+def _keyed(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The calls with the key that results meet them by; results without conversation meet by identifier."""
+    own = _key(calls if "conv_id" in results.columns else calls.drop("conv_id"))
+    return calls.withColumn("meets_", own)
+
+
+def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(call_id, content, fault), with conv_id if `results` has it: the results that `link` does not use.
+
+    "no call": there is no call of that conversation and identifier, or no identifier;
+    "further result": the call has one with a smaller content. Equal results of one call
+    are one. Every result is in `link` or here.
+    """
+    columns = [c for c in ("conv_id", "call_id", "content") if c in results.columns]
+    distinct = results.select(*columns, _key(results).alias("key_")).distinct()
+    known = _keyed(calls.filter("call_id is not null"), results).select(F.col("meets_").alias("known_")).distinct()
+    first = _first_results(results).select("result_", F.col("content").alias("first_"))
+    found = distinct.join(known, F.col("key_") == F.col("known_"), "left").join(first, F.col("key_") == F.col("result_"), "left")
+    fault = F.when(F.col("known_").isNull(), "no call").when(~F.col("content").eqNullSafe(F.col("first_")), "further result")
+    return found.withColumn("fault", fault).filter("fault is not null").select(*columns, "fault")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     """(conv_id, turn, call_id, depth, name, fault, linked, json), a row per call.
 
-    Calls and results meet by identifier. `depth`, then `turn`, is a topological order
-    within a conversation: a call stands behind the one it builds on; it is -1 for calls
-    on a cycle. `json` is the call with its result, keys in order. `fault` tells what is
-    wrong with the arguments; such calls keep their arguments as text.
-
-    Of calls, and of results, with one identifier the first counts (smallest turn, then
-    name and arguments; smallest content). Calls without a result have `linked` false and
-    a null result; a parent that is not there counts as none. Null identifiers take no part.
-    An object that names a key twice is no JSON object.
+    Calls and results meet by conversation and identifier, by identifier alone where
+    `results` has no `conv_id`. `depth`, then `turn`, is a topological order within a
+    conversation: a call stands behind the one it builds on; it is -1 for calls on a cycle.
+    `json` is the call with its result, keys in order. `fault` tells what is wrong with the
+    arguments; such calls keep their arguments as text.
+
+    Equal rows are one call. Of different calls with one identifier in a conversation the
+    first (smallest turn, then name and arguments) gives the others their parent; all are
+    returned, the further ones with the fault "repeated identifier", and share depth rules
+    and result with the first. Of the results of a call the smallest content counts;
+    `unlinked` gives the others and those without a call. Calls without a result have
+    `linked` false and a null result; a parent that is not there counts as none. Null
+    identifiers take no part. An object that names a key twice is no JSON object.
     """
-    calls = calls.filter("call_id is not null").groupBy("call_id").agg(
-        F.min(F.struct("turn", "name", "arguments", "conv_id", "parent_id")).alias("c")
-    ).select("call_id", "c.*")
-    calls = saved(calls, "chat-calls")
-    results = results.filter("call_id is not null").groupBy(F.col("call_id").alias("result_")).agg(F.min("content").alias("content"))
-    both = calls.join(results, F.col("call_id") == F.col("result_"), "left").join(depths(calls), F.col("call_id") == F.col("deep_"))
+    calls = calls.filter("call_id is not null").select("conv_id", "call_id", "turn", "name", "arguments", "parent_id").distinct()
+    calls = saved(calls.select("*", _key(calls).alias("key_"), _key(calls, "parent_id").alias("parent_")), "chat-calls")
+    row = F.struct("turn", "name", "arguments", "parent_id")
+    # One row per identifier, made by a combining aggregate: a much repeated one is no group in a task.
+    first = saved(calls.groupBy("key_").agg(F.min(F.struct("turn", "name", "arguments", "parent_id", "parent_")).alias("f")), "chat-first")
+    deep = depths(first.select(F.col("key_").alias("call_id"), F.col("f.parent_").alias("parent_id")))
+    lead = first.select(F.col("key_").alias("lead_"), F.struct("f.turn", "f.name", "f.arguments", "f.parent_id").alias("lead_row"))
+    both = _keyed(calls, results).join(_first_results(results), F.col("meets_") == F.col("result_"), "left")
+    both = both.join(deep, F.col("key_") == F.col("deep_")).join(lead, F.col("key_") == F.col("lead_"))
     # A variant keeps the keys of an object in order, at every level.
     both = both.withColumn("parsed_", F.try_parse_json("arguments"))
-    both = both.withColumn("fault", check(F.col("name"), F.col("parsed_"), schemas))
+    both = both.withColumn("wrong_", check(F.col("name"), F.col("parsed_"), schemas))
+    repeated = F.when(~row.eqNullSafe(F.col("lead_row")), "repeated identifier")
+    both = both.withColumn("fault", F.coalesce("wrong_", repeated))
     text = json_text(F.coalesce("arguments", F.lit("")))
-    arguments = F.when(F.col("fault").isNull(), F.to_json("parsed_")).otherwise(text)
+    arguments = F.when(F.col("wrong_").isNull(), F.to_json("parsed_")).otherwise(text)
     json = F.concat(
         F.lit('{"arguments":'),
         arguments,

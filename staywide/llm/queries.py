@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html as markup
 from collections.abc import Callable
+from html import entities
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -152,11 +154,33 @@ def _uuid(*parts: str) -> str:
     return f"'<urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12)) || '>'"
 
 
+def _quoted(texts) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+def _references(text: str) -> str:
+    """Character references by the standard's own table, token by token."""
+    named = "map({}, {})".format(_quoted("&" + k for k in entities.html5), _quoted(entities.html5.values()))
+    # Names that also count without a semicolon, the longest first.
+    bare = "|".join(sorted((k for k in entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    # Numbers below 160 that do not stand for themselves.
+    low = {str(n): markup.unescape(f"&#{n};") for n in range(160)}
+    low = "map({}, {})".format(_quoted(low), _quoted("" if c == "\0" else c for c in low.values()))
+    digits = "CASE WHEN regexp_matches(t, '^&#[xX]') THEN CAST('0x' || substr(rtrim(t, ';'), 4) AS HUGEINT) ELSE CAST(substr(rtrim(t, ';'), 3) AS HUGEINT) END"
+    number = f"""CASE WHEN {digits} < 160 THEN {low}[CAST({digits} AS VARCHAR)]
+        WHEN {digits} BETWEEN 55296 AND 57343 OR {digits} > 1114111 THEN chr(65533)
+        WHEN {digits} BETWEEN 64976 AND 65007 OR {digits} % 65536 >= 65534 THEN '' ELSE chr(CAST({digits} AS INTEGER)) END"""
+    name = f"""coalesce({named}[t], CASE WHEN regexp_matches(t, '^&({bare})') THEN
+        {named}[regexp_extract(t, '^&({bare})')] || substr(t, 1 + length(regexp_extract(t, '^&({bare})'))) END, t)"""
+    token = f"CASE WHEN regexp_matches(t, '^&#([0-9]+|[xX][0-9a-fA-F]+);?$') THEN {number} WHEN starts_with(t, '&') THEN {name} ELSE t END"
+    parts = f"regexp_extract_all({text}, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{{1,32}};?)|[^&]+|&')"
+    return f"replace(coalesce(array_to_string(list_transform({parts}, lambda t: {token}), ''), ''), chr(160), ' ')"
+
+
 def _text(html: str) -> str:
     for pattern, by in ((warc.DROPPED, "' '"), (warc.BREAKS, "chr(10)"), (warc.TAGS, "''")):
         html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
-    for entity, char in warc.ENTITIES:
-        html = "replace({}, '{}', '{}')".format(html, entity, char.replace("'", "''"))
+    html = _references(html)
     for pattern, by in ((warc.BLANKS, "' '"), (warc.LINES, "chr(10)"), (warc.ENDS, "''")):
         html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
     return html

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import html as markup
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_parts
+
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "text/plain; charset=utf-8"
 CRLF = "\r\n"
@@ -17,7 +23,21 @@ TAGS = r"<[/!?a-zA-Z][^>]*>"
 BLANKS = r"[ \t\r\f\x0B]+"
 LINES = r" ?\n[ \n]*"
 ENDS = r"^[ \n]+|[ \n]+$"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def _decode(text: str) -> str:
+    """All named and numeric character references, each once; a no-break space is a blank."""
+    return markup.unescape(text).replace("\xa0", " ")
+
+
+def decoded(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in in_parts(texts):
+            yield pd.Series([_decode(t) for t in batch], dtype=object)
+
+    # A page is decoded once, whatever is made of its text.
+    return each.asNondeterministic()(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -25,8 +45,7 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, DROPPED, " ")
     text = F.regexp_replace(text, BREAKS, "\n")
     text = F.regexp_replace(text, TAGS, "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = decoded(text)
     text = F.regexp_replace(text, BLANKS, " ")
     text = F.regexp_replace(text, LINES, "\n")
     return F.regexp_replace(text, ENDS, "")

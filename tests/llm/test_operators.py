@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from staywide.llm import bpe, chat, components, copies, knn, lm, mixing, quality, secrets, simhash, tokens, warc
+from staywide.llm import bpe, chat, components, copies, knn, lm, mixing, quality, queries, secrets, simhash, tokens, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
@@ -637,6 +637,28 @@ def test_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_all_character_references_are_decoded(spark):
+    import html
+
+    import duckdb
+
+    parts = ["&middot;", "&copy", "&eacute;", "&#233;", "&#xE9;", "&#128;", "&amp;lt;", "&nosuch;", "&notit;", "&", "&;", "&#;", "&#xD800;", "&#1114112;", "&NotEqualTilde;", "&lt", "&#x27;", "a", " ", "é", "&nbsp;", "&#64976;"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(12)) for _ in range(200)] + ["&amp;" * 20000, "", "<p>open &lt; <b", "<script>never closed &amp;"]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["block"] for r in warc.derivatives(warc.responses(pages)).filter("warc_type = 'conversion'").collect()}
+    for i, t in enumerate(texts[:200]):
+        want = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\x0b]+", " ", html.unescape(t).replace("\xa0", " ")))
+        assert found[i] == re.sub(r"^[ \n]+|[ \n]+\Z", "", want), t
+    assert found[200] == "&" * 20000
+    # The twin reads the standard's table by itself.
+    duck = duckdb.connect()
+    frame = pages.toPandas()  # noqa: F841
+    duck.execute("CREATE VIEW pages AS SELECT * FROM frame")
+    twin = duck.execute(f"SELECT page_id, block FROM ({queries.ORACLES['op7_warc_derivatives']}) WHERE warc_type = 'conversion'").fetchall()
+    assert dict(twin) == found
+
+
 def test_warc_files(spark, tmp_path):
     import gzip
 
@@ -694,3 +716,29 @@ def test_calls_from_conversations(spark):
     found = chat.link(chat.calls_of(frame), chat.results_of(frame)).orderBy("conv_id", "turn").collect()
     assert [r["depth"] for r in found] == [0, 1, 2, 3, 0] and [r["linked"] for r in found] == [True] * 4 + [False]
     assert chat.link(chat.calls_of(frame.limit(0)), chat.results_of(frame.limit(0))).count() == 0
+
+
+def test_calls_of_two_conversations_share_an_identifier(spark):
+    calls = [
+        (1, 1, "call_1", None, "count_words", '{"text_length": 1}'),
+        (2, 1, "call_1", None, "count_words", '{"text_length": 2}'),
+        (2, 3, "call_2", "call_1", "count_words", '{"text_length": 3}'),
+        (2, 5, "call_2", "call_1", "count_words", '{"text_length": 4}'),
+        (None, 1, "call_1", "call_2", "count_words", '{"text_length": 5}'),
+    ]
+    results = [(1, "call_1", "one", 0), (2, "call_1", "two", 0), (2, "call_1", "zwei", 0), (2, "call_2", None, 0), (3, "call_1", "lost", 0), (2, None, "nameless", 0)]
+    calls = spark.createDataFrame(calls, CALLS).withColumn("content", F.lit("clash"))
+    results = spark.createDataFrame(results, "conv_id long, call_id string, content string, turn long")
+    found = {(r["conv_id"], r["turn"]): r for r in chat.link(calls, results).collect()}
+    assert len(found) == 5
+    got = {k: (r["depth"], r["fault"], r["linked"], json.loads(r["json"])["result"]) for k, r in found.items()}
+    assert got == {
+        (1, 1): (0, None, True, "one"),
+        (2, 1): (0, None, True, "two"),
+        (2, 3): (1, None, True, None),
+        (2, 5): (1, "repeated identifier", True, None),
+        (None, 1): (0, None, False, None),
+    }
+    lost = {tuple(r) for r in chat.unlinked(calls, results).collect()}
+    assert lost == {(3, "call_1", "lost", "no call"), (2, None, "nameless", "no call"), (2, "call_1", "zwei", "further result")}
+    assert chat.unlinked(calls.limit(0), results.limit(0)).count() == 0
