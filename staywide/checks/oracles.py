@@ -779,4 +779,5 @@ def oracle_sql() -> dict[str, str]:
     q["eval_flat_runs"] = q["eval_all_runs"]
     q["majority_vote_rows"] = q["majority_vote"]
     q["apply_model_waves"] = q["apply_model_stub"]
+    q["wide_table_upkeep"] = q["wide_table"]
     return q

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from staywide.operators.model_batch import apply_model, apply_model_in_waves, no_wait
 from staywide.operators.voting import majority, majority_rows
+from staywide.plans import upkeep
 from staywide.sources import files, stored
 from staywide.sources.records import ranges
 
@@ -151,3 +152,16 @@ def test_waves_answer_as_retries_do(spark, tmp_path):
     waits.clear()
     again = apply_model_in_waves(frame, "prompt", load_flaky, path, wait=wait)
     assert sorted(map(tuple, again.collect())) == want and waits == [4]
+
+
+def test_only_stays_with_new_rows_are_affected(spark):
+    stays = spark.createDataFrame([(1, 10, 100), (2, 10, None), (3, 20, 300), (4, None, 400), (5, 30, 500)], "stay_id long, subject_id long, hadm_id long")
+    added = {
+        "labevents": spark.createDataFrame([(10,), (None,), (99,)], "subject_id long"),
+        "poe": spark.createDataFrame([(None, 400)], "subject_id long, hadm_id long"),
+        "pyxis": spark.createDataFrame([(None, 5), (None, 5)], "subject_id long, stay_id long"),
+    }
+    found = upkeep.affected_stays({"edstays": stays}, added).collect()
+    assert sorted(r["stay_id"] for r in found) == [1, 2, 4, 5]
+    with pytest.raises(ValueError, match="lookup"):
+        upkeep.affected_stays({"edstays": stays}, {"pyxis_admin_method": spark.createDataFrame([("a",)], "drug_name string")})
