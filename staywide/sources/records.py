@@ -41,13 +41,20 @@ def ranges(spark: SparkSession, path) -> DataFrame:
     `head` is the first line of the first range, else null. Written once: a range is a part
     of a file as large as a task reads, so these rows are few.
     """
-    per = _lines(spark, path).groupBy(*_RANGE).agg(F.sum("odd").alias("n"), F.min_by("line", "id").alias("first"))
+    per = _lines(spark, path).groupBy(*_RANGE).agg(
+        F.sum("odd").alias("n"), F.min_by("line", "id").alias("first"), F.min_by("odd", "id").alias("open")
+    )
+    spans = F.raise_error(F.concat(F.lit("the head spans lines: "), "path")).cast("string")
     earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     found = per.select(
         *_RANGE,
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.when(F.row_number().over(Window.partitionBy("path").orderBy("start")) == 1, _bare(F.col("first"))).alias("head"),
+        F.row_number().over(Window.partitionBy("path").orderBy("start")).alias("place"),
+        "first",
+        "open",
     )
+    head = F.when(F.col("place") == 1, F.when(F.col("open") == 1, spans).otherwise(_bare(F.col("first"))))
+    found = found.select(*_RANGE, "before", head.alias("head"))
     place = scratch(spark, "csv-ranges")
     found.write.parquet(place)
     return spark.read.schema(found.schema).parquet(place)
@@ -78,15 +85,13 @@ def records(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     # The first line of a file is its head, the first of any other range is not.
     first = known.where(F.col("head").isNotNull()).select(*_RANGE, F.lit(True).alias("top"))
     lines = lines.join(broadcast_if_small(first), _RANGE, "left")
-    head = F.col("leads") & F.coalesce("top", F.lit(False))
-    split = F.when(head & (F.col("odd") == 1), F.raise_error(F.concat(F.lit("the head spans lines: "), "path")).cast("boolean")).otherwise(head)
-    lines = lines.withColumn("is_head", split)
+    lines = lines.withColumn("is_head", F.col("leads") & F.coalesce("top", F.lit(False)))
 
     # A line without an open quote before or behind it is a record of its own. The others
     # come in runs from one odd line to the next, and only these runs are gathered.
     alone = (F.col("toggles") % 2 == 0) & (F.col("odd") == 0)
     single = lines.where(alone).select("path", F.when(~F.col("is_head"), _bare(F.col("line"))).alias("record"))
-    run = lines.where(~alone | F.col("is_head").isNull()).groupBy("path", F.floor(F.col("toggles") / 2).alias("run")).agg(
+    run = lines.where(~alone).groupBy("path", F.floor(F.col("toggles") / 2).alias("run")).agg(
         F.array_sort(F.collect_list(F.struct("start", "id", "line"))).alias("m")
     )
     text = F.array_join(F.transform("m", lambda part: part["line"]), "\n")

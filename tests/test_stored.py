@@ -101,6 +101,14 @@ def test_files_of_one_line_and_of_none(spark, tmp_path):
         files.read_cases(spark, str(tmp_path / "*.csv")).collect()
 
 
+def test_a_head_that_spans_lines_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('case_id,triage_text,"acu\nity"\n1,"x",3\n')
+    with pytest.raises(Exception, match="head"):
+        files.read_cases(spark, str(tmp_path / "a.csv")).collect()
+    with pytest.raises(Exception, match="head"):
+        files.read_runs(spark, str(tmp_path / "a.csv"), "case_id INT", flat=True).collect()
+
+
 def test_many_flat_files_take_few_jobs(spark, tmp_path):
     for i in range(40):
         head, row = ("acuity,final_pred", f"{i},1") if i % 2 else ("final_pred,x,acuity", f'1,"a\nb",{i}')
