@@ -32,12 +32,12 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 HOLDS = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{{{MIN_VALUE},}}|AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}|[0-9a-f]{{24,}}"""
 MIXED = "[0-9][A-Za-z]|[A-Za-z][0-9]"
 #: Texts the field is fitted on: half of them with a secret, a quarter hard, if there are as many.
-FIT_ROWS = 4000
+FIT_ROWS = 2000
 ROUNDS = 5
 #: Labels: outside, begin, inside.
 OUT, BEGIN, IN = 0, 1, 2
 #: Snippets of a training text: its own, and rewritten ones; characters kept on either side.
-REWRITES, SNIPPETS, SIDE = 4, 2, 120
+REWRITES, SNIPPETS, SIDE = 4, 1, 120
 #: Words that announce a secret, for rewritten snippets.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "pwd", "passphrase", "key")
 SLICE = 1 << 18
@@ -301,31 +301,30 @@ class Field:
         return found
 
 
-def _sum(values: np.ndarray, axis: int) -> np.ndarray:
-    top = values.max(axis=axis, keepdims=True)
-    return np.log(np.exp(values - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 def gradient(scores: np.ndarray, moves: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected minus observed counts of chains of one length: per token and label, per pair of labels.
 
     `scores` is chains x tokens x labels, `gold` chains x tokens.
     """
     n, size = gold.shape
+    scores = scores.transpose(1, 0, 2)
+    step = np.exp(moves)
+    token = np.exp(np.maximum(scores - scores.max(axis=2, keepdims=True), -300))
     forward, backward = np.empty((size, n, 3)), np.empty((size, n, 3))
-    forward[0] = moves[OUT] + scores[:, 0]
+    # Both passes are scaled at every token: only the ratio of labels there matters.
+    forward[0], backward[-1] = step[OUT] * token[0], step[:, OUT]
     for i in range(1, size):
-        forward[i] = scores[:, i] + _sum(forward[i - 1][:, :, None] + moves, 1)
-    backward[-1] = moves[:, OUT]
+        f = (forward[i - 1] @ step) * token[i]
+        forward[i] = f / f.sum(axis=1, keepdims=True)
     for i in range(size - 2, -1, -1):
-        backward[i] = _sum(moves + (scores[:, i + 1] + backward[i + 1])[:, None, :], 2)
-    total = _sum(forward[-1] + backward[-1], 1)
-    at = np.exp(forward + backward - total[:, None]).transpose(1, 0, 2)
-    moved = np.zeros((3, 3))
+        b = (token[i + 1] * backward[i + 1]) @ step.T
+        backward[i] = b / b.sum(axis=1, keepdims=True)
+    at = forward * backward
+    at = (at / at.sum(axis=2, keepdims=True)).transpose(1, 0, 2)
+    pairs = forward[:-1, :, :, None] * step * (token[1:] * backward[1:])[:, :, None, :]
+    moved = (pairs / pairs.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
     moved[OUT] += at[:, 0].sum(axis=0)
     moved[:, OUT] += at[:, -1].sum(axis=0)
-    for i in range(1, size):
-        moved += np.exp(forward[i - 1][:, :, None] + moves + (scores[:, i] + backward[i] - total[:, None])[:, None, :]).sum(axis=0)
     edged = np.pad(gold, ((0, 0), (1, 1)), constant_values=OUT)
     np.subtract.at(moved, (edged[:, :-1], edged[:, 1:]), 1)
     return at - np.eye(3)[gold], moved
