@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents, one of each component: the one with the smallest id.
 
-    `groups` gives (doc_id, component_id) of every row, here or as `copies.near_copies`. Rows that share an id are one document, of which the row with the smallest text
+    `groups` gives (doc_id, component_id) of every row, here or as `copies.near_groups`. Rows that share an id are one document, of which the row with the smallest text
     stays. Rows with a null id stay.
     """
     roots = groups(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_")).agg(F.count(F.lit(1)).alias("n"))

@@ -17,6 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from staywide.llm import bpe, chat, components, copies, knn, lm, mixing, quality, queries, secrets, simhash, tokens, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -447,6 +448,32 @@ def test_near_copies_are_what_jaccard_says(spark, crowd, monkeypatch):
     assert copies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_follow_simhash_links(spark):
+    # Word triples repeated unevenly: the fingerprint follows the frequent ones, the sets differ.
+    rng = random.Random(31)
+    texts = []
+    for _ in range(6):
+        common = " ".join(f"w{rng.randrange(10**6)}" for _ in range(9))
+        texts += [" ".join([common] * 60 + [f"w{rng.randrange(10**6)}" for _ in range(12)]) for _ in range(3)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    prints, sets = [simhash.fingerprint(t) % (1 << 64) for t in texts], [brute_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert near and all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i, j in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in copies.near_groups(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_groups(prints)
+    kept = corpus_pipeline.keep_one(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_groups(prints)))
+
+
+def test_simhash_edges_connect_the_keys_of_near_fingerprints(spark):
+    rows = [("a", 0), ("b", 0), ("c", 3), ("d", 3), ("e", 1 << 40 | 7 << 50), ("a", 7 << 20), ("f", 7 << 20 | 1)]
+    edges = copies.fingerprint_edges(spark.createDataFrame(rows, "key string, fp long"))
+    assert all(r["src"] < r["dst"] for r in edges.collect())
+    roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    assert [roots.get(k, k) for k in "abcdef"] == ["a", "a", "a", "a", "e", "a"]
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1002)], "src long, dst long")
