@@ -142,12 +142,14 @@ class PrefixCounter:
         if len(known) > NODES:
             known.clear()
             known[""] = 0
-        done = len(text)
-        while text[:done] not in known:
-            done -= 1
-        for end in range(done + 1, len(text) + 1):
-            known[text[:end]] = self._extend(text, end, lambda start: known[text[:start]])
-        return known[text] >> 8
+        return self._value(text) >> 8
+
+    def _value(self, head: str) -> int:
+        """The value of a prefix; of shorter ones only those a last token asks for are worked out."""
+        value = self.known.get(head)
+        if value is None:
+            value = self.known[head] = self._extend(head, len(head), lambda start: self._value(head[:start]))
+        return value
 
     def _extend(self, text: str, end: int, at: Callable[[int], int]) -> int:
         """The value of the prefix up to `end`; `at` gives those of shorter ones.

@@ -498,6 +498,15 @@ def test_prefix_counts_match_the_library():
         assert counter.fitting(t, 5) == next((k - 1 for k, n in enumerate(prefixes) if n > 5), len(t))
 
 
+def test_only_prefixes_in_front_of_a_token_are_worked_out():
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokens.MODEL))
+    counter = tokens.PrefixCounter()
+    words = ["understanding", "nevertheless", "international", "responsibility"]
+    for word in words:
+        assert counter.count(word) == len(library.encode(word))
+    assert len(counter.known) < sum(map(len, words)) / 2
+
+
 def test_token_counts_of_hard_rows(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokens.MODEL))
     found = tokens.token_counts(rows_of(spark)).collect()
