@@ -386,8 +386,15 @@ def _points(stays: DataFrame, passes, width: int, weights: int) -> DataFrame:
     )
     keys = ["pass", *[f"k{i}" for i in range(width)]]
     some = " OR ".join(f"{w} <> 0" for w in ws)
+    # A stay has dozens of points: stays out of few files are spread before they have them. The
+    # number is given, since so few bytes would be put together again.
+    spark = stays.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    own = list(dict.fromkeys(["stay_id", "intime", "outtime", *[k for p in passes for k in p.keys]]))
     return (
-        stays.selectExpr("*", *[f"{sql} AS {name}" for name, sql in helpers.items()])
+        stays.select(*own)
+        .repartition(parts, "stay_id")
+        .selectExpr("*", *[f"{sql} AS {name}" for name, sql in helpers.items()])
         .selectExpr("stay_id AS _stay", f"explode(concat({', '.join(lists)})) AS point")
         .selectExpr("_stay", "point.*")
         .where(some)
@@ -412,6 +419,8 @@ def _running_counts(stays, sources, counts) -> DataFrame:
     weights = max(len(p.spans) for p in passes)
     totals = max(len(p.measures) for p in passes)
     key = ["pass", *[f"k{i}" for i in range(width)], "level", "slot"]
+    # A hash of the key comes first: most comparisons of the sort end at it.
+    cell = f"xxhash64({', '.join(key)}) AS cell"
     place = ["pos", "t"]
     names = dict.fromkeys(m.source for p in passes for m in p.measures)
     frames = [_measured(sources[name], name, passes, width) for name in names]
@@ -422,7 +431,7 @@ def _running_counts(stays, sources, counts) -> DataFrame:
         .selectExpr("*", "0 AS side")
     )
     running = (
-        f"OVER (PARTITION BY {', '.join(key)} ORDER BY pos, t, side"
+        f"OVER (PARTITION BY cell, {', '.join(key)} ORDER BY pos, t, side"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     # Partitioned and sorted before the measures are spread over columns: the shuffle and
@@ -432,7 +441,8 @@ def _running_counts(stays, sources, counts) -> DataFrame:
             _points(stays, passes, width, weights), allowMissingColumns=True
         )
         .repartition(*key)
-        .sortWithinPartitions(*key, *place, "side")
+        .selectExpr("*", cell)
+        .sortWithinPartitions("cell", *key, *place, "side")
         .selectExpr(
             "_stay",
             "pass",

@@ -173,3 +173,31 @@ def test_only_stays_with_new_rows_are_affected(spark):
     assert sorted(r["stay_id"] for r in found) == [1, 2, 4, 5]
     with pytest.raises(ValueError, match="lookup"):
         upkeep.affected_stays({"edstays": stays}, {"pyxis_admin_method": spark.createDataFrame([("a",)], "drug_name string")})
+
+
+def test_only_stays_with_new_rows_in_their_time_are_changed(spark):
+    # Stays of one patient ten days apart; the last one is without an end.
+    text = "stay_id long, subject_id long, hadm_id long, intime string, outtime string"
+    days = ["01", "11", "21"]
+    stays = [(i, 10, 100, f"2024-03-{d} 08:00:00", f"2024-03-{d} 12:00:00") for i, d in enumerate(days, 1)]
+    stays += [(4, 10, None, "2024-03-30 08:00:00", None), (5, 20, 200, "2024-03-11 08:00:00", "9900-01-01 00:00:00")]
+    stays = spark.createDataFrame(stays, text).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("intime", "outtime")})
+
+    def events(rows, names):
+        return spark.createDataFrame(rows, names).withColumn(names.split()[-2], F.col(names.split()[-2]).cast("timestamp_ntz"))
+
+    lab = "subject_id long, labevent_id long, charttime string"
+    order = "poe_id string, subject_id long, hadm_id long, order_type string, order_subtype string, ordertime string"
+    cases = [
+        ({"labevents": events([(10, 1, "2024-03-11 09:00:00")], lab)}, [2]),
+        ({"labevents": events([(10, 1, "2024-03-16 09:00:00")], lab)}, []),
+        ({"labevents": events([(20, 1, "2031-03-16 09:00:00")], lab)}, [5]),
+        ({"poe": events([("a", 10, 100, "Blood Bank", "Red Cell Product Order", "2024-03-17 09:00:00")], order)}, [2]),
+        ({"poe": events([("a", 10, 100, "Consults", None, "2024-03-17 09:00:00")], order)}, []),
+        ({"transfers": events([(10, 100, "Cardiac Surgery", "2024-03-15 09:00:00")], "subject_id long, hadm_id long, careunit string, intime string")}, [1, 2]),
+        ({"pyxis": spark.createDataFrame([(10, 3)], "subject_id long, stay_id long")}, [3]),
+        ({"patients": spark.createDataFrame([(10,)], "subject_id long")}, [1, 2, 3, 4]),
+    ]
+    for added, want in cases:
+        found = upkeep.changed_stays({"edstays": stays}, added).collect()
+        assert sorted(r["stay_id"] for r in found) == want, (list(added), found)
