@@ -466,6 +466,22 @@ def test_near_copies_follow_simhash_links(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_groups(prints)))
 
 
+def test_near_groups_hold_one_python_worker_a_task(spark, monkeypatch):
+    evaluated = {}
+
+    def noted(df, label, *rest):
+        evaluated[label] = df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        return kept(df, label, *rest)
+
+    kept = copies.saved
+    monkeypatch.setattr(copies, "saved", noted)
+    docs = rows_of(spark)
+    found = copies.near_groups(docs).collect()
+    assert evaluated["copies-prints"] == 1 and max(evaluated.values()) == 1
+    by = {r["doc_id"]: r["component_id"] for r in found}
+    assert len(found) == docs.count() and by[1] == by[2] == 0 and {by[i] for i in (3, 4, 5)} == {3}
+
+
 def test_simhash_edges_connect_the_keys_of_near_fingerprints(spark):
     rows = [("a", 0), ("b", 0), ("c", 3), ("d", 3), ("e", 1 << 40 | 7 << 50), ("a", 7 << 20), ("f", 7 << 20 | 1)]
     edges = copies.fingerprint_edges(spark.createDataFrame(rows, "key string, fp long"))
